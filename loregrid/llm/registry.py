@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .near_dedup import op1_near_dedup
+from .substring_dedup import op6_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op6_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
