@@ -9,11 +9,13 @@
    those are posted, and classes with s < MATCHES take no further part.
 4. Skip merging: instead of counting through all posting lists, a candidate taken from a
    prefix list has its other coordinates probed directly in both signatures.
-5. First each posting list links its members to its smallest and largest one. Only lists
-   which then still hold several components are compared member by member, between
-   components only, in blocks of ``BLOCK`` that are separate tasks: a list of any length
-   is compared whole, and no pair within a component is made.
-6. Every candidate is confirmed on the full shingle sets. Components come from the links.
+5. First each posting list proposes its smallest and largest member to all others, and these
+   stars are confirmed on the full shingle sets. Only lists which then still hold several
+   components are compared member by member, between components only, in blocks of
+   ``BLOCK`` that are separate tasks, so a list of any length is compared whole.
+6. What is left to confirm is not written out as pairs: each task returns a spanning forest
+   of its candidates, their components are clusters, and the full sets of a cluster, again
+   in blocks, are compared in numpy. Tasks return a spanning forest of the links found.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .graph import components
 from .scratch import prepare, saved
 from .text import U64, mix, pieces, shingle_sets
 
-COORDINATES, MATCHES, BLOCK = 32, 14, 512
+COORDINATES, MATCHES, BLOCK, TEXTS = 32, 14, 512, 256
+#: Columns of the incidence matrix multiplied at once.
+COLUMNS = 8192
 SHINGLE = 5
 _RNG = np.random.default_rng(7919)
 _A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -61,39 +65,89 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *digests, signature], ["doc_id", "n_shingles", "d1", "d2", "tokens"])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) between components, unit by unit; the rows of a unit come together."""
-
-    def compare(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for i in range(len(left["id"])):
-            near = (left["c"][i] != right["c"]) & ((left["t"][i] == right["t"]).sum(1) >= MATCHES)
-            near &= 4 * np.minimum(left["n"][i], right["n"]) >= 3 * np.maximum(left["n"][i], right["n"])
-            if near.any():
-                found.append((np.full(int(near.sum()), left["id"][i]), right["id"][near]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-
-    def finish(rows: dict) -> pa.RecordBatch:
-        left = {k: v[rows["side"] == 0] for k, v in rows.items()}
-        right = {k: v[rows["side"] == 1] for k, v in rows.items()} if (rows["side"] == 1).any() else left
-        a, b = compare(left, right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    held: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
+def _forest(ids: np.ndarray, near) -> tuple[list[int], list[int]]:
+    """Edges that connect what ``near(i)``, a mask for each i, connects: fewer than the ids."""
+    label, a, b = np.arange(len(ids)), [], []
+    for i in range(len(ids)):
+        mask = near(i)
+        if not mask.any():
             continue
-        rows = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("key", "bi", "bj", "side", "id", "c", "n")}
-        rows["t"] = batch.column(batch.schema.get_field_index("tokens")).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-        if held is not None:
-            rows = {k: np.concatenate([held[k], rows[k]]) for k in rows}
-        new = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["bi"]) != 0) | (np.diff(rows["bj"]) != 0)) + 1
-        bounds = [0, *new.tolist()]
+        roots = np.unique(np.append(label[mask], label[i]))
+        if len(roots) > 1:
+            a += [int(ids[roots[0]])] * (len(roots) - 1)
+            b += ids[roots[1:]].tolist()
+            label[np.isin(label, roots[1:])] = roots[0]
+    return a, b
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], load) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each unit, whose key, bi and bj are the first columns, as ``load`` reads them."""
+    held: list[dict] = []
+    for batch in batches:
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        new = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+        bounds = [0, *new.tolist(), batch.num_rows]
         for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            yield finish({k: v[x:y] for k, v in rows.items()})
-        held = {k: v[bounds[-1] :] for k, v in rows.items()}
-    if held is not None:
-        yield finish(held)
+            if y > x:
+                now = tuple(int(k[x]) for k in keys)
+                if held and held[0]["unit"] != now:
+                    yield held
+                    held = []
+                held.append({"unit": now} | load(batch.slice(x, y - x)))
+    if held:
+        yield held
+
+
+def _edges(found: tuple[list[int], list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the candidates between components in each unit of a posting list."""
+
+    def load(batch: pa.RecordBatch) -> dict:
+        return {k: batch.column(i).to_numpy() for k, i in (("id", 3), ("c", 4), ("n", 5))} | {"t": batch.column(6).flatten().to_numpy().reshape(-1, COORDINATES)}
+
+    for parts in _grouped(batches, load):
+        ids, c, n, t = (np.concatenate([p[k] for p in parts]) for k in ("id", "c", "n", "t"))
+
+        def near(i: int) -> np.ndarray:
+            ok = (c[i] != c) & (4 * np.minimum(n[i], n) >= 3 * np.maximum(n[i], n))
+            at = np.flatnonzero(ok)
+            ok[at] = (t[at] == t[i]).sum(1) >= MATCHES
+            return ok
+
+        if c.min() < c.max():
+            yield _edges(_forest(ids, near))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links in each unit of a cluster, on the full shingle sets."""
+
+    def load(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_sets(p.column(5), SHINGLE) for p in pieces(iter([batch]))]
+        return {"id": batch.column(3).to_numpy(), "c": batch.column(4).to_numpy(), "n": np.concatenate([np.diff(at) for at, _ in sets]), "flat": np.concatenate([f for _, f in sets])}
+
+    for parts in _grouped(batches, load):
+        ids, c, n, flat = (np.concatenate([p[k] for p in parts]) for k in ("id", "c", "n", "flat"))
+        if c.min() == c.max():
+            continue
+        owner = np.repeat(np.arange(len(ids)), n)
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = np.cumsum(count > 1) - 1
+        use = count[column] > 1
+        owner, column = owner[use], often[column[use]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)  # whole numbers below 2 ** 24 are exact
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            x, y = np.searchsorted(column, [low, low + COLUMNS])
+            dense = np.zeros((len(ids), COLUMNS), np.float32)
+            dense[owner[x:y], column[x:y] - low] = 1
+            both += dense @ dense.T
+        union = n[:, None] + n[None, :] - both
+        link = (both > 0) & (100 * both.astype(np.float64) >= 75 * union.astype(np.float64)) & (c[:, None] != c[None, :])
+        yield _edges(_forest(ids, lambda i: link[i]))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +200,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = saved(components(links))
     labelled = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("c0 < c1")
-    rows = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    units = rows.select("id", "c", "key", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("id", "c", "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    sized = units.join(signatures, "id").select("key", "bi", "bj", "side", "id", "c", "n", "tokens")
-    rest = sized.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_units, "a long, b long").where("a <> b").distinct()
-    more = confirmed(rest)
+    def units(rows: DataFrame, *columns: str) -> DataFrame:
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        return blocked.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "c", *columns)
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+    lists = units(labelled.join(mixed, "key")).join(signatures, "id").select("key", "bi", "bj", "id", "c", "n", "tokens")
+    clusters = components(together(lists).mapInArrow(_units, "a long, b long").distinct())
+    labels = clusters.join(found.select("node", F.col("component").alias("c")), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("key"), F.coalesce("c", "node").alias("c"))
+    sizes = labels.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
+    texted = units(labels.join(sizes, "key")).join(pool.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "bi", "bj", "id", "c", "text")
+    more = together(texted).mapInArrow(_compare, "a long, b long")
 
     same = members.where("rep IS NOT NULL AND doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
