@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .mixing import op5_mixing
 from .near_dedup import op1_near_dedup
+from .pieces import op4_sentencepiece
 from .sharding import op3_sharding
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op5_mixing, op6_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
