@@ -31,7 +31,7 @@ from .graph import components
 from .scratch import prepare, saved
 from .text import U64, mix, pieces, shingle_sets
 
-COORDINATES, MATCHES, BLOCK, TEXTS = 32, 14, 512, 256
+COORDINATES, MATCHES, BLOCK, TEXTS = 32, 14, 2048, 256
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 8192
 SHINGLE = 5
