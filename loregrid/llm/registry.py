@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_formatting
 from .mixing import op5_mixing
 from .near_dedup import op1_near_dedup
 from .pieces import op4_sentencepiece
@@ -9,5 +10,5 @@ from .sharding import op3_sharding
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup, op7_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
