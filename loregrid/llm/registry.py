@@ -9,6 +9,8 @@ from .pieces import op4_sentencepiece
 from .sharding import op3_sharding
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op2_toxicity
+from .vector_dedup import op9_vector_dedup
+from .vector_search import op10_vector_search
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup, op7_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup, op7_chat_formatting, op9_vector_dedup, op10_vector_search)}
 ORACLE_SQL: dict[str, str] = {}
