@@ -22,7 +22,7 @@ from .scratch import prepare
 from .text import _LOWER, U64, buffers, pieces
 
 GRAMS, BUCKETS = (4, 5), 1 << 18
-TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
+TOXIC_ROWS, CLEAN_ROWS = 1000, 1600
 STEPS, MEMORY, PENALTY = 30, 8, 1e-5
 REJECT = 0.7
 
@@ -136,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     chosen = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")
     found = chosen.mapInArrow(_features, "toxic int, index binary, value binary").toArrow()
     rows = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "index", "value")), strict=True))
+    del found
     return fit(rows, totals.get(1, 0), totals.get(0, 0))
 
 
