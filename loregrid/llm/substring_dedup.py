@@ -14,9 +14,11 @@ is worked through in several passes over its packed strings, each for a part of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,7 +173,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(found)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(keep_whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         words, n = Words(batch.column(0)), batch.num_rows
         runs = batch.column(1)
@@ -200,16 +202,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = np.bincount(owner[keep], weights=(stop - start + 1), minlength=n).astype(np.int64) - (kept > 0)
         offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spread[take].tobytes())])
+        if keep_whole:
+            text = pc.if_else(pa.array(words.counts == kept), batch.column(0), text)
         yield pa.RecordBatch.from_arrays([pa.array(words.counts.astype(np.int64)), pa.array((words.counts - kept).astype(np.int64)), text, batch.column(2)], ["n_words", "n_removed", "kept_text", "row"])
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_whole: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Remove each word covered by a window that also starts earlier.
 
     Earlier is a smaller doc_id, or the same document and a smaller start; windows are those
     of the input. Returns n_words, n_removed, kept_text (the kept words joined by one
     space) and row, a struct of all columns of ``docs`` but the text, for every input row.
-    Null and empty texts have no words and an empty kept_text. Rows without a doc_id come
+    With ``keep_whole`` the kept_text of a text that loses nothing is the text itself.
+    Null and empty texts have no words and an empty kept_text (null with ``keep_whole``). Rows without a doc_id come
     after all others. Rows that repeat a doc_id are told apart by their texts; windows at
     one start of one doc_id count as one occurrence, of which none is earlier.
     """
@@ -223,7 +228,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "order_id long, tag long, start int, size int")
     runs = found.groupBy("order_id", "tag").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     both = keyed.join(runs, ["order_id", "tag"], "left").select("text", "runs", "row")
-    return both.mapInArrow(_cut, _schema(docs, rest))
+    return both.mapInArrow(partial(_cut, keep_whole), _schema(docs, rest))
 
 
 def _schema(docs: DataFrame, rest: list[str]):

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import prepare
 from .text import _LOWER, U64, buffers, pieces
@@ -140,10 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     return fit(rows, totals.get(1, 0), totals.get(0, 0))
 
 
-def _score(model: Model):
+def _score(model: Model, text_column: str, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            offsets, points = _characters(batch.column(0))
+        for batch in pieces(batches, text_column):
+            offsets, points = _characters(batch.column(text_column))
             sizes = np.diff(offsets)
             total = np.zeros(len(sizes))
             some = sizes > 0
@@ -155,7 +156,8 @@ def _score(model: Model):
                     each[ends[ends >= offsets[:-1]]] = 0
                 total[some] += np.add.reduceat(each, offsets[:-1][some])
             score = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(sizes, 1)) + model.bias, -50, 50)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(score, 9)), batch.column(1)], ["score", "row"])
+            row = pa.StructArray.from_arrays([batch.column(c) for c in fields], fields)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(score, 9)), row], ["score", "row"])
 
     return run
 
@@ -167,11 +169,9 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep_text: b
     alone. Equal texts have equal scores.
     """
     prepare(docs.sparkSession)
-    columns = [c for c in docs.columns if keep_text or c != text_column]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    both = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), row)
-    schema = both.drop("text").schema.add("score", "double")
-    return both.mapInArrow(_score(model), type(schema)([schema["score"], schema["row"]]))
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text_column]
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("row", T.StructType(fields))])
+    return docs.mapInArrow(_score(model, text_column, [f.name for f in fields]), schema)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
