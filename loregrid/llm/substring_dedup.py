@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .scratch import prepare
 from .text import U64, Words, mix, pieces, ragged, windows
 
-WINDOW, MER = 20, 3
+WINDOW, MER = 20, 2
 #: Text handled at once by the map side; buckets for each shuffle partition; windows sorted at once.
-MAP_BYTES, BUCKETS, PASS_WINDOWS = 4 << 20, 8, 2_000_000
+MAP_BYTES, BUCKETS, PASS_WINDOWS = 4 << 20, 4, 2_000_000
 _LAST = np.iinfo(np.int64).max
 _CODEC = "zstd"
 
@@ -101,13 +101,13 @@ def _split(buckets: int):
             bucket = (mix(low[first]) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             first, size, bucket = first[order], size[order], bucket[order]
-            head = np.stack([ids[row[first]], tags[row[first]], start[first], size + WINDOW - 1])
+            head_ids, head = ids[row[first]], np.stack([tags[row[first]], start[first], size + WINDOW - 1]).astype(np.int32)
             begin, end = words.starts[at[first]].tolist(), words.ends[at[first] + size + WINDOW - 2].tolist()
             data = words.data.tobytes()
             bounds = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist() if len(first) else []
             for x, y in zip(bounds, [*bounds[1:], len(first)], strict=True):
                 text = b" ".join([data[a:b] for a, b in zip(begin[x:y], end[x:y], strict=True)])
-                raw = np.int64(y - x).tobytes() + np.ascontiguousarray(head[:, x:y]).tobytes() + text
+                raw = np.int64(y - x).tobytes() + np.diff(head_ids[x:y], prepend=0).tobytes() + head[:, x:y].tobytes() + text
                 out.append((int(bucket[x]), True, np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary())], ["bucket", "packed", "payload"])
 
@@ -115,12 +115,13 @@ def _split(buckets: int):
 
 
 def _unpack(blob: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
-    """The head of each super-k-mer, and the hashes of all their words."""
+    """(doc, tag, start, words) of each super-k-mer, and the hashes of all their words."""
     size = int(np.frombuffer(blob[:8], np.int64)[0])
     raw = codec.decompress(blob[8:], size, asbytes=True)
     n = int(np.frombuffer(raw[:8], np.int64)[0])
-    head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-    return head, Words(pa.array([raw[8 + 32 * n :]], pa.large_binary())).hashes()
+    ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
+    head = np.concatenate([ids[None, :], np.frombuffer(raw, np.int32, 3 * n, 8 + 8 * n).reshape(3, n)])
+    return head, Words(pa.array([raw[8 + 20 * n :]], pa.large_binary())).hashes()
 
 
 def _bucket(blobs: list[bytes], codec: pa.Codec) -> Iterator[np.ndarray]:
@@ -155,7 +156,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec, held, now = pa.Codec(_CODEC), [], None
 
     def rows(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["order_id", "tag", "start", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["order_id", "tag", "start", "size"])
 
     for batch in batches:
         for bucket, packed, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -223,9 +224,9 @@ def remove_repeats(docs: DataFrame, keep_whole: bool = False, id_column: str = "
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in docs.columns if c != text_column]
     text = F.col(f"`{text_column}`").cast("string")
-    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("order_id"), F.xxhash64(text).alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("order_id"), F.hash(text).alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     sent = keyed.select("order_id", "tag", "text").mapInArrow(_split(BUCKETS * partitions), "bucket long, packed boolean, payload binary")
-    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "order_id long, tag long, start int, size int")
+    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "order_id long, tag int, start int, size int")
     runs = found.groupBy("order_id", "tag").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     both = keyed.join(runs, ["order_id", "tag"], "left").select("text", "runs", "row")
     return both.mapInArrow(partial(_cut, keep_whole), _schema(docs, rest))
