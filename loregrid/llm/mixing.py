@@ -65,7 +65,7 @@ def _permutation(key: str, n: int) -> tuple[int, int]:
     """(p, c): b -> (b * p + c) mod n is a permutation of 0 .. n - 1, chosen by ``key``."""
     raw = hashlib.sha256(key.encode()).digest()
     p = int.from_bytes(raw[:8], "big") % n or 1
-    p = max(1, p % (1 << 30))
+    p = max(1, p % min(1 << 30, (1 << 62) // n))  # the product stays within 64 bits
     while math.gcd(p, n) != 1:
         p += 1
     return p % n if n > 1 else 0, int.from_bytes(raw[8:16], "big") % n

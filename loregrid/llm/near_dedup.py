@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     signed = saved(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = saved(signed.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("tokens")).alias("tokens")))
+    members = saved(signed.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("tokens")).alias("tokens")))
     reps = members.where("tokens IS NOT NULL").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["id", "n"])
 
     posted = reps.select("id", F.explode("tokens").alias("key")).repartition("key")
