@@ -85,10 +85,18 @@ def fit(rows: list[tuple[int, bytes, bytes]], toxic: int, clean: int) -> Model:
     weight = np.where(y == 1, toxic / y.sum(), clean / (len(y) - y.sum()))
     weight /= weight.sum()
 
+    def summed(keys: np.ndarray, part, size: int) -> np.ndarray:
+        """Sums by key, a stretch at a time: the intermediate arrays are what fills the driver."""
+        out = np.zeros(size)
+        for low in range(0, len(keys), 1 << 20):
+            at = slice(low, low + (1 << 20))
+            out += np.bincount(keys[at], part(at), size)
+        return out
+
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        score = np.bincount(row, value * w[index], len(rows)) + w[-1]
+        score = summed(row, lambda at: value[at] * w[index[at]], len(rows)) + w[-1]
         error = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
-        slope = np.append(np.bincount(index, value * error[row], BUCKETS) + PENALTY * w[:-1], error.sum())
+        slope = np.append(summed(index, lambda at: value[at] * error[row[at]], BUCKETS) + PENALTY * w[:-1], error.sum())
         return float(weight @ (np.logaddexp(0, score) - y * score) + PENALTY / 2 * (w[:-1] @ w[:-1])), slope
 
     w = minimum(loss, np.append(np.zeros(BUCKETS), base))
