@@ -149,7 +149,7 @@ def card_hash(*parts: Column) -> Column:
 def wiki_links(text: Column) -> Column:
     """The distinct targets of [[links]], sorted."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]*)?\|?[^\]]*\]\]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))
 
 
 def inline_tags(text: Column) -> Column:
@@ -177,7 +177,7 @@ def sentences(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", ""), fixed.ANSI, "")
     lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)])\s+", "")))
     parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 220, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s).between(24, 700))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s).between(24, 700))
 
 
 def imports(code: Column, language: Column) -> Column:

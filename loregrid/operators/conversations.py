@@ -49,7 +49,7 @@ def enriched(found: DataFrame, enrichment: DataFrame) -> DataFrame:
 def sessions(found: DataFrame) -> DataFrame:
     """Sessions: exchanges, first and last time, first non-empty texts, distinct tools, newest first."""
     first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("timestamp"))).alias(c)
-    tools = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split(F.coalesce("tool_names", F.lit("")), ","), F.trim), lambda t: t != ""))))).alias("tools")
+    tools = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform(F.split(F.coalesce("tool_names", F.lit("")), ","), lambda x: F.trim(x)), lambda t: t != ""))))).alias("tools")
     return found.where("coalesce(session_id, '') <> ''").groupBy("session_id").agg(F.count("*").alias("exchange_count"), F.min(F.expr("nullif(timestamp, '')")).alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"), first("project"), first("category"), first("summary"), tools)
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries, relational, windows
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = queries.QUERIES | relational.QUERIES | windows.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | relational.ORACLE_SQL | windows.ORACLE_SQL
