@@ -6,6 +6,7 @@ from .chat import op7_chat_formatting
 from .licenses import op8_license_scan
 from .mixing import op5_mixing
 from .near_dedup import op1_near_dedup
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .pieces import op4_sentencepiece
 from .sharding import op3_sharding
 from .substring_dedup import op6_substring_dedup
@@ -14,4 +15,3 @@ from .vector_dedup import op9_vector_dedup
 from .vector_search import op10_vector_search
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_sharding, op4_sentencepiece, op5_mixing, op6_substring_dedup, op7_chat_formatting, op8_license_scan, op9_vector_dedup, op10_vector_search)}
-ORACLE_SQL: dict[str, str] = {}
