@@ -46,5 +46,5 @@ def marked(docs: DataFrame) -> DataFrame:
 
 def noted(docs: DataFrame) -> DataFrame:
     """Documents with a secret, an address and a tag pair that cleaning must handle."""
-    body = F.concat(F.lit("<system-reminder>hidden "), F.col("doc_id").cast("string"), F.lit("</system-reminder>\n\n\n\napi_key = abc"), F.col("doc_id").cast("string"), F.lit("xyz, mail user"), F.col("doc_id").cast("string"), F.lit("@example.org\n"), F.substring("text", 1, 300))
+    body = F.concat(F.lit("<system-reminder>hidden "), F.col("doc_id").cast("string"), F.lit("</system-reminder>\n\n\n\napi_key = abc"), F.col("doc_id").cast("string"), F.lit("xyz, mail user"), F.col("doc_id").cast("string"), F.lit("@example.org\n"), F.col("text"))
     return docs.select("doc_id", "source", "lang", body.alias("content"))

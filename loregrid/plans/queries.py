@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..operators import audits, cards, chunking, conversations, lifecycle, retrieval
+from ..functions import entities, fixed, text
+from ..operators import access, audits, cards, chunking, conversations, lifecycle, links, queue, retrieval
+from ..sources import files, sinks
 from . import bridge
 from .bridge import table
 
@@ -223,8 +224,8 @@ def topk_projects(spark, d):
 
 @query("SELECT split_part(url, '/', 3) AS source, count(*) AS files, 0::BIGINT AS jsonl, sum(length(html))::BIGINT AS bytes, count(*) FILTER (regexp_matches(lower(split_part(url, '/', -1)), 'session|conversation|chat|transcript|history|rollout|thread|message') AND NOT regexp_matches(lower(split_part(url, '/', -1)), 'secret|token|password|passwd|credential|apikey|api_key|private[_-]?key|auth')) AS candidates FROM pages GROUP BY 1")
 def inventory_counts(spark, d):
-    files = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("source"), F.col("url").alias("path"), F.length("html").cast("long").alias("length"), F.col("page_id").alias("modified"))
-    return audits.inventory(files).select("source", "files", "jsonl", "bytes", "candidates")
+    listed = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("source"), F.col("url").alias("path"), F.length("html").cast("long").alias("length"), F.col("page_id").alias("modified"))
+    return audits.inventory(listed).select("source", "files", "jsonl", "bytes", "candidates")
 
 
 _QUEUE = "(SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'running' WHEN 2 THEN 'retry' ELSE 'pending' END AS status, count(*) AS attempts, max(epoch(ts))::DOUBLE AS last_success_at FROM events GROUP BY user_id)"
@@ -295,9 +296,14 @@ def chunk_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", text.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk_id"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(ARRAY[source, lang])), ',') AS links, array_to_string(list_sort(list_distinct(ARRAY[lang, 'top/' || source])), ',') AS tags FROM documents WHERE NOT regexp_matches(text, '#|\\[\\[|`')")
+_MARKED = "'# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || text || chr(10) || 'see [[' || source || '|x]] and [[' || lang || '#part]] #' || lang || ' `#no` #top/' || source"
+_LINKS = f"list_sort(list_distinct(list_transform(regexp_extract_all({_MARKED}, '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?\\|?[^\\]]*\\]\\]', 1), lambda x: trim(x))))"
+_TAGS = f"list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace({_MARKED}, '```.*?```', '', 'gs'), '`[^`]+`', '', 'g'), '(?:^|\\s)#([\\w/\\-]+)', 1)))"
+
+
+@query(f"SELECT doc_id, array_to_string({_LINKS}, ',') AS links, array_to_string({_TAGS}, ',') AS tags FROM documents")
 def links_and_tags(spark, d):
-    rows = bridge.marked(table(spark, d, "documents").where(~F.col("text").rlike(r"#|\[\[|`")))
+    rows = bridge.marked(table(spark, d, "documents"))
     return rows.select("doc_id", F.array_join(text.wiki_links(F.col("content")), ",").alias("links"), F.array_join(text.inline_tags(F.col("content")), ",").alias("tags"))
 
 
@@ -307,13 +313,12 @@ def backlinks(spark, d):
     return rows.groupBy("target").agg(F.countDistinct("doc_id").alias("backlinks"))
 
 
-@query("SELECT doc_id, trim(list_filter(string_split(text, chr(10) || chr(10)), lambda b: trim(b) <> '' AND NOT starts_with(ltrim(b), '#') AND NOT starts_with(ltrim(b), '```'))[1]) AS paragraph FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '\\s$|^\\s|#|`')")
+@query("SELECT doc_id, coalesce(trim(list_filter(string_split(text, chr(10) || chr(10)), lambda b: trim(b) <> '' AND NOT starts_with(ltrim(b), '#') AND NOT starts_with(ltrim(b), '```'))[1]), '') AS paragraph FROM documents")
 def first_paragraph(spark, d):
-    rows = table(spark, d, "documents").where("trim(text) <> ''").where(~F.col("text").rlike(r"\s$|^\s|#|`"))
-    return rows.select("doc_id", text.first_paragraph(F.col("text")).alias("paragraph"))
+    return table(spark, d, "documents").select("doc_id", text.first_paragraph(F.col("text")).alias("paragraph"))
 
 
-_NOTED = "'<system-reminder>hidden ' || doc_id || '</system-reminder>' || repeat(chr(10), 4) || 'api_key = abc' || doc_id || 'xyz, mail user' || doc_id || '@example.org' || chr(10) || substr(text, 1, 300)"
+_NOTED = "'<system-reminder>hidden ' || doc_id || '</system-reminder>' || repeat(chr(10), 4) || 'api_key = abc' || doc_id || 'xyz, mail user' || doc_id || '@example.org' || chr(10) || text"
 
 
 @query(f"SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_NOTED}, '<system-reminder>.*?</system-reminder>', '', 'gs'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', ''), 1, 2000) AS clean FROM documents")
@@ -326,15 +331,14 @@ _VALUE = fixed.SECRET_VALUE.replace("'", "''")
 _REDACT = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_NOTED}, '{_ASSIGN}', '\\1=[REDACTED]', 'g'), '{_VALUE}', '[REDACTED]', 'g'), '{fixed.EMAIL}', '[EMAIL]', 'g'), '{fixed.PHONE}', '[PHONE]', 'g')"
 
 
-@query(f"SELECT doc_id, {_REDACT} AS redacted FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query(f"SELECT doc_id, {_REDACT} AS redacted FROM documents")
 def redact_text(spark, d):
-    rows = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return bridge.noted(rows).select("doc_id", text.redact(F.col("content")).alias("redacted"))
+    return bridge.noted(table(spark, d, "documents")).select("doc_id", text.redact(F.col("content")).alias("redacted"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{_ASSIGN}') OR regexp_matches(text, '{_VALUE}') AS risky FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query(f"SELECT doc_id, regexp_matches(text, '{_ASSIGN}') OR regexp_matches(text, '{_VALUE}') AS risky FROM documents")
 def credential_flag(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", text.credential_risk(F.col("text")).alias("risky"))
+    return table(spark, d, "documents").select("doc_id", text.credential_risk(F.col("text")).alias("risky"))
 
 
 def _rule_sql(column: str) -> str:
@@ -342,11 +346,13 @@ def _rule_sql(column: str) -> str:
     return f"CASE {cases} END"
 
 
-@query(f"SELECT item_id, {_rule_sql('lower(t)')} AS type FROM (SELECT item_id, text || CASE item_id % 5 WHEN 0 THEN ' we decided so' WHEN 1 THEN ' todo: next step' WHEN 2 THEN ' it failed because of x' WHEN 3 THEN ' must not' ELSE '' END AS t FROM benchmark) WHERE NOT regexp_matches(t, '/(home|root|Users|var|etc|opt|tmp|mnt|workspace)|file://|[A-Za-z]:\\\\')")
+_COMMAND, _PATH = (x.replace("'", "''") for x in (fixed.COMMAND, fixed.FILE_PATH))
+
+
+@query(f"SELECT item_id, CASE WHEN regexp_matches(t, '{_COMMAND}') THEN 'command' WHEN regexp_matches(t, '{_PATH}') THEN 'file_path' ELSE {_rule_sql('lower(t)')} END AS type FROM (SELECT item_id, text || CASE item_id % 5 WHEN 0 THEN ' we decided so' WHEN 1 THEN ' todo: next step' WHEN 2 THEN ' it failed because of x' WHEN 3 THEN ' see /home/user/x' ELSE '' END AS t FROM benchmark)")
 def classify_rules(spark, d):
-    tail = F.when(F.col("item_id") % 5 == 0, " we decided so").when(F.col("item_id") % 5 == 1, " todo: next step").when(F.col("item_id") % 5 == 2, " it failed because of x").when(F.col("item_id") % 5 == 3, " must not").otherwise("")
-    rows = table(spark, d, "benchmark").select("item_id", F.concat("text", tail).alias("t")).where(~F.col("t").rlike(r"/(home|root|Users|var|etc|opt|tmp|mnt|workspace)|file://|[A-Za-z]:\\"))
-    return rows.select("item_id", text.card_type(F.col("t")).alias("type"))
+    tail = F.when(F.col("item_id") % 5 == 0, " we decided so").when(F.col("item_id") % 5 == 1, " todo: next step").when(F.col("item_id") % 5 == 2, " it failed because of x").when(F.col("item_id") % 5 == 3, " see /home/user/x").otherwise("")
+    return table(spark, d, "benchmark").select("item_id", text.card_type(F.concat("text", tail)).alias("type"))
 
 
 @query()
@@ -355,9 +361,9 @@ def card_extraction(spark, d):
     return cards.cards(rows).select("type", "title", "score", "confidence", "status", "identity")
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INTEGER AS tokens FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::INTEGER AS tokens FROM documents")
 def token_count(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", text.word_count(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("tokens"))
 
 
 @query()
@@ -366,11 +372,11 @@ def chunk_windows(spark, d):
     return chunking.chunk_texts(rows, 200, 40).select("id", "chunk_index", "start_line", "end_line", "tokens")
 
 
-@query("SELECT doc_id::VARCHAR AS file_path, 1 AS chunk_index, 'heading_section' AS chunk_type, source AS heading_path FROM documents WHERE NOT regexp_matches(text, '#|`') AND NOT regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]')")
+@query("SELECT doc_id::VARCHAR AS file_path, 1 AS chunk_index, 'heading_section' AS chunk_type, source AS heading_path FROM documents")
 def heading_sections(spark, d):
-    rows = bridge.marked(table(spark, d, "documents").where(~F.col("text").rlike(r"#|`")).where(~F.col("text").rlike(r"[\x0b\x0c\x1c-\x1e\x85  ]")))
-    out = chunking.markdown_chunks(rows.select(F.col("doc_id").cast("string").alias("file_path"), F.lit("a/b.md").alias("path"), "content"))
-    return out.where("chunk_index = 1").select("file_path", "chunk_index", "chunk_type", "heading_path")
+    """Of every file parsed whole, its first section."""
+    rows = bridge.marked(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("file_path"), F.lit("a/b.md").alias("path"), "content")
+    return chunking.markdown_chunks(rows).where("chunk_index = 1").select("file_path", "chunk_index", "chunk_type", "heading_path")
 
 
 @query("SELECT doc_id, 'os,sys.' || source AS modules FROM documents")
@@ -392,10 +398,10 @@ def line_window(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("lines"))
 
 
-@query("SELECT source, item.t AS tag FROM (SELECT source, unnest(from_json('[{\"t\":\"a\"},{\"t\":\"' || lang || '\"}]', '[{\"t\":\"VARCHAR\"}]')) AS item FROM documents WHERE doc_id % 10 = 3)")
+@query("SELECT source, item.t AS tag FROM (SELECT source, unnest(from_json('[{\"t\":\"a\"},{\"t\":\"' || lang || '\"}]', '[{\"t\":\"VARCHAR\"}]')) AS item FROM documents)")
 def extraction_explode(spark, d):
     payload = F.concat(F.lit('[{"t":"a"},{"t":"'), F.col("lang"), F.lit('"}]'))
-    return table(spark, d, "documents").where("doc_id % 10 = 3").select("source", F.explode(F.from_json(payload, "array<struct<t:string>>")).alias("i")).select("source", F.col("i.t").alias("tag"))
+    return table(spark, d, "documents").select("source", F.explode(F.from_json(payload, "array<struct<t:string>>")).alias("i")).select("source", F.col("i.t").alias("tag"))
 
 
 @query("SELECT note_id, 'T2' AS trust_level, greatest(0.7, 0.9)::DOUBLE AS confidence FROM (SELECT doc_id::VARCHAR AS note_id, doc_id FROM documents) WHERE doc_id % 4 = 0")
@@ -429,3 +435,108 @@ def upsert_cards(spark, d):
     docs = table(spark, d, "documents")
     cols = lambda s: [F.col("doc_id").cast("string").alias("card_id"), F.sha2(F.floor(F.col("doc_id") / 2).cast("string"), 256).alias("content_hash"), F.lit(s).alias("source"), F.lit("t0").alias("created_at"), F.lit("t1").alias("updated_at")]
     return lifecycle.upsert_cards(docs.where("doc_id % 2 = 0").select(*cols("old")), docs.where("doc_id % 2 = 1").select(*cols("new"))).select("card_id", "source")
+
+
+@query("SELECT doc_id::VARCHAR AS dst, array_to_string(list_sort(list(DISTINCT src)), ',') AS sources FROM (SELECT doc_id::VARCHAR AS src, (doc_id // 2) AS doc_id FROM documents UNION ALL SELECT doc_id::VARCHAR, doc_id // 3 FROM documents) GROUP BY 1")
+def link_graph(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.concat(F.lit("[["), F.expr("doc_id div 2").cast("string"), F.lit("]] [["), F.expr("doc_id div 3").cast("string"), F.lit("|x]]")).alias("content"))
+    return links.backlinks(links.edges(rows)).select("dst", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id < 3 THEN 'root' || doc_id ELSE 'n' || doc_id || ' root' || (doc_id % 3) END AS content FROM documents")
+def resolve_embeds(spark, d):
+    docs = table(spark, d, "documents")
+    body = F.when(F.col("doc_id") < 3, F.concat(F.lit("root"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(" ![["), (F.col("doc_id") % 3).cast("string"), F.lit("]]")))
+    rows = docs.select(F.concat(F.lit("v/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.alias("content"))
+    return links.resolve_embeds(rows).select(F.regexp_extract("file_path", r"(\d+)\.md", 1).cast("long").alias("doc_id"), "content")
+
+
+@query("SELECT doc_id, '# ' || lang || chr(10) || 'x' || doc_id AS part FROM documents")
+def section_by_heading(spark, d):
+    content = F.concat(F.lit("# Intro\na\n# "), F.col("lang"), F.lit("\nx"), F.col("doc_id").cast("string"), F.lit("\n# Next\nz"))
+    return table(spark, d, "documents").select("doc_id", links.section(content, F.upper("lang")).alias("part"))
+
+
+def _access(spark, d):
+    e = bridge.events(spark, d)
+    at = F.unix_seconds("ts").cast("double")
+    status = F.when(F.col("event_id") % 5 == 0, "approved").otherwise("pending")
+    return e.select(F.col("event_id").cast("string").alias("session_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("token_hash"), F.col("user_id").cast("string").alias("ip"), status.alias("status"), at.alias("created_at"), at.alias("updated_at"), (at + 600).alias("expires_at"), F.lit(0.0).alias("blocked_until"))
+
+
+_NOW = 1704067200.0 + 15 * 86400
+
+
+@query(f"SELECT user_id::VARCHAR AS ip, count(*) AS pending FROM events WHERE event_id % 5 <> 0 AND floor(epoch(ts)) > {_NOW} - 600 GROUP BY 1")
+def access_pending(spark, d):
+    return access.pending_counts(_access(spark, d), _NOW).select("ip", "pending")
+
+
+@query(f"SELECT CASE WHEN floor(epoch(ts)) + 600 <= {_NOW} THEN 'expired' WHEN event_id % 5 = 0 THEN 'revoked' WHEN event_id % 2 = 0 THEN 'approved' ELSE 'denied' END AS status, count(*) AS n FROM events GROUP BY 1")
+def access_lifecycle(spark, d):
+    rows = access.expire(_access(spark, d), _NOW)
+    action = F.when(F.col("session_id").cast("long") % 5 == 0, "revoke").when(F.col("session_id").cast("long") % 2 == 0, "approve").otherwise("deny")
+    decided = access.decide(rows, rows.select("session_id", action.alias("action"), F.lit("t").alias("token"), F.lit(3600.0).alias("ttl")), _NOW)
+    return decided.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id::VARCHAR AS token, event_id::VARCHAR AS session_id FROM events WHERE event_id % 5 = 0 AND floor(epoch(ts)) + 600 > {_NOW}")
+def access_tokens(spark, d):
+    rows = _access(spark, d)
+    return access.valid(rows, rows.select(F.col("session_id").alias("token")), _NOW)
+
+
+@query("SELECT s.project AS name, 'p/' || s.project AS path, CASE WHEN n % 2 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS attempts FROM (SELECT source AS project, count(*) AS n FROM documents GROUP BY 1) s")
+def queue_configured(spark, d):
+    projects = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n")).withColumn("path", F.concat(F.lit("p/"), "name"))
+    state = projects.where("n % 2 = 0").select("name", "path", F.lit("done").alias("status"), F.lit(1).alias("attempts"))
+    return queue.configured(projects.select("name", "path"), state).select("name", "path", "status", "attempts")
+
+
+@query("SELECT 'error ' || (user_id % 7) AS error, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1 ORDER BY n DESC, error LIMIT 10")
+def queue_errors(spark, d):
+    rows = table(spark, d, "events").select("user_id").distinct().select(F.concat(F.lit("error "), (F.col("user_id") % 7).cast("string"), F.lit("; more\nlines")).alias("last_error"))
+    return queue.errors(rows)
+
+
+@query("SELECT role, 'EMAIL' AS entity, count(*) AS n FROM conversations GROUP BY role")
+def entity_scrub(spark, d):
+    rows = table(spark, d, "conversations").select("role", F.concat(F.lit("write to u"), F.col("turn").cast("string"), F.lit("@example.org now")).alias("content"))
+    return entities.scrubbed(rows).where("content = 'write to <EMAIL> now'").select("role", F.explode("entities").alias("entity")).groupBy("role", "entity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id AS exchange_id, turn AS tool_use_id, CASE WHEN turn % 2 = 0 THEN 'r' || turn END AS result, turn % 4 = 0 AS is_error FROM conversations")
+def tool_results(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("exchange_id"), F.col("turn").alias("tool_use_id"))
+    results = rows.where("tool_use_id % 2 = 0").select("*", F.concat(F.lit("<result>r"), F.col("tool_use_id").cast("string"), F.lit("</result>")).alias("result"), (F.col("tool_use_id") % 4 == 0).alias("is_error"))
+    return conversations.tool_results(rows, results)
+
+
+@query("SELECT doc_id::VARCHAR AS exchange_id, CASE WHEN doc_id % 2 = 0 THEN 's2' END AS summary FROM documents")
+def enrichment_last_wins(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("exchange_id"))
+    found = docs.where("cast(exchange_id as long) % 2 = 0").select(F.concat(F.lit("x"), "exchange_id").alias("exchange_id"), F.col("exchange_id").alias("alternate_id"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("file"))
+    full = found.select("*", F.when(F.col("file") == "f2", "s2").otherwise("s1").alias("summary"), F.lit("c").alias("category"), F.lit("i").alias("intent"))
+    return conversations.enriched(docs, full).select("exchange_id", "summary")
+
+
+@query("SELECT sha256(fp) AS fingerprint, min(doc_id) AS doc_id FROM (SELECT doc_id, source || ' ' || lang AS fp FROM documents WHERE doc_id % 3 <> 0) WHERE fp NOT IN (SELECT source || ' ' || lang FROM documents WHERE doc_id % 50 = 0) GROUP BY 1")
+def fingerprint_push(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("content"))
+    pushed = docs.where("doc_id % 50 = 0").select(text.fingerprint(F.col("content")).alias("fingerprint")).distinct()
+    one = docs.where("doc_id % 3 <> 0").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    return sinks.to_push(one, pushed).select("fingerprint", "doc_id")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'decision' WHEN 'de' THEN 'idea' END AS kind, CASE lang WHEN 'en' THEN 'T2' WHEN 'de' THEN 'T3' ELSE 'T4' END AS trust_level FROM documents WHERE doc_id >= 500")
+def remote_thoughts(spark, d):
+    kind = F.when(F.col("lang") == "en", "decision").when(F.col("lang") == "de", "idea")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.to_json(F.struct(kind.alias("type"), F.array("source").alias("topics"))).alias("metadata"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("created_at"))
+    out = files.thoughts(rows, "000500").join(rows.select(F.concat(F.lit("ob1_thought_"), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), "metadata", F.col("id").alias("doc_id")), "chunk_id")
+    return out.select("doc_id", F.get_json_object("metadata", "$.type").alias("kind"), "trust_level")
+
+
+@query("SELECT doc_id, 'Summary: s' || chr(10) || chr(10) || 'User: ' || substr(text, 1, 800) AS text FROM documents WHERE text <> ''")
+def enriched_text(spark, d):
+    rows = table(spark, d, "documents").where("text <> ''")
+    return rows.select("doc_id", conversations.embedding_text(F.lit("s"), F.col("text"), F.lit(""), F.lit("")).alias("text"))
