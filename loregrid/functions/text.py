@@ -218,3 +218,36 @@ def card_status_weight(status: Column, current: Column) -> Column:
     for name, weight in fixed.CARD_STATUS_WEIGHTS.items():
         out = (F if out is None else out).when(status == name, F.lit(weight))
     return out.otherwise(F.lit(fixed.OTHER_WEIGHT)) * F.when(current, F.lit(1.0)).otherwise(F.lit(fixed.NOT_CURRENT_WEIGHT))
+
+
+def project_of_uri(uri: Column) -> Column:
+    """The last folder of a workspace URI, decoded."""
+    path = F.rtrim(F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), r"^[a-z-]+://[^/]*", ""), F.lit("/"))
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def instant(value: Column) -> Column:
+    """A time from epoch seconds or, above 1e10, milliseconds."""
+    number = F.try_to_number(value, F.lit("9999999999999999")).cast("long")
+    return F.when(number > 10_000_000_000, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number))
+
+
+def line_span(source_lines: Column) -> Column:
+    """(first, last) of the numbers in a description of lines such as ``L12-L20, 31``."""
+    numbers = F.transform(F.regexp_extract_all(source_lines, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    return F.struct(F.array_min(numbers).alias("first"), F.array_max(numbers).alias("last"))
+
+
+def first_heading(markdown: Column) -> Column:
+    return F.trim(F.regexp_extract(markdown, r"(?m)^#{1,6}\s+(.+)$", 1))
+
+
+def basic_category(user: Column, tools: Column, errors: Column) -> Column:
+    """What an exchange is about, from its words, tools and errors; later rules win."""
+    low = F.lower(F.coalesce(user, F.lit("")))
+    edited = F.arrays_overlap(tools, F.array(*[F.lit(t) for t in ("Edit", "Write", "MultiEdit")]))
+    rules = [(F.lit(True), "discussion"), (F.size(tools) > 0, "exploration"), (edited, "implementation"), (_holds(low, ["test", "verify"]), "testing"), (_holds(low, ["deploy", "release"]), "deployment"), ((errors > 0) | _holds(low, ["error", "bug", "fix"]), "debugging")]
+    out = None
+    for condition, name in reversed(rules):
+        out = (F if out is None else out).when(condition, name)
+    return out

@@ -151,3 +151,60 @@ def thoughts(rows: DataFrame, since: str | None = None) -> DataFrame:
     trust = F.when(kind.isin("decision", "reference"), "T2").when(kind.isin("observation", "task", "idea"), "T3").otherwise("T4")
     project = F.coalesce(F.get_json_object("metadata", "$.topics[0]"), F.lit(""))
     return rows.select(F.concat(F.lit("ob1_thought_"), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), F.concat(F.lit("ob1://thoughts/"), F.col("id").cast("string")).alias("file_path"), "content", trust.alias("trust_level"), project.alias("project"), "created_at").orderBy(F.desc("created_at"), "chunk_id")
+
+
+def enrichment_files(spark: SparkSession, root: str) -> DataFrame:
+    """Enrichment of exchanges, one JSON document a file; files that begin with _ are left out."""
+    schema = "exchange_id string, session_id string, line_start int, line_end int, archive_path string, summary string, category string, intent string, topics string, technologies string, outcome string, complexity string"
+    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root).withColumn("file", F.col("_metadata.file_path"))
+    alternate = text.exchange_id(F.col("archive_path"), F.col("line_start"), F.col("line_end"))
+    return rows.where(~F.element_at(F.split("file", "/"), -1).startswith("_")).withColumn("alternate_id", alternate)
+
+
+def schemas(rows: DataFrame) -> DataFrame:
+    """Tables of SQLite files: how many rows each has and which columns, as ``databases`` shows them."""
+    return rows.groupBy("path", "table").agg(F.count("*").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("row"))))).alias("columns"))
+
+
+def log_summary(rows: DataFrame) -> DataFrame:
+    """Of each log table: rows, threads, first and last time, and rows with a body."""
+    get = lambda *names: F.coalesce(*[F.expr(f"nullif(get_json_object(row, '$.{n}'), '')") for n in names])
+    moment = get("created_at", "timestamp", "ts")
+    return rows.groupBy("path", "table").agg(F.count("*").alias("rows"), F.countDistinct(get("thread_id", "conversation_id", "session_id")).alias("threads"), F.min(moment).alias("first"), F.max(moment).alias("last"), F.count_if(get("feedback_log_body", "body", "message", "content", "text").isNotNull()).alias("with_body"))
+
+
+def episodes(rows: DataFrame) -> DataFrame:
+    """Exchanges of an episodic store (tables exchanges and tool_calls) with their tools, by time."""
+    get = lambda n: F.get_json_object("row", f"$.{n}")
+    own = rows.where("table = 'exchanges'").select(*[get(n).alias(n) for n in ("id", "project", "timestamp", "user_message", "assistant_message", "session_id")])
+    tools = rows.where("table = 'tool_calls'").groupBy(get("exchange_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(get("tool_name"))), ",").alias("tool_names"), F.count("*").alias("tool_count"), F.count_if(get("is_error").isin("1", "true")).alias("tool_error_count"))
+    return own.join(tools, "id", "left").na.fill({"tool_names": "", "tool_count": 0, "tool_error_count": 0}).orderBy("timestamp", "id")
+
+
+def resolved(asked: DataFrame, known: DataFrame, roots: list[str]) -> DataFrame:
+    """(asked, path): the first of the candidate roots under which each asked path is known."""
+    tries = F.array(*[F.struct(F.lit(i).alias("no"), F.concat(F.lit(r), "asked").alias("path")) for i, r in enumerate(["", *[f"{r.rstrip('/')}/" for r in roots]])])
+    met = asked.select("asked", F.explode(tries).alias("t")).select("asked", "t.no", "t.path").join(known.select("path"), "path")
+    return asked.join(met.groupBy("asked").agg(F.min_by("path", "no").alias("path")), "asked", "left")
+
+
+def session_file(listed: DataFrame, session_id: str) -> DataFrame:
+    """The first file, by path, whose name holds a session's id."""
+    return listed.where(F.element_at(F.split("path", "/"), -1).contains(session_id)).orderBy("path").limit(1)
+
+
+#: Where assistants on one machine keep their histories, below the home folder.
+KNOWN_SOURCES = {"claude": ".claude/projects", "codex": ".codex/sessions", "codex-logs": ".codex/log", "windsurf": ".codeium/windsurf", "antigravity": ".gemini/antigravity", "gemini": ".gemini/tmp", "vscode": ".config/Code/User/globalStorage", "cursor": ".config/Cursor/User/globalStorage", "archive": "conversation-archive"}
+
+
+def local_sources(spark: SparkSession, home: str) -> DataFrame:
+    """(source, path, length, modified) of the files of all known sources below ``home``.
+
+    Each source is listed from its own folder, as Spark leaves out hidden folders below one.
+    """
+    found = spark.createDataFrame([], "path string, length long, modified timestamp, source string")
+    for name, folder in KNOWN_SOURCES.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{folder}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            found = found.unionByName(listing(spark, at.toString()).withColumn("source", F.lit(name)))
+    return found

@@ -68,4 +68,5 @@ def register(spark: SparkSession) -> None:
     from ..plans.session import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RestTable)

@@ -57,3 +57,14 @@ def push(rows: DataFrame, send) -> DataFrame:
             yield frame[["fingerprint"]].assign(ok=[bool(send(r)) for r in frame.to_dict("records")])
 
     return rows.mapInPandas(run, "fingerprint string, ok boolean")
+
+
+def extraction_json(cards: DataFrame, agent: str) -> DataFrame:
+    """One row with the extraction document of ranked cards: a summary and the cards in their order.
+
+    A document holds the cards of one report, whose number the extraction bounds.
+    """
+    card = F.struct("type", "project", "title", "body", "status", "confidence", F.col("current_truth"), F.col("needs_confirmation").alias("needs_repo_confirmation"), F.split("tags", ",").alias("tags"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("score", "title", card.alias("card"))), asc=False), lambda x: x["card"])
+    summary = F.struct(F.lit(f"{agent} history").alias("title"), F.array_sort(F.collect_set("project")).alias("projects_detected"), F.concat(F.count("*").cast("string"), F.lit(" cards")).alias("summary"))
+    return cards.agg(F.to_json(F.struct(summary.alias("conversation_summary"), ordered.alias("memory_cards"))).alias("payload"))

@@ -47,3 +47,36 @@ def within_budget(batch: DataFrame, chunks: int) -> DataFrame:
 
     order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return batch.withColumn("before", F.sum("n_chunks").over(order) - F.col("n_chunks")).where(F.col("before") < chunks).drop("before")
+
+
+def work_items(batch: DataFrame) -> DataFrame:
+    """The paths of a batch, each once, in order of their first event: a queue without duplicates."""
+    return batch.groupBy("path").agg(F.min("ts").alias("first_event"), F.max_by("event", "ts").alias("event")).orderBy("first_event", "path")
+
+
+class Progress:
+    """Collects what a stream reports of its batches: (name, batch, rows)."""
+
+    def __init__(self, spark: SparkSession):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        seen: list[tuple[str, int, int]] = []
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                seen.append((event.progress.name, event.progress.batchId, event.progress.numInputRows))
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self.seen, self._spark, self._listener = seen, spark, Listener()
+        spark.streams.addListener(self._listener)
+
+    def stop(self) -> None:
+        self._spark.streams.removeListener(self._listener)

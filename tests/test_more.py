@@ -1,0 +1,158 @@
+"""Links, access, queue, entities, settings, remote and file sources, sinks."""
+
+import base64
+import json
+import sqlite3
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loregrid import config
+from loregrid.functions import entities, text
+from loregrid.operators import access, links, queue
+from loregrid.sources import files, rest, sinks
+from loregrid.streaming import stateful
+
+
+def test_embeds(spark):
+    rows = spark.createDataFrame([("a.md", "start ![[b]] end ![[pic.png]] ![[none]]"), ("b.md", "B ![[c#Two]]"), ("c.md", "# One\nx\n## Two\ny ![[a]]\n# Three\nz"), ("z/b.md", "other")], "file_path string, content string")
+    out = {r.file_path: r.content for r in links.resolve_embeds(rows).collect()}
+    assert out["b.md"].startswith("B ## Two\ny start (circular embed: b)")
+    assert "B ## Two\ny (circular embed: a) end [[pic.png]] (missing embed: none)" in out["a.md"]
+
+
+def test_links(spark):
+    rows = spark.createDataFrame([("a.md", "[[b]] [[b|x]] [[c#h]]"), ("b.md", "[[c]]"), ("d.md", None)], "file_path string, content string")
+    made = links.edges(rows)
+    assert {r.src: r.targets for r in links.adjacency(made).collect()} == {"a.md": ["b", "c"], "b.md": ["c"]}
+    assert {r.dst: r.sources for r in links.backlinks(made).collect()} == {"b": ["a.md"], "c": ["a.md", "b.md"]}
+
+
+def test_access(spark):
+    schema = "session_id string, token_hash string, ip string, status string, created_at double, updated_at double, expires_at double, blocked_until double"
+    none = spark.createDataFrame([], schema)
+    fresh = spark.createDataFrame([("s1", "ip1"), ("s2", "ip2")], "session_id string, ip string")
+    rows = access.request(none, fresh, 1000.0)
+    assert access.request(rows, spark.createDataFrame([("s3", "ip1")], "session_id string, ip string"), 1100.0).count() == 2
+    act = spark.createDataFrame([("s1", "approve", "tok", 100.0), ("s2", "deny", "x", 0.0)], "session_id string, action string, token string, ttl double")
+    after = access.decide(rows, act, 1200.0)
+    assert {r.session_id: r.status for r in after.collect()} == {"s1": "approved", "s2": "denied"}
+    assert access.request(after, spark.createDataFrame([("s4", "ip2")], "session_id string, ip string"), 2000.0).count() == 2
+    tokens = spark.createDataFrame([("tok",), ("bad",)], "token string")
+    assert [tuple(r) for r in access.valid(after, tokens, 1250.0).collect()] == [("tok", "s1")] and access.valid(after, tokens, 1400.0).count() == 0
+    assert access.expire(after, 1400.0).where("status = 'expired'").count() == 1
+    log = access.audit(spark.createDataFrame([], "ts double, session_id string, ip string, event string"), rows, after, 1200.0)
+    assert [r.event for r in access.newest(log).collect()] == ["approved", "denied"]
+
+
+def test_queue(spark):
+    projects = spark.createDataFrame([("a", "/a"), ("b", "/b")], "name string, path string")
+    state = spark.createDataFrame([("a", "/a", "retry", 2)], "name string, path string, status string, attempts int")
+    rows = queue.configured(projects, state)
+    run = queue.started(queue.started(rows, "a", 5.0), "a", 6.0)
+    assert {r.name: (r.status, r.attempts) for r in run.collect()} == {"a": ("running", 3), "b": ("pending", 0)}
+    assert queue.ended(run, "a", 7.0, True, failed=True, error="x").where("name = 'a'").first().status == "retry"
+    done = queue.ended(run, "a", 7.0, True, "ok_with_errors")
+    assert done.where("name = 'a'").first().status == "done"
+    assert queue.reset(done, ["a"]).where("status = 'pending'").count() == 2 and queue.reset(done).where("attempts > 0").count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab1 .-@:/+()", max_size=60))
+def test_scrubbing_leaves_nothing(raw):
+    out = entities.scrub(raw)
+    assert not any(n in ("EMAIL", "IP") for n, *_ in entities.found(out))
+
+
+def test_entities(spark):
+    rows = spark.createDataFrame([("mail a@b.org from 10.0.0.1 key sk-abcdefghijklmn", 1), (None, 2), ("", 3)], "content string, id int")
+    out = entities.scrubbed(rows)
+    assert out.where("id = 1").first().content == "mail <EMAIL> from <IP> key <KEY>"
+    assert {r.entity: r.n for r in entities.entity_counts(out).collect()} == {"EMAIL": 1, "IP": 1, "KEY": 1}
+    inner = base64.b64encode(b"\x01\x02hidden words in here\x00" * 5)
+    raw = spark.createDataFrame([(1, bytearray(b"\x00\x01first text\x00" + inner))], "id int, data binary")
+    found = entities.printable_strings(raw, "data").first().strings
+    assert found[0] == "first text" and "hidden words in here" in found
+
+
+def test_settings(tmp_path, monkeypatch):
+    path = tmp_path / "s.yaml"
+    path.write_text("# x\nvault: /v\nmax_files: 3\nprojects:\n  a: /a\nignore:\n  - tmp\n")
+    monkeypatch.setenv("LOREGRID_MAX_CHUNKS", "7")
+    found = config.load(str(tmp_path / "none"), str(path))
+    assert (found.vault, found.max_files, found.max_chunks, found.projects, found.ignore) == ("/v", 3, 7, {"a": "/a"}, ["tmp"])
+    again = tmp_path / "t.yaml"
+    again.write_text(found.to_text())
+    assert config.load(str(again)) == found
+
+
+def test_rest(spark, tmp_path):
+    dump = tmp_path / "dump.json"
+    dump.write_text(json.dumps([{"id": 1, "content": "x", "metadata": {"type": "decision", "topics": ["p"]}, "created_at": "2026-01-02"}, {"id": 2, "content": "y", "metadata": {"type": "idea"}, "created_at": "2026-01-03"}, {"id": 3, "content": "z", "metadata": None, "created_at": "2025-01-01"}]))
+    rest.register(spark)
+    rows = spark.read.format("rest_table").option("path", str(dump)).load()
+    out = files.thoughts(rows, "2026-01-01").collect()
+    assert [(r.chunk_id, r.trust_level, r.project) for r in out] == [("ob1_thought_2_0", "T3", ""), ("ob1_thought_1_0", "T2", "p")]
+    assert rows.where("id = '3'").count() == 1
+
+
+@pytest.fixture()
+def databases(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "e.sqlite") as base:
+        base.execute("create table exchanges(id text, project text, timestamp text, user_message text, assistant_message text, session_id text)")
+        base.executemany("insert into exchanges values (?, 'p', ?, 'u', 'a', 's')", [("e1", "2"), ("e2", "1")])
+        base.execute("create table tool_calls(exchange_id text, tool_name text, is_error int)")
+        base.executemany("insert into tool_calls values ('e1', ?, ?)", [("Bash", 0), ("Edit", 1), ("Bash", 0)])
+    return files.databases(spark, str(tmp_path))
+
+
+def test_episodes(databases):
+    out = files.episodes(databases).collect()
+    assert [(r.id, r.tool_names, r.tool_count, r.tool_error_count) for r in out] == [("e2", "", 0, 0), ("e1", "Bash,Edit", 3, 1)]
+    assert {r.table: (r.rows, len(r.columns)) for r in files.schemas(databases).collect()} == {"exchanges": (2, 6), "tool_calls": (3, 3)}
+    assert files.log_summary(databases).where("table = 'exchanges'").first().last == "2"
+
+
+def test_paths(spark, tmp_path):
+    known = spark.createDataFrame([("/r1/a.md",), ("/r2/a.md",), ("b.md",)], "path string")
+    out = files.resolved(spark.createDataFrame([("a.md",), ("b.md",), ("c.md",)], "asked string"), known, ["/r1", "/r2/"])
+    assert {r.asked: r.path for r in out.collect()} == {"a.md": "/r1/a.md", "b.md": "b.md", "c.md": None}
+    assert files.session_file(known, "a").first().path == "/r1/a.md"
+    home = tmp_path / "home"
+    (home / ".claude/projects/x").mkdir(parents=True)
+    (home / ".claude/projects/x/s.jsonl").write_text("{}")
+    (home / "other.txt").write_text("")
+    assert [r.source for r in files.local_sources(spark, str(home)).collect()] == ["claude"]
+    extra = tmp_path / "enrich"
+    extra.mkdir()
+    (extra / "_stats.json").write_text("{}")
+    (extra / "e.json").write_text(json.dumps({"exchange_id": "e", "archive_path": "p", "line_start": 1, "line_end": 2, "summary": "s"}))
+    got = files.enrichment_files(spark, str(extra)).collect()
+    assert [(r.exchange_id, r.summary, len(r.alternate_id)) for r in got] == [("e", "s", 32)]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("t1", "2", 2, "b"), ("t1", "1", 1, "a"), ("t2", "1", 1, "c")], "thread_id string, timestamp string, row_no long, content string")
+    sinks.export_threads(rows, str(tmp_path / "threads"))
+    part = next((tmp_path / "threads" / "thread_id=t1").glob("*.json"))
+    assert [json.loads(x)["content"] for x in part.read_text().splitlines()] == ["a", "b"]
+    notes = spark.createDataFrame([("n1234567890", "Do this. Then", "my proj", "bug", "low", "2026-01-02T00:00:00", True), ("n2", "x", "p", "bug", "low", "", False)], "note_id string, content string, project string, category string, severity string, created_at string, confirmed boolean")
+    made = sinks.promoted_notes(notes, "out").collect()
+    assert [r.path for r in made] == ["out/my_proj/bug_20260102_n1234567.md"] and "# Do this." in made[0].content
+    card = spark.createDataFrame([("todo", "p", "t", "b", "historical", "low", False, True, "a,b", 5)], "type string, project string, title string, body string, status string, confidence string, current_truth boolean, needs_confirmation boolean, tags string, score int")
+    payload = json.loads(sinks.extraction_json(card, "codex").first().payload)
+    assert payload["memory_cards"][0]["tags"] == ["a", "b"] and payload["conversation_summary"]["projects_detected"] == ["p"]
+    assert sinks.prompts(spark.createDataFrame([("s/1", "hello")], "session_id string, text string"), "Do").first().name == "s_1.txt"
+    pushed = sinks.push(sinks.to_push(rows, rows.limit(0).selectExpr("content fingerprint")), lambda r: r["content"] != "b")
+    assert sorted(r.ok for r in pushed.collect()) == [False, True, True]
+    assert sinks.manifest(spark.createDataFrame([("x/y.jsonl", "0123456789abcdef")], "path string, content_hash string"), "arc", "now").first().archived_to == "arc/0123456789ab_y.jsonl"
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([("file:///home/u/my%20proj/", "L12-L20, 31", "x\n# Head one\n", "1700000000", "1700000000000", "please fix the bug")], "u string, l string, m string, s string, ms string, w string")
+    out = row.select(text.project_of_uri(F.col("u")).alias("p"), text.line_span(F.col("l")).alias("l"), text.first_heading(F.col("m")).alias("h"), text.instant(F.col("s")).alias("a"), text.instant(F.col("ms")).alias("b"), text.basic_category(F.col("w"), F.array().cast("array<string>"), F.lit(0)).alias("c")).first()
+    assert (out.p, tuple(out.l), out.h, out.a == out.b, out.c) == ("my proj", (12, 31), "Head one", True, "debugging")
+    batch = spark.createDataFrame([("b", "2026-01-01 00:00:01", "x"), ("a", "2026-01-01 00:00:02", "y"), ("b", "2026-01-01 00:00:03", "z")], "path string, ts string, event string")
+    assert [(r.path, r.event) for r in stateful.work_items(batch).collect()] == [("b", "z"), ("a", "y")]
