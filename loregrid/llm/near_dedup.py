@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import prepare, saved
+from .scratch import drop, prepare, saved
 from .text import U64, mix, pieces, shingle_sets
 
 COORDINATES, MATCHES, BLOCK, TEXTS = 32, 14, 2048, 256
@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     signed = saved(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     members = saved(signed.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("tokens")).alias("tokens")))
+    drop(signed)
     reps = members.where("tokens IS NOT NULL").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["id", "n"])
 
     posted = reps.select("id", F.explode("tokens").alias("key")).repartition("key")
@@ -218,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     repeated = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
     bridges = same.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi")
     final = components(links.unionByName(more).unionByName(bridges))
+    drop(postings, pool, signatures, links, found)
     out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import prepare, saved
+from .scratch import drop, prepare, saved
 
 CELLS, CELL_ROWS = 256, 200_000
 
@@ -126,6 +126,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
     table = spark.createDataFrame(shard_of, "cell int, part int, shard int")
     placed = rows.join(solved.where("part >= 0").join(F.broadcast(table), ["cell", "part"]).select("h1", "h2", "shard"), ["h1", "h2"])
     placed = saved(placed.withColumn("lane", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(cells)).cast("int")))
+    drop(rows, solved)
     counts: dict[int, dict[int, int]] = {}
     for r in placed.groupBy("shard", "lane").count().collect():  # cells x shards numbers
         counts.setdefault(r.shard, {})[r.lane] = r["count"]

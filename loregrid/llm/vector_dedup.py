@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import prepare, saved
+from .scratch import drop, prepare, saved
 from .vectors import lists, matrix, unit, usable
 
 COSINE = 0.9
@@ -189,11 +189,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_column: str = "vec
         sent = sent.select("cell", "part", F.when((F.col("kind") == 0) & (F.col("part") == F.col("last")), 0).otherwise(1).alias("kind"), "id", "copies", "v")
         together = sent.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
         found = saved(together.mapInArrow(_join(cosine), "a long, b long, n long"))
+        drop(cells)
         links = found.where("b IS NOT NULL").select("a", "b")
         counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     else:
         links = spark.createDataFrame([], "a long, b long")
         counts = spark.createDataFrame([], "rep long, links long")
+    drop(rows, distinct)
     repeated = known.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
     bridges = known.where("id <> rep").join(repeated.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     component = components(links.unionByName(bridges)).withColumnRenamed("node", "rep")
