@@ -14,7 +14,7 @@ CHUNKS = "collection string, chunk_id string, content string, file_path string,
 NOTES = "note_id string, content string, context string, project string, category string, severity string, confirmed boolean, promoted boolean, trust_level string, status string, confidence double, created_at string, updated_at string, linked_record string, embedding array<float>"
 RECORDS = "record_id string, record_type string, project string, content string, trust_level string, status string, confidence double, tags array<string>, linked_note string, superseded_by string, reviewed_at string"
 CARDS = "card_id string, content_hash string, type string, project string, title string, body string, why string, status string, confidence string, current_truth boolean, needs_confirmation boolean, tags string, source_date string, created_at string, updated_at string"
-MERGE_DISTANCE = 0.1
+MERGE_DISTANCE, QUERY_BLOCK = 0.1, 1000
 
 
 class Engine:
@@ -96,6 +96,32 @@ class Engine:
         lines = rows.select(F.posexplode(F.split("content", "\n")).alias("pos", "line"), "start_line").select((F.col("start_line") + F.col("pos")).alias("no"), "line")
         return lines.where(F.col("no").between(start, start + count - 1)).groupBy("no").agg(F.max("line").alias("line")).orderBy("no")
 
+    def project_context(self, project: str, query: str) -> DataFrame:
+        """(kind, id, title, score): the best documents, sources, notes and cards for a task in a project."""
+        hits = [self.search(query, k=3, threshold=0.0, collections=[c], project=p).select(F.lit(kind).alias("kind"), F.col("chunk_id").alias("id"), text.note_title(F.col("content")).alias("title"), F.col("score")) for kind, c, p in (("document", "documents", None), ("code", "codebase", project))]
+        near = retrieval.nearest(self.store.read("notes").where(F.col("project") == project).withColumn("chunk_id", F.col("note_id")), self._vector(query), 5)
+        notes = near.select(F.lit("note").alias("kind"), F.col("note_id").alias("id"), text.note_title(F.col("content")).alias("title"), F.round(1 - F.col("distance") / 2, 4).alias("score"))
+        own = self.list_cards(5, project=project).select(F.lit("card").alias("kind"), F.col("card_id").alias("id"), "title", text.card_status_weight(F.col("status"), F.col("current_truth")).alias("score"))
+        return hits[0].unionByName(hits[1]).unionByName(notes).unionByName(own)
+
+    def project_overview(self, project: str, as_of: str, most: int = 12) -> DataFrame:
+        """A project overview record made of the project's files and active records."""
+        named = self.store.read("chunks").where(F.col("project_name") == project).where("chunk_type IN ('file_summary', 'module_summary')").select(F.concat(F.lit("- "), "file_path").alias("line"))
+        facts = self.store.read("records").where((F.col("project") == project) & (F.col("status") == "active")).select(F.concat(F.lit("- "), text.note_title(F.col("content"))).alias("line"))
+        lines = facts.orderBy("line").limit(most).unionByName(named.orderBy("line").limit(most))
+        body = lines.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
+        return body.select(
+            F.concat(F.lit("semantic_project_overview_"), text.short_hash(F.lit(project), 32)).alias("record_id"), F.lit("project_overview").alias("record_type"), F.lit(project).alias("project"), "content", F.lit("T2").alias("trust_level"), F.lit("active").alias("status"),
+            F.lit(0.9).alias("confidence"), F.array(F.lit("overview")).alias("tags"), F.lit("").alias("linked_note"), F.lit("").alias("superseded_by"), F.lit(as_of).alias("reviewed_at"),
+        )
+
+    def bootstrap_coverage(self, as_of: str) -> list[str]:
+        """Give every indexed project without an active record an overview; returns those projects."""
+        missing = [r.project for r in self.coverage_gaps().orderBy("project").collect()]  # configured projects
+        for project in missing:
+            self.store_records(self.project_overview(project, as_of))
+        return missing
+
     # notes, records, cards
     def store_notes(self, rows: DataFrame, as_of: str) -> None:
         """Add notes (note_id, content, context, project, category, severity); near ones are merged."""
@@ -108,13 +134,17 @@ class Engine:
     def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE) -> DataFrame:
         """(note_id, near_id, distance): each fresh note's nearest stored one closer than ``most``.
 
-        The batch of fresh notes is the query set, compared with all notes in blocks of a
-        broadcast whose size is that of the batch, which is a request, not the corpus.
+        The fresh notes are the query set, compared with all notes in blocks of ``QUERY_BLOCK``,
+        each of which is broadcast. Blocks are by hash, so ids may repeat.
         """
-        query = fresh.select("note_id", F.col("embedding").alias("q"))
-        all_ = notes.select(F.col("note_id").alias("near_id"), "embedding").join(F.broadcast(query), F.lit(True))
-        near = all_.withColumn("distance", 1 - retrieval.cosine(F.col("q"), F.col("embedding"))).where(F.col("distance") < most)
-        return near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
+        blocks = -(-fresh.count() // QUERY_BLOCK)
+        found = self.spark.createDataFrame([], "note_id string, near_id string, distance double")
+        for block in range(blocks):
+            query = fresh.where(F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == block).select("note_id", F.col("embedding").alias("q"))
+            pairs = notes.select(F.col("note_id").alias("near_id"), "embedding").join(F.broadcast(query), F.lit(True))
+            near = pairs.withColumn("distance", 1 - retrieval.cosine(F.col("q"), F.col("embedding"))).where(F.col("distance") < most)
+            found = found.unionByName(near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance")))
+        return found
 
     def list_notes(self, project: str | None = None, category: str | None = None, confirmed: bool | None = None, limit: int = 50) -> DataFrame:
         rows = self.store.read("notes")
@@ -131,10 +161,10 @@ class Engine:
     def promote_notes(self, as_of: str) -> DataFrame:
         """Confirmed notes become records, linked both ways; returns the new records."""
         notes, records = lifecycle.promote(self.store.read("notes"), as_of)
-        made = self.spark.createDataFrame(records.select(*self.store.read("records").columns).collect(), RECORDS)  # what one call confirms
-        self.store.replace("notes", notes)
+        made = records.select(*self.store.read("records").columns)
         self.store.upsert("records", made, "record_id")
-        return made
+        self.store.replace("notes", notes)
+        return made  # of the version of the notes that was read
 
     def store_records(self, rows: DataFrame) -> None:
         self.store.upsert("records", rows, "record_id")

@@ -39,3 +39,19 @@ def embedded(rows: DataFrame, column: str = "content", embed: Callable[[list[str
                 yield pd.Series([v for a in range(0, len(texts), batch) for v in embed(texts[a : a + batch])])
 
     return rows.withColumn("embedding", run(F.col(column)))
+
+
+#: The lengths of vectors of known models, and the prefixes that one family wants.
+MODEL_DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
+TASK_PREFIXES = {"nomic": ("search_query: ", "search_document: ")}
+
+
+def dimensions(model: str, embed: Callable[[list[str]], list[list[float]]] | None = None) -> int:
+    """The length of a model's vectors: known, or asked from the model, or the offline one."""
+    return MODEL_DIMENSIONS.get(model) or (len(embed(["x"])[0]) if embed else DIMENSIONS)
+
+
+def prefixed(model: str, embed: Callable[[list[str]], list[list[float]]], query: bool) -> Callable[[list[str]], list[list[float]]]:
+    """``embed`` with the prefix that the model's family wants for queries or documents."""
+    prefix = next((p[0 if query else 1] for family, p in TASK_PREFIXES.items() if family in model), "")
+    return lambda texts: embed([prefix + t for t in texts])

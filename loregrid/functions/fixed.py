@@ -78,3 +78,6 @@ SYNONYMS = {
     "perf": ["performance", "optimization", "speed", "latency", "throughput"],
     "err": ["error", "exception", "bug", "crash", "failure", "traceback"],
 }
+
+# How records of the remote store are named here.
+THOUGHT_ID, THOUGHT_PATH = "ob1_thought_", "ob1://thoughts/"

@@ -251,3 +251,20 @@ def basic_category(user: Column, tools: Column, errors: Column) -> Column:
     for condition, name in reversed(rules):
         out = (F if out is None else out).when(condition, name)
     return out
+
+
+def clean_for_enrichment(text: Column, most: int = 4000) -> Column:
+    """A message without any paired tag and its content, cut with a mark that says so."""
+    bare = F.regexp_replace(text, r"(?s)<([a-zA-Z][\w-]*)>.*?</\1>", "")
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+", ""), r"\s+$", "")
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("... [truncated]"))).otherwise(flat)
+
+
+def boosted(score: Column, confirmed: Column, severity: Column) -> Column:
+    """The optional boost of notes: a tenth if confirmed, a twentieth if critical, 1 at most."""
+    return F.least(F.lit(1.0), score * F.when(confirmed, 1.1).otherwise(1.0) * F.when(severity == "critical", 1.05).otherwise(1.0))
+
+
+def extraction_prompt(instructions: str, conversation: Column, title: Column, date: Column) -> Column:
+    """What a language model is asked for one conversation."""
+    return F.concat_ws("\n\n", F.lit(instructions), F.concat(F.lit("Title: "), title), F.concat(F.lit("Date: "), date), F.concat(F.lit("Conversation:\n"), conversation), F.lit("Answer with one JSON document."))

@@ -59,3 +59,33 @@ def low_trust(found: DataFrame) -> DataFrame:
 def discarded(found: DataFrame) -> DataFrame:
     """How many sentences were dropped, by reason."""
     return found.where("verdict IN ('credential', 'noise')").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def enriched_by(rows: DataFrame, ask) -> DataFrame:
+    """Exchanges (exchange_id, prompt) with summary, category and intent as a model answers in JSON.
+
+    ``ask`` takes a prompt and returns text; it runs on the executors. A failure or an
+    answer without JSON leaves the fields null, for the rule-based category to fill.
+    """
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            answers = []
+            for prompt in frame["prompt"]:
+                try:
+                    answers.append(ask(prompt))
+                except Exception:  # a model that fails must not fail the batch
+                    answers.append(None)
+            yield pd.DataFrame({"exchange_id": frame["exchange_id"], "answer": answers})
+
+    asked = rows.select("exchange_id", "prompt").mapInPandas(run, "exchange_id string, answer string")
+    parsed = F.from_json(F.regexp_extract("answer", r"(?s)(\{.*\})", 1), "summary string, category string, intent string")
+    return asked.select("exchange_id", parsed.alias("p")).select("exchange_id", "p.summary", "p.category", "p.intent")
+
+
+def unsupported(sources: DataFrame) -> DataFrame:
+    """(source_id, payload): the empty extraction of sources that cannot be read, which says so."""
+    noise = F.array(F.struct(F.lit("source").alias("content_type"), F.lit("unsupported").alias("reason"), F.lit(1).cast("long").alias("count")))
+    empty = F.struct(F.struct(F.col("source_id").alias("title"), F.lit("").alias("summary")).alias("conversation_summary"), F.array().cast("array<struct<type:string>>").alias("memory_cards"), noise.alias("discarded_noise"))
+    return sources.select("source_id", F.to_json(empty).alias("payload"))

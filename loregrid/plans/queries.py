@@ -532,7 +532,7 @@ def fingerprint_push(spark, d):
 def remote_thoughts(spark, d):
     kind = F.when(F.col("lang") == "en", "decision").when(F.col("lang") == "de", "idea")
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.to_json(F.struct(kind.alias("type"), F.array("source").alias("topics"))).alias("metadata"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("created_at"))
-    out = files.thoughts(rows, "000500").join(rows.select(F.concat(F.lit("ob1_thought_"), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), "metadata", F.col("id").alias("doc_id")), "chunk_id")
+    out = files.thoughts(rows, "000500").join(rows.select(F.concat(F.lit(fixed.THOUGHT_ID), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), "metadata", F.col("id").alias("doc_id")), "chunk_id")
     return out.select("doc_id", F.get_json_object("metadata", "$.type").alias("kind"), "trust_level")
 
 

@@ -150,7 +150,7 @@ def thoughts(rows: DataFrame, since: str | None = None) -> DataFrame:
     kind = F.get_json_object("metadata", "$.type")
     trust = F.when(kind.isin("decision", "reference"), "T2").when(kind.isin("observation", "task", "idea"), "T3").otherwise("T4")
     project = F.coalesce(F.get_json_object("metadata", "$.topics[0]"), F.lit(""))
-    return rows.select(F.concat(F.lit("ob1_thought_"), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), F.concat(F.lit("ob1://thoughts/"), F.col("id").cast("string")).alias("file_path"), "content", trust.alias("trust_level"), project.alias("project"), "created_at").orderBy(F.desc("created_at"), "chunk_id")
+    return rows.select(F.concat(F.lit(fixed.THOUGHT_ID), F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"), F.concat(F.lit(fixed.THOUGHT_PATH), F.col("id").cast("string")).alias("file_path"), "content", trust.alias("trust_level"), project.alias("project"), "created_at").orderBy(F.desc("created_at"), "chunk_id")
 
 
 def enrichment_files(spark: SparkSession, root: str) -> DataFrame:

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loregrid import config
-from loregrid.functions import entities, text
-from loregrid.operators import access, links, queue
+from loregrid.engine import Engine
+from loregrid.functions import embed, entities, text
+from loregrid.operators import access, cards, links, queue
 from loregrid.sources import files, rest, sinks
 from loregrid.streaming import stateful
 
@@ -156,3 +157,33 @@ def test_small_functions(spark):
     assert (out.p, tuple(out.l), out.h, out.a == out.b, out.c) == ("my proj", (12, 31), "Head one", True, "debugging")
     batch = spark.createDataFrame([("b", "2026-01-01 00:00:01", "x"), ("a", "2026-01-01 00:00:02", "y"), ("b", "2026-01-01 00:00:03", "z")], "path string, ts string, event string")
     assert [(r.path, r.event) for r in stateful.work_items(batch).collect()] == [("b", "z"), ("a", "y")]
+
+
+def test_enrichment(spark):
+    rows = spark.createDataFrame([("e1", "good"), ("e2", "bad"), ("e3", "none")], "exchange_id string, prompt string")
+
+    def ask(prompt):
+        if prompt == "bad":
+            raise RuntimeError
+        return 'Sure: {"summary": "s", "category": "c"} done' if prompt == "good" else "no"
+
+    out = {r.exchange_id: (r.summary, r.category, r.intent) for r in cards.enriched_by(rows, ask).collect()}
+    assert out == {"e1": ("s", "c", None), "e2": (None, None, None), "e3": (None, None, None)}
+    assert json.loads(cards.unsupported(rows.selectExpr("exchange_id source_id")).first().payload)["discarded_noise"][0]["reason"] == "unsupported"
+    say = spark.range(1).select(text.clean_for_enrichment(F.lit("<x>a</x> b\n\n\n\nc")).alias("a"), text.clean_for_enrichment(F.lit("abcdef"), 3).alias("b"), text.boosted(F.lit(0.95), F.lit(True), F.lit("critical")).alias("c"), text.extraction_prompt("Do", F.lit("t"), F.lit("T"), F.lit("D")).alias("d")).first()
+    assert (say.a, say.b, say.c) == ("b\n\nc", "abc... [truncated]", 1.0) and "Title: T" in say.d
+    assert embed.dimensions("text-embedding-3-large") == 3072 and embed.dimensions("x", lambda t: [[0.0] * 5]) == 5
+    assert embed.prefixed("nomic-x", lambda t: t, True)(["q"]) == ["search_query: q"]
+
+
+def test_project_context(spark, tmp_path):
+    found = Engine(spark, str(tmp_path / "store"))
+    root = tmp_path / "proj"
+    root.mkdir()
+    (root / "m.py").write_text("def alpha():\n    return 'needle'\n")
+    found.ingest_project(str(root), "p")
+    assert found.bootstrap_coverage("2026-01-01 00:00:00") == ["p"] and found.bootstrap_coverage("2026-01-01 00:00:00") == []
+    assert "p/m.py" in found.store.read("records").first().content
+    note = spark.createDataFrame([("n1", "alpha needs care", "", "p", "bug", "low")], "note_id string, content string, context string, project string, category string, severity string")
+    found.store_notes(note, "t0")
+    assert {r.kind for r in found.project_context("p", "alpha needle").collect()} == {"code", "note"}
