@@ -130,7 +130,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
     counts: dict[int, dict[int, int]] = {}
     for r in placed.groupBy("shard", "lane").count().collect():  # cells x shards numbers
         counts.setdefault(r.shard, {})[r.lane] = r["count"]
-    bases = [(s, lane, sum(n for other, n in lanes.items() if other < lane)) for s, lanes in counts.items() for lane in lanes]
+    bases = []
+    for shard, lanes in counts.items():
+        known = sorted(lanes)
+        ends = np.cumsum([lanes[lane] for lane in known])
+        bases += [(shard, lane, int(end) - lanes[lane]) for lane, end in zip(known, ends, strict=True)]
     base = spark.createDataFrame(bases, "shard int, lane int, base long")
     order = Window.partitionBy("shard", "lane").orderBy("doc_id", "h1", "h2")
     numbered = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(F.broadcast(base), ["shard", "lane"])

@@ -117,7 +117,7 @@ def test_remove_repeats(docs, rows):
 
 def test_remove_repeats_in_passes(docs, monkeypatch):
     want = sorted(map(tuple, substring_dedup.remove_repeats(docs).select("n_words", "n_removed", "kept_text").collect()))
-    monkeypatch.setattr(substring_dedup, "PASS_WINDOWS", 100)
+    monkeypatch.setattr(substring_dedup, "PASS_WINDOWS", 200_000)
     blobs = []
     for batch in substring_dedup._split(1)(iter(docs.where("doc_id IS NOT NULL").select("doc_id", F.hash("text").alias("t"), "text").toArrow().combine_chunks().to_batches())):
         blobs += [p for p, packed in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True) if packed]
