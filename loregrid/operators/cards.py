@@ -17,10 +17,12 @@ def candidates(messages: DataFrame) -> DataFrame:
 
     verdict is credential, noise, no_signal, unclassified or card; only cards have a type.
     """
-    each = messages.select("id", "project", "role", "date", F.posexplode(text.sentences(F.col("content"))).alias("seq", "sentence"))
-    clean = text.redact(F.col("sentence"))
-    first = each.withColumn("clean", clean).withColumn("type", text.card_type(F.col("clean")))
-    verdict = F.when(text.credential_risk(F.col("sentence")), "credential").when(text.noise(F.col("sentence")), "noise").when(~text.reusable(F.col("clean")), "no_signal").when(F.col("type").isNull(), "unclassified").otherwise("card")
+    # redaction happens before the explode: a filter that is pushed down would repeat it for every rule
+    made = F.transform(text.sentences(F.col("content")), lambda x: F.struct(x.alias("sentence"), text.redact(x).alias("clean")))
+    low = F.transform(made, lambda x: F.struct(x["sentence"].alias("sentence"), x["clean"].alias("clean"), F.lower(x["clean"]).alias("low")))
+    each = messages.select("id", "project", "role", "date", F.posexplode(low).alias("seq", "s")).select("id", "project", "role", "date", "seq", "s.sentence", "s.clean", "s.low")
+    first = each.withColumn("type", text.card_type(F.col("clean"), F.col("low")))
+    verdict = F.when(text.credential_risk(F.col("sentence")), "credential").when(text.noise(F.col("sentence")), "noise").when(~text.reusable(F.col("clean"), F.col("low")), "no_signal").when(F.col("type").isNull(), "unclassified").otherwise("card")
     return first.withColumn("verdict", verdict)
 
 
