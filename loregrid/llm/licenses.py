@@ -1,9 +1,9 @@
 """Licence scans of paragraphs: sparse logistic regression, an unknown class, and templates.
 
-A paragraph is a line of a text that is not blank. One that has none of ``MARKS`` has no
-features and is unknown: substring tests tell so before any line is taken apart. The
-features of others are which single words and word pairs, lower-cased, of the vocabulary
-they have; function words alone are no feature. Multinomial logistic regression with an
+A paragraph is a line of a text that is not blank. Its features are which single words and
+word pairs, lower-cased, of the vocabulary it has; function words alone are no feature. One
+that has none of ``key_words``, of which every feature holds one, has no features and is
+unknown: its words tell so before any pair is made. Multinomial logistic regression with an
 L1 penalty is trained on windows of the families' notices against the unknown class: other
 sentences and lines from a sample of the corpus of at most ``SAMPLE`` documents, the first
 by hash, less those that name licences or copyright. A temperature fit on held-out rows
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,8 +33,6 @@ _WORD = re.compile(r"[a-z0-9]+")
 _TOKENS = r"[^a-z0-9]+"
 #: Function words; single digits, which versions end in, go with them.
 PLAIN = frozenset("0 1 2 3 4 5 6 7 8 9 a all an and any are as at be but by can either for from has if in into is it its no nor not of on one only or other shall so such than that the their they this to v was were which who will with you your".split())
-#: A lower-cased paragraph has features only if it contains one of these.
-MARKS = ("licen", "copyright", "permission", "permitted", "warrant", "redistribut", "spdx", "gnu ", "gpl", "apache", "bsd", "mozilla", "mpl", "under isc", "commons", "cc0", "cc by", "unencumbered", "public domain", "proprietary", "confidential", "merchantab", "noninfring", "all rights", "the mit", "under mit", "compiled binary")
 
 
 @dataclass
@@ -75,8 +72,7 @@ def fit(lines: list[str]) -> Model:
     """Train on the notices against OTHERS and ``lines`` of a corpus."""
     rng = np.random.default_rng(3)
     names = [*sorted(TEMPLATES), UNKNOWN]
-    marked = lambda t: any(m in t.lower() for m in MARKS)
-    rows = [(w, k) for k, name in enumerate(names[:-1]) for t in TEMPLATES[name] for w in _windows(rng, t) for _ in range(2) if marked(w)]
+    rows = [(w, k) for k, name in enumerate(names[:-1]) for t in TEMPLATES[name] for w in _windows(rng, t) for _ in range(2)]
     vocabulary = sorted({g for line, _ in rows for g in grams_of(line)})
     rows += [(w, len(names) - 1) for t in OTHERS for w in [t] * 6]
     rows += [(line, len(names) - 1) for line in lines]
@@ -108,9 +104,13 @@ def fit(lines: list[str]) -> Model:
     return Model(names, [g for g, u in zip(vocabulary, used, strict=True) if u], w[used].astype(np.float64), b.astype(np.float64), float(temperature))
 
 
-def _marked(column: str) -> Column:
-    low = F.lower(column)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in MARKS))
+def key_words(grams: list[str]) -> list[str]:
+    """Words of which every gram has at least one: the single ones, and the longest of each other pair."""
+    out = {g for g in grams if " " not in g}
+    for g in grams:
+        if not out.intersection(g.split()):
+            out.add(max((w for w in g.split() if w not in PLAIN), key=len))
+    return sorted(out)
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Model:
@@ -131,11 +131,13 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     k = len(model.names)
     text = F.col(f"`{text_column}`").cast("string")
     table = spark.createDataFrame([(g, w.tolist()) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, w array<double>")
-    words = F.filter(F.split(F.lower("line"), _TOKENS), lambda w: w != "")
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("t")).where(_marked("t"))
+    words = F.array_remove(F.split(F.lower("line"), _TOKENS), "")
+    needed = F.array(*[F.lit(w) for w in key_words(model.grams)]).cast("array<string>")
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("t"))
     lines = texts.select("doc_id", F.xxhash64("t").alias("text_hash"), F.posexplode(F.split("t", "\n")).alias("paragraph", "line"))
-    some = lines.where(_marked("line")).withColumn("words", words)
-    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i.cast("int")), F.element_at("words", (i + 1).cast("int"))))).otherwise(F.array())
+    some = lines.withColumn("words", words).where(F.arrays_overlap("words", needed))
+    # the last word pairs with null and stays alone; an index in the lambda would split the line for each word
+    pairs = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     some = some.withColumn("gram", F.array_distinct(F.concat("words", pairs)))
     known = some.withColumn("at", F.struct("doc_id", "text_hash", "paragraph")).select("at", "line", "words", F.explode("gram").alias("gram"))
     hits = known.join(F.broadcast(table), "gram")

@@ -277,6 +277,23 @@ def test_licenses(spark, docs):
     assert right >= 0.85 * len(held)
 
 
+def test_licenses_sees_every_feature(spark, docs):
+    model = licenses.train(docs)
+    lines = ["Text: CC-BY-SA 4.0", "(c) 2020 X, MIT", "Unless required by applicable law or agreed to in writing,", "the above, including all copies or substantial portions of the Software.", "she may use the file", "épée the gamma", "", "...", *model.grams]
+    weights = dict(zip(model.grams, model.weights, strict=True))
+    want = {}
+    for i, line in enumerate(lines):
+        z = (model.bias + sum((weights[g] for g in licenses.grams_of(line) if g in weights), 0 * model.bias)) / model.temperature
+        chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if model.names[chance.argmax()] != licenses.UNKNOWN and chance.max() >= licenses.CERTAIN:
+            want[i] = (model.names[chance.argmax()], round(float(chance.max()), 4))
+    table = spark.createDataFrame([(1, "\n".join(lines), "x")], "doc_id long, text string, family string")
+    out = {r.paragraph: (r.family, round(r.probability, 4)) for r in licenses.scan(table, model).collect()}
+    assert {i: f for i, (f, _) in out.items()} == {i: f for i, (f, _) in want.items()}
+    assert all(abs(out[i][1] - want[i][1]) <= 2e-4 for i in want)
+    assert out[0][0] == "cc-by-sa" and out[3][0] == "mit"
+
+
 def test_empty_tables(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
