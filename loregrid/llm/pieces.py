@@ -5,11 +5,12 @@ concatenation is a piece, the pair of the best score, leftmost on ties, is merge
 none is left. With dropout, a candidate taken from the agenda is skipped with probability
 ``dropout``; what was skipped comes back after the next merge, and a unit is done once all
 its candidates are skipped in a row. Whether one is skipped is a keyed hash of the seed, the
-unit's text, its variant, the number of merges made and the position: no random state, so
-reruns agree on any cluster. A unit (spaces and the word after them; no piece has a space
-after another character, or a line feed or tab at all) is given one of ``VARIANTS``
-variants by a keyed hash of its document and position, so that one word is segmented in
-different ways and each way is computed once.
+document, the unit's text and its place in the document, the number of merges made and the
+position: no random state, so reruns agree on any cluster, and every occurrence of a unit
+(spaces and the word after them; no piece has a space after another character, or a line feed
+or tab at all) draws its own skips. The model's own segmentation of a unit and the candidates
+that it takes are computed once and remembered; an occurrence that skips none of those
+candidates has that segmentation, and only the others go through the agenda again.
 
 Units of up to ``LONG`` symbols go through the agenda side by side in numpy; longer ones go
 one by one through a heap, by the same rule and with the same result.
@@ -36,7 +37,7 @@ from .scratch import prepare
 from .text import U64, buffers, mix, pieces, ragged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 2024, 4
+DROPOUT, SEED = 0.1, 2024
 #: Symbols of the longest unit that numpy handles; units that a worker remembers.
 LONG, REMEMBERED = 48, 1_500_000
 _NONE = np.int64(1) << 40
@@ -159,15 +160,25 @@ def load(raw: bytes) -> Model:
     return Model(texts, byte_id, char_id, np.array([m[0] for m in merges], np.int64), np.array([m[1] for m in merges], np.int64), rank.astype(np.int64))
 
 
-def _skipped(key, made, position, dropout: float):
-    """Whether the candidate at ``position`` is skipped after ``made`` merges in the unit of ``key``."""
+def _turn(made, position) -> np.ndarray:
+    """64 bits for the candidate at ``position`` after ``made`` merges."""
     with np.errstate(over="ignore"):
-        x = mix(np.asarray(key, U64) ^ mix(np.asarray(made, U64) * U64(0x9E3779B97F4A7C55) + np.asarray(position, U64) * U64(0xC2B2AE3D27D4EB4F) + U64(1)))
+        return mix(np.asarray(made, U64) * U64(0x9E3779B97F4A7C55) + np.asarray(position, U64) * U64(0xC2B2AE3D27D4EB4F) + U64(1))
+
+
+def _drawn(key, turn, dropout: float):
+    """Whether the candidate of ``turn`` is skipped in the unit of ``key``."""
+    with np.errstate(over="ignore"):
+        x = mix(np.asarray(key, U64) ^ turn)
     return (x >> U64(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
-def segment_one(symbols: list[int], key: int, model: Model, dropout: float) -> list[int]:
-    """The agenda with a heap, for a unit of any length."""
+def _skipped(key, made, position, dropout: float):
+    return _drawn(key, _turn(made, position), dropout)
+
+
+def segment_one(symbols: list[int], key: int, model: Model, dropout: float, taken: list[int] | None = None) -> list[int]:
+    """The agenda with a heap, for a unit of any length; adds the merged positions to ``taken``."""
     n = len(symbols)
     ids, before, after = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
     alive, made = [True] * n, 0
@@ -191,6 +202,8 @@ def segment_one(symbols: list[int], key: int, model: Model, dropout: float) -> l
         if dropout and bool(_skipped(key, made, i, dropout)):
             held.append(item)
             continue
+        if taken is not None:
+            taken.append(i)
         j = after[i]
         ids[i], alive[j], after[i] = int(model.merged[m]), False, after[j]
         if after[j] < n:
@@ -203,10 +216,10 @@ def segment_one(symbols: list[int], key: int, model: Model, dropout: float) -> l
     return [ids[i] for i in range(n) if alive[i]]
 
 
-def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, model: Model, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, model: Model, dropout: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The agenda of many units at once: a row of padded symbols each; returns rows and sizes.
 
-    A symbol keeps the position of its first character, which is what the hash reads.
+    ``taken`` gets the rows and the merged positions of every round. A symbol keeps the position of its first character, which is what the hash reads.
     """
     n, width = symbols.shape
     ids = symbols.copy()
@@ -232,6 +245,8 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, mod
         live, best = live[some], best[some]
         if not len(live):
             break
+        if taken is not None:
+            taken.append((live, place[live, best]))
         ids[live, best] = model.merged[merge[live, best]]
         made[live] += 1
         # close the gap behind the merged pair
@@ -255,15 +270,15 @@ def _segment_block(symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, mod
 
 
 class Encoder:
-    """Encodes columns of texts; remembers the units it has seen."""
+    """Encodes columns of texts; remembers the model's own segmentation of units it has seen."""
 
-    def __init__(self, model: Model, dropout: float, seed: int, variants: int):
-        self.model, self.dropout, self.seed = model, dropout, U64(seed)
-        self.variants = variants if dropout else 1
+    def __init__(self, model: Model, dropout: float, seed: int, remembered: int = REMEMBERED):
+        self.model, self.dropout, self.seed, self.remembered = model, dropout, U64(seed), remembered
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.at, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.turn_at, self.turn_size, self.turns = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
 
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, first symbol of each unit, hash of each unit, first unit of each text)."""
@@ -311,47 +326,58 @@ class Encoder:
         hashes = mix((total[ends] - total[first]) * inverse[first]) if len(first) else np.zeros(0, U64)
         return symbol, first, hashes, starts if n else np.zeros(1, np.int64)
 
-    def learn(self, symbol: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
-        """Segment units of new, ascending keys and remember them."""
-        if len(self.keys) + len(keys) > REMEMBERED:
-            self.forget()
-        sizes = np.zeros(len(keys), np.int64)
+    def segment(self, symbol: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray, dropout: float, taken: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each unit's pieces start, how many, all pieces); ``taken`` gets (units, merges made, positions)."""
+        sizes, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         order, parts = [], []
         low = 0
         for width in (4, 8, 12, 16, 24, 32, LONG):
             rows = np.flatnonzero((size > low) & (size <= width))
             low = width
-            for at in range(0, len(rows), 20_000):
-                some = rows[at : at + 20_000]
+            for begin in range(0, len(rows), 20_000):
+                some = rows[begin : begin + 20_000]
                 block = np.zeros((len(some), width), np.int64)
                 span = np.arange(width)[None, :] < size[some][:, None]
                 block[span] = symbol[ragged(first[some], size[some])]
-                ids, left = _segment_block(block, size[some], keys[some], self.model, self.dropout)
+                rounds = None if taken is None else []
+                ids, left = _segment_block(block, size[some], keys[some], self.model, dropout, rounds)
                 sizes[some] = left
                 order.append(some)
                 parts.append(ids[np.arange(width)[None, :] < left[:, None]].astype(np.int32))
+                if rounds:
+                    taken.extend((some[live], np.full(len(live), made), place) for made, (live, place) in enumerate(rounds))
         for i in np.flatnonzero(size > LONG):
-            ids = segment_one(symbol[first[i] : first[i] + size[i]].tolist(), int(keys[i]), self.model, self.dropout)
+            places = None if taken is None else []
+            ids = segment_one(symbol[first[i] : first[i] + size[i]].tolist(), int(keys[i]), self.model, dropout, places)
             sizes[i] = len(ids)
             order.append(np.array([i]))
             parts.append(np.array(ids, np.int32))
+            if places:
+                taken.append((np.full(len(places), i), np.arange(len(places)), np.array(places)))
         rows = np.concatenate(order) if order else np.zeros(0, np.int64)
-        at = np.zeros(len(keys), np.int64)
-        at[rows] = np.cumsum(sizes[rows]) - sizes[rows] + len(self.flat)
-        self.flat = np.concatenate([self.flat, *parts])
+        at[rows] = np.cumsum(sizes[rows]) - sizes[rows]
+        return at, sizes, np.concatenate([np.zeros(0, np.int32), *parts])
+
+    def learn(self, symbol: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Segment units of new, ascending keys without dropout and remember them and what they merged."""
+        taken: list = []
+        at, sizes, flat = self.segment(symbol, first, size, keys, 0.0, taken if self.dropout else None)
+        unit, made, place = (np.concatenate([np.zeros(0, np.int64), *(t[j] for t in taken)]) for j in range(3))
+        turn_size = np.bincount(unit, minlength=len(keys)).astype(np.int64)
+        turn_at = np.cumsum(turn_size) - turn_size + len(self.turns)
+        self.turns = np.concatenate([self.turns, _turn(made, place)[np.argsort(unit, kind="stable")]])
+        at += len(self.flat)
+        self.flat = np.concatenate([self.flat, flat])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(old, where, new) for old, new in ((self.keys, keys), (self.at, at), (self.size, sizes)))
+        old = (self.keys, self.at, self.size, self.turn_at, self.turn_size)
+        self.keys, self.at, self.size, self.turn_at, self.turn_size = (np.insert(o, where, n) for o, n in zip(old, (keys, at, sizes, turn_at, turn_size), strict=True))
 
     def encode(self, column: pa.Array, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a column of texts; ``salts`` tell the texts apart."""
         symbol, first, hashes, starts = self.units(column)
         counts = np.diff(starts)
-        row = np.repeat(np.arange(len(counts)), counts)
-        place = np.arange(len(first)) - np.repeat(starts[:-1], counts)
-        variant = mix(mix(salts.astype(np.int64).view(U64)[row] ^ self.seed) + place.astype(U64)) % U64(self.variants)
-        keys = mix(hashes + mix(variant + self.seed * U64(31)))
         size = np.diff(np.append(first, len(symbol)))
-        wanted, example, back = np.unique(keys, return_index=True, return_inverse=True)
+        wanted, example, back = np.unique(hashes, return_index=True, return_inverse=True)
         for attempt in range(2):
             at = np.searchsorted(self.keys, wanted)
             known = np.zeros(len(wanted), bool)
@@ -360,14 +386,23 @@ class Encoder:
             if known.all():
                 break
             new = np.flatnonzero(~known)
-            if attempt == 0 and len(self.keys) + len(new) > REMEMBERED:
+            if attempt == 0 and len(self.keys) + len(new) > self.remembered:
                 self.forget()
                 new = np.arange(len(wanted))
             self.learn(symbol, first[example[new]], size[example[new]], wanted[new])
-        at = np.searchsorted(self.keys, wanted)
-        sizes = self.size[at][back]
-        ids = self.flat[ragged(self.at[at][back], sizes)]
-        return np.concatenate([[0], np.cumsum(sizes)])[starts], ids
+        at = np.searchsorted(self.keys, wanted)[back]
+        begins, sizes, flat = self.at[at], self.size[at], self.flat
+        if self.dropout:
+            row = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(first)) - np.repeat(starts[:-1], counts)
+            keys = mix(hashes + mix(mix(salts.astype(np.int64).view(U64)[row] ^ self.seed) + place.astype(U64)))
+            turns = self.turn_size[at]
+            drawn = _drawn(np.repeat(keys, turns), self.turns[ragged(self.turn_at[at], turns)], self.dropout)
+            other = np.flatnonzero(np.bincount(np.repeat(np.arange(len(at)), turns)[drawn], minlength=len(at)))
+            own, sizes[other], pieces_ = self.segment(symbol, first[other], size[other], keys[other], self.dropout)
+            begins[other] = own + len(flat)
+            flat = np.concatenate([flat, pieces_])
+        return np.concatenate([[0], np.cumsum(sizes)])[starts], flat[ragged(begins, sizes)]
 
 
 def decode(offsets: np.ndarray, ids: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -384,12 +419,12 @@ def decode(offsets: np.ndarray, ids: np.ndarray, model: Model) -> tuple[np.ndarr
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encode(raw: bytes, dropout: float, seed: int, variants: int, check: bool):
+def _encode(raw: bytes, dropout: float, seed: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (hash(raw), dropout, seed, variants)
+        name = (hash(raw), dropout, seed)
         if name not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[name] = Encoder(load(raw), dropout, seed, variants)
+            _ENCODERS[name] = Encoder(load(raw), dropout, seed)
         encoder = _ENCODERS[name]
         for batch in pieces(batches, limit=1 << 20):
             offsets, ids = encoder.encode(batch.column(0), batch.column(1).fill_null(-1).to_numpy())
@@ -422,7 +457,7 @@ def _decode(raw: bytes):
     return run
 
 
-def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, check: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, check: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """ids, the pieces of every whole text, and row, a struct of the other columns of ``docs``.
 
     Null and empty texts have no pieces. A text's segmentation depends on the seed and its
@@ -438,7 +473,7 @@ def encode_texts(docs: DataFrame, model_file: str = MODEL, dropout: float = DROP
     rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), F.col(f"`{id_column}`").cast("long").alias("salt"), row.alias("row"))
     checks = [T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
     schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), *checks[: 2 * check], rows.schema["row"]])
-    return rows.mapInArrow(_encode(raw, dropout, seed, variants, check), schema)
+    return rows.mapInArrow(_encode(raw, dropout, seed, check), schema)
 
 
 def decode_texts(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,28 @@ def test_pieces(docs, rows):
     assert first != sorted(map(str, pieces.encode_texts(docs, seed=1).select("ids").collect()))
 
 
+def test_every_occurrence_draws_its_own_skips():
+    with open(pieces.MODEL, "rb") as file:
+        model = pieces.load(file.read())
+    texts = [" ".join(["understanding"] * 3000), "a▁b  understanding\tof épée " + "x" * 60, "", None, "understanding of x"]
+    column, salts = pa.array(texts), np.arange(5)
+    encoder = pieces.Encoder(model, 0.1, 1)
+    offsets, ids = encoder.encode(column, salts)
+    symbol, first, hashes, starts = encoder.units(column)
+    size = np.diff(np.append(first, len(symbol)))
+    row = np.repeat(np.arange(5), np.diff(starts))
+    place = np.arange(len(first)) - starts[row]
+    with np.errstate(over="ignore"):
+        keys = pieces.mix(hashes + pieces.mix(pieces.mix(row.astype(np.uint64) ^ np.uint64(1)) + place.astype(np.uint64)))
+    each = [pieces.segment_one(symbol[f : f + n].tolist(), int(k), model, 0.1) for f, n, k in zip(first, size, keys, strict=True)]
+    assert ids.tolist() == [i for u in each for i in u]
+    assert offsets.tolist() == [sum(len(u) for u, r in zip(each, row, strict=True) if r < i) for i in range(6)]
+    assert len({tuple(u) for u in each[:3000]}) > 10
+    few = pieces.Encoder(model, 0.1, 1, 2)
+    for _ in range(2):
+        assert few.encode(column, salts)[1].tolist() == ids.tolist()
+
+
 def test_numpy_and_heap_agendas_agree():
     import pyarrow as pa
 
