@@ -309,7 +309,7 @@ def links_and_tags(spark, d):
 
 @query("SELECT target, count(DISTINCT doc_id) AS backlinks FROM (SELECT doc_id, unnest(ARRAY[source, lang]) AS target FROM documents) GROUP BY target")
 def backlinks(spark, d):
-    rows = bridge.marked(table(spark, d, "documents")).select("doc_id", F.explode(text.wiki_links(F.regexp_extract("content", r"(?s)(\nsee \[\[.*)$", 1))).alias("target"))
+    rows = bridge.marked(table(spark, d, "documents")).select("doc_id", F.explode(text.wiki_links(F.col("content"))).alias("target"))
     return rows.groupBy("target").agg(F.countDistinct("doc_id").alias("backlinks"))
 
 
@@ -379,6 +379,13 @@ def heading_sections(spark, d):
     return chunking.markdown_chunks(rows).where("chunk_index = 1").select("file_path", "chunk_index", "chunk_type", "heading_path")
 
 
+@query()
+def heading_chunks(spark, d):
+    """Of every file all chunks: its summary and every section, in windows."""
+    rows = bridge.marked(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("file_path"), F.lit("a/b.md").alias("path"), "content")
+    return chunking.markdown_chunks(rows)
+
+
 @query("SELECT doc_id, 'os,sys.' || source AS modules FROM documents")
 def imports_extract(spark, d):
     code = F.concat(F.lit("import os\nfrom sys."), F.col("source"), F.lit(" import x\nimport os\nx = 1\n"))
