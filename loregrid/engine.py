@@ -124,15 +124,46 @@ class Engine:
 
     # notes, records, cards
     def store_notes(self, rows: DataFrame, as_of: str) -> None:
-        """Add notes (note_id, content, context, project, category, severity); near ones are merged."""
+        """Add notes (note_id, content, context, project, category, severity); near ones are merged.
+
+        As if they came one by one in order of their ids: each meets the stored notes and those
+        before it that stay.
+        """
         full = embed.embedded(rows, "content", self.embed_texts).select("note_id", "content", "context", "project", "category", "severity", "embedding")
         fresh = full.select("*", F.lit(False).alias("confirmed"), F.lit(False).alias("promoted"), F.lit("T3").alias("trust_level"), F.lit("active").alias("status"), F.lit(0.7).alias("confidence"), F.lit(as_of).alias("created_at"), F.lit(as_of).alias("updated_at"), F.lit("").alias("linked_record"))
         notes = self.store.read("notes")
-        pairs = self.near_notes(fresh, notes)
-        self.store.replace("notes", lifecycle.merge_near_notes(notes, fresh.select(*notes.columns), pairs))
+        fresh = fresh.select(*notes.columns).localCheckpoint()
+        stored = self.near_notes(fresh, notes).localCheckpoint()
+        own = self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id").localCheckpoint()
+        kept = self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own).localCheckpoint()
+        near = stored.unionByName(own.join(kept.select(F.col("note_id").alias("near_id")), "near_id", "left_semi"))
+        pairs = near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
+        first, others = fresh.join(kept, "note_id", "left_semi").select(*notes.columns), fresh.join(kept, "note_id", "left_anti").select(*notes.columns)
+        self.store.replace("notes", lifecycle.merge_near_notes(notes.unionByName(first), others, pairs))
+
+    def _kept(self, left: DataFrame, own: DataFrame) -> DataFrame:
+        """note_id of those of ``left`` that stay when notes come one by one, in order of their ids.
+
+        A note stays if it is near no earlier one that stays. Each round settles all notes whose
+        earlier near ones are settled, so there are as many rounds as the longest chain has notes.
+        """
+        left = left.select("note_id").localCheckpoint()
+        kept = left.limit(0)
+        while not left.isEmpty():
+            waiting = own.join(left, "note_id", "left_semi").join(left.select(F.col("note_id").alias("near_id")), "near_id", "left_semi")
+            new = left.join(waiting, "note_id", "left_anti").localCheckpoint()
+            gone = own.join(new.select(F.col("note_id").alias("near_id")), "near_id", "left_semi").select("note_id")
+            kept = kept.unionByName(new)
+            left = left.join(new.unionByName(gone), "note_id", "left_anti").localCheckpoint()
+        return kept
 
     def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE) -> DataFrame:
-        """(note_id, near_id, distance): each fresh note's nearest stored one closer than ``most``.
+        """(note_id, near_id, distance): each fresh note's nearest stored one closer than ``most``."""
+        near = self._close(fresh, notes, most)
+        return near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
+
+    def _close(self, fresh: DataFrame, notes: DataFrame, most: float) -> DataFrame:
+        """(note_id, near_id, distance): the pairs of a fresh note and another closer than ``most``.
 
         The fresh notes are the query set, compared with all notes in blocks of ``QUERY_BLOCK``,
         each of which is broadcast. Blocks are by hash, so ids may repeat.
@@ -143,7 +174,7 @@ class Engine:
             query = fresh.where(F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == block).select("note_id", F.col("embedding").alias("q"))
             pairs = notes.select(F.col("note_id").alias("near_id"), "embedding").join(F.broadcast(query), F.lit(True))
             near = pairs.withColumn("distance", 1 - retrieval.cosine(F.col("q"), F.col("embedding"))).where(F.col("distance") < most)
-            found = found.unionByName(near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance")))
+            found = found.unionByName(near.select("note_id", "near_id", "distance"))
         return found
 
     def list_notes(self, project: str | None = None, category: str | None = None, confirmed: bool | None = None, limit: int = 50) -> DataFrame:

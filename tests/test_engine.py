@@ -72,6 +72,21 @@ def test_sessions(engine, tmp_path):
     assert [c.type for c in card] == ["api_contract"] and card[0].score == 84 and card[0].confidence == "medium"
 
 
+def test_near_notes_in_one_batch(spark, tmp_path):
+    import math
+
+    turn = {f"at {x}": [math.cos(x), math.sin(x)] for x in (0.0, 0.3, 0.6, 0.9, 1.2, 3.0, 3.1)}
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.embed_texts = lambda texts: [turn[t] for t in texts]
+    make = lambda *rows: spark.createDataFrame([(i, f"at {x}", c, "p", "bug", "low") for i, x, c in rows], "note_id string, content string, context string, project string, category string, severity string")
+    # b is near a, c near b alone, d near c, and e near d alone: one by one a, c and e stay
+    engine.store_notes(make(("a", 0.0, "A"), ("b", 0.3, "B"), ("c", 0.6, "C"), ("d", 0.9, "D"), ("e", 1.2, "E"), ("f", 3.0, "F")), "t0")
+    assert {r.note_id: r.context for r in engine.list_notes().collect()} == {"a": "A\n\n---\n\nB", "c": "C\n\n---\n\nD", "e": "E", "f": "F"}
+    engine.store_notes(make(("g", 3.1, "G"), ("h", 3.1, "H")), "t1")
+    found = {r.note_id: r for r in engine.list_notes().collect()}
+    assert set(found) == {"a", "c", "e", "f"} and found["f"].context == "F\n\n---\n\nG\n\n---\n\nH" and found["f"].updated_at == "t1"
+
+
 def test_notes_and_records(engine, spark):
     make = lambda *rows: spark.createDataFrame(list(rows), "note_id string, content string, context string, project string, category string, severity string")
     engine.store_notes(make(("n1", "always pin the driver version", "first", "p", "workaround", "low"), ("n2", "tables use snake case", "", "p", "pattern", "low")), "t0")
