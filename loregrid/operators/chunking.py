@@ -132,7 +132,18 @@ _DEFINITIONS = {
 
 
 def code_rows(path: str, text: str | None, language: str) -> Iterator[tuple]:
-    """(type, symbol, text, first, last) of a source: functions, classes, methods, a module summary.
+    """(type, symbol, text, first, last) of a source: its parts, those above ``CHUNK_TOKENS`` in windows."""
+    for kind, symbol, body, low, high in _code_parts(path, text, language):
+        if sum(map(tokens_of, body.splitlines())) <= fixed.CHUNK_TOKENS:
+            yield kind, symbol, body, low, high
+            continue
+        made = kind == "module_summary" or (kind == "class" and language == "python")  # not the lines of the file
+        for chunk, a, b, _ in windows(body, start=low):
+            yield kind, symbol, chunk, *((low, high) if made else (a, b))
+
+
+def _code_parts(path: str, text: str | None, language: str) -> Iterator[tuple]:
+    """(type, symbol, text, first, last): functions, classes, methods, a module summary, whole.
 
     Python is parsed; other languages are cut at their definitions, and SQL, configuration
     and anything unparsable at statements or blank lines.

@@ -54,3 +54,14 @@ def test_code_rows():
 
 def test_merge_small():
     assert [(a, b, n) for _, a, b, n in chunking.merge_small([("a", 1, 1, 10), ("b", 2, 2, 60), ("c", 3, 3, 70)])] == [(1, 2, 70), (3, 3, 70)]
+
+
+def test_long_code_parts_are_cut_into_windows():
+    body = "\n".join(f"    x{i} = {i} + {i} * y" for i in range(300))
+    text = f"import os\n\n\ndef long(y):\n{body}\n    return y\n\n\ndef short():\n    return 1\n"
+    lines, out = text.splitlines(), list(chunking.code_rows("a.py", text, "python"))
+    parts = [r for r in out if r[1] == "long"]
+    assert len(parts) > 1 and parts[0][3] == 4 and parts[-1][4] == 305 and [r[1:] for r in out if r[1] == "short"] == [("short", "def short():\n    return 1", 308, 309)]
+    for kind, _, chunk, a, b in parts:
+        assert kind == "function" and chunk == "\n".join(lines[a - 1 : b]) and sum(map(chunking.tokens_of, chunk.splitlines())) <= 400
+    assert {n for *_, a, b in parts for n in range(a, b + 1)} == set(range(4, 306))
