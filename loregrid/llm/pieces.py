@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import prepare
-from .text import U64, buffers, mix, pieces, ragged
+from .text import U64, buffers, byte_lengths, characters, mix, pieces, ragged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 2024
@@ -290,22 +290,22 @@ class Encoder:
         spread = np.full(len(data) + int(some.sum()), 0x20, np.uint8)
         spread[np.arange(len(data)) + np.repeat(lead, np.diff(offsets))] = data
         offsets = offsets + np.concatenate([[0], lead])
-        head = (spread & 0xC0) != 0x80
-        points = np.frombuffer(spread.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
-        begins = np.concatenate([[0], np.cumsum(head)])[offsets]
+        begins, points = characters(offsets, spread)
+        points = points.astype(np.int64)
+        length = byte_lengths(points)
         space, control = points == 0x20, (points == 0x0A) | (points == 0x09)
         new = np.ones(len(points), bool)
         new[1:] = (space[1:] & ~space[:-1]) | control[1:] | control[:-1]
         new[begins[:-1][some]] = True
         first = np.flatnonzero(new)
+        points = np.where((points >= 0xDC80) & (points < 0xDD00), -1, points)
         points = np.where(space, 0x2581, np.where(points == 0x2581, -1, points))
         symbol = np.where((points >= 0) & (points < 1 << 16), self.model.low[np.clip(points, 0, (1 << 16) - 1)], -1)
         for i in np.flatnonzero(points >= 1 << 16):
             symbol[i] = self.model.char_id.get(int(points[i]), -1)
         missing = symbol < 0
         if missing.any():  # as many symbols as the character has bytes
-            byte_at = np.flatnonzero(head)
-            length = np.diff(np.append(byte_at, len(spread)))
+            byte_at = np.cumsum(length) - length
             sizes = np.where(missing, length, 1)
             out = np.repeat(symbol, sizes)
             out[out < 0] = self.model.byte_id[spread[ragged(byte_at[missing], length[missing])]]

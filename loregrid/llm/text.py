@@ -62,6 +62,32 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
 
 
+def characters(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first character of each text and the end, code points) of what ``buffers`` returns.
+
+    A byte that is no UTF-8 is the one character 0xDC00 + byte, so that texts stay apart
+    and their bytes can be told from it.
+    """
+    raw = data.tobytes()
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    try:
+        text = raw.decode("utf-8")
+        whole = not ((data[inner] & 0xC0) == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if whole:
+        return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets], np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    rows = [raw[a:b].decode("utf-8", "surrogateescape") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    begins = np.cumsum([0, *map(len, rows)])
+    return begins, np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def byte_lengths(points: np.ndarray) -> np.ndarray:
+    """How many bytes each of the ``characters`` has."""
+    escaped = (points >= 0xDC80) & (points < 0xDD00)
+    return np.where(escaped, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text, or one row."""
     for batch in batches:

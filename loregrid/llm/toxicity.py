@@ -1,11 +1,15 @@
 """Toxicity by a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's feature j is r_j * |r_j| * count_j / sqrt(characters), for its hashed runs of 4 and
-5 characters (A-Z lower-cased), where r_j is the log of the ratio of the smoothed shares of
-n-gram j in toxic and in clean training texts; |r_j| once more makes the penalty, too, favour
-telling n-grams. Logistic regression on these features is fit by L-BFGS on at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows,
-the first by hash of doc_id, weighted so that the classes count as in all training labels.
-The sample's n-gram counts, not its texts, come to the driver. Scoring reads whole texts.
+A text's feature j is r_j * count_j / sqrt(characters), for its hashed runs of 4 and 5
+characters (A-Z lower-cased), where r_j is the log of the ratio of the smoothed shares of
+n-gram j in toxic and in clean training texts. Logistic regression on these features is fit
+by L-BFGS on at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows, the first
+by hash of doc_id, weighted so that the classes count as in all training labels.
+
+The sample's n-gram counts are a table in the shared folder, which tasks stream: counts of
+the classes in one pass, then for each step the loss and its slope, ``BUCKETS`` numbers from
+each of a few tasks. Neither texts nor their n-grams come to the driver, so the bounds on
+rows are no matter of its memory. Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import prepare
-from .text import _LOWER, U64, buffers, pieces
+from .scratch import drop, prepare, saved
+from .text import _LOWER, U64, buffers, characters, pieces
 
 GRAMS, BUCKETS = (4, 5), 1 << 18
-TOXIC_ROWS, CLEAN_ROWS = 1000, 1600
-STEPS, MEMORY, PENALTY = 30, 8, 1e-5
+TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
+STEPS, MEMORY, PENALTY = 30, 8, 1e-7
+#: Files of the sample's n-gram counts, so at most as many tasks read them.
+LANES = 12
 REJECT = 0.7
 
 
@@ -39,10 +45,7 @@ class Model:
 def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, code points) of a column of texts, A-Z lower-cased; null is empty."""
     offsets, data = buffers(column)
-    data = _LOWER[data]
-    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return np.minimum(begins[offsets], len(points)), points
+    return characters(offsets, _LOWER[data])
 
 
 def _grams(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,35 +72,67 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["toxic", "index", "value"])
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], toxic: int, clean: int) -> Model:
-    """The model of sampled rows (label, buckets, values); ``toxic`` and ``clean`` count all labels."""
-    y = np.array([r[0] for r in rows], np.float64)
-    base = np.log((toxic + 0.5) / (clean + 0.5))
-    if not y.any() or y.all():
-        return Model(np.zeros(BUCKETS, np.float32), float(base))
-    index = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-    value = np.concatenate([np.frombuffer(r[2], np.float32) for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) // 4 for r in rows])
-    share = [1 + np.bincount(index[m], minlength=BUCKETS) for m in (y[row] == 1, y[row] == 0)]
-    ratio = np.log((share[0] / share[0].sum()) / (share[1] / share[1].sum()))
-    ratio *= np.abs(ratio)
-    value = value * ratio[index].astype(np.float32)
-    weight = np.where(y == 1, toxic / y.sum(), clean / (len(y) - y.sum()))
-    weight /= weight.sum()
-
-    def summed(keys: np.ndarray, part, size: int) -> np.ndarray:
-        """Sums by key, a stretch at a time: the intermediate arrays are what fills the driver."""
-        out = np.zeros(size)
-        for low in range(0, len(keys), 1 << 20):
-            at = slice(low, low + (1 << 20))
-            out += np.bincount(keys[at], part(at), size)
-        return out
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label, first entry, bucket, value) of the rows of each batch; rows without n-grams are left out."""
+    for batch in batches:
+        (at, index), (_, value) = (buffers(batch.column(i)) for i in (1, 2))
+        some = np.diff(at) > 0
+        label = batch.column(0).to_numpy().astype(np.float64)
+        yield label, np.where(some, at[:-1] // 4, -1), index.view(np.int32), value.view(np.float32)
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task's rows, by class: how many have each bucket, and how many there are."""
+    counts, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    for label, first, index, _ in _entries(batches):
+        rows += np.bincount(label.astype(np.int64), minlength=2)
+        some = first >= 0
+        each = np.repeat(label[some], np.diff(np.append(first[some], len(index))))
+        for k in range(2):
+            counts[k] += np.bincount(index[each == k], minlength=BUCKETS)
+    yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in (counts, rows)], ["counts", "rows"])
+
+
+def _slopes(sent, weight: tuple[float, float]):
+    """The loss of one task's rows at the weights broadcast as ``sent``, and its slope."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.frombuffer(sent.value, np.float64)
+        loss, slope = 0.0, np.zeros(BUCKETS + 1)
+        for label, first, index, value in _entries(batches):
+            score, some = np.full(len(label), w[-1]), first >= 0
+            size = np.diff(np.append(first[some], len(index)))
+            if len(index):
+                score[some] += np.add.reduceat(value * w[:-1][index], first[some])
+            each = np.where(label == 1, weight[1], weight[0])
+            error = each * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - label)
+            loss += float(each @ (np.logaddexp(0, score) - label * score))
+            slope[:-1] += np.bincount(index, value * np.repeat(error[some], size), BUCKETS)
+            slope[-1] += error.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()])], ["loss", "slope"])
+
+    return run
+
+
+def fit(features: DataFrame, toxic: int, clean: int) -> Model:
+    """The model of a table of (toxic, index, value); ``toxic`` and ``clean`` count all labels."""
+    spark = features.sparkSession
+    base = float(np.log((toxic + 0.5) / (clean + 0.5)))
+    found = features.mapInArrow(_shares, "counts binary, rows binary").collect()
+    counts = sum((np.frombuffer(r.counts, np.int64) for r in found), np.zeros(2 * BUCKETS, np.int64)).reshape(2, BUCKETS) + 1
+    rows = sum((np.frombuffer(r["rows"], np.int64) for r in found), np.zeros(2, np.int64))
+    if not rows.all():
+        return Model(np.zeros(BUCKETS, np.float32), base)
+    ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
+    weight = (clean / (toxic + clean) / float(rows[0]), toxic / (toxic + clean) / float(rows[1]))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        score = summed(row, lambda at: value[at] * w[index[at]], len(rows)) + w[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y)
-        slope = np.append(summed(index, lambda at: value[at] * error[row[at]], BUCKETS) + PENALTY * w[:-1], error.sum())
-        return float(weight @ (np.logaddexp(0, score) - y * score) + PENALTY / 2 * (w[:-1] @ w[:-1])), slope
+        sent = spark.sparkContext.broadcast(np.append(w[:-1] * ratio, w[-1]).tobytes())
+        parts = features.mapInArrow(_slopes(sent, weight), "loss double, slope binary").collect()
+        sent.destroy()
+        slope = sum((np.frombuffer(r.slope, np.float64) for r in parts), np.zeros(BUCKETS + 1))
+        slope[:-1] = slope[:-1] * ratio + PENALTY * w[:-1]
+        return sum(r.loss for r in parts) + PENALTY / 2 * float(w[:-1] @ w[:-1]), slope
 
     w = minimum(loss, np.append(np.zeros(BUCKETS), base))
     return Model((w[:-1] * ratio).astype(np.float32), float(w[-1]))
@@ -143,10 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     sample = known.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     chosen = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    found = chosen.mapInArrow(_features, "toxic int, index binary, value binary").toArrow()
-    rows = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "index", "value")), strict=True))
-    del found
-    return fit(rows, totals.get(1, 0), totals.get(0, 0))
+    counted = chosen.mapInArrow(_features, "toxic int, index binary, value binary")
+    features = saved(counted.repartition(LANES, F.xxhash64("index", "value")))
+    model = fit(features, totals.get(1, 0), totals.get(0, 0))
+    drop(features)
+    return model
 
 
 def _score(model: Model, text_column: str, fields: list[str]):

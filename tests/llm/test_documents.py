@@ -214,6 +214,60 @@ def test_toxicity(spark, docs):
     assert toxicity.score(table, none).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_toxicity_against_a_plain_fit(spark):
+    """The same n-grams, ratios, scores and minimum as counted and computed text by text."""
+    rng = random.Random(4)
+    texts = [prose(rng, 12) + (" Vile fool" if i % 3 == 0 else "") for i in range(60)] + ["", "ab", "éÉ漢字𝄞x"]
+    toxic = [int(i % 3 == 0) for i in range(len(texts))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"), F.lit(True))
+
+    def features(text):
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        found = {}
+        for n in toxicity.GRAMS:
+            for i in range(len(text) - n + 1):
+                points = np.array([ord(c) for c in text[i : i + n]], np.uint32)
+                bucket = int(dict(toxicity._grams(points))[n][0])
+                found[bucket] = found.get(bucket, 0) + 1
+        return {b: c / max(1, len(text)) ** 0.5 for b, c in found.items()}
+
+    x = [features(t) for t in texts]
+    counts = [{}, {}]
+    for y, f in zip(toxic, x, strict=True):
+        for b in f:
+            counts[y][b] = counts[y].get(b, 0) + 1
+    total = [sum(c.values()) + toxicity.BUCKETS for c in counts]
+    ratio = {b: np.log((counts[1].get(b, 0) + 1) / total[1]) - np.log((counts[0].get(b, 0) + 1) / total[0]) for f in x for b in f}
+    scaled = [{b: v * ratio[b] for b, v in f.items()} for f in x]
+    weights = {b: model.weights[b] / r for b, r in ratio.items() if r}
+
+    def loss(w, bias):
+        z = np.array([bias + sum(w.get(b, 0) * v for b, v in f.items()) for f in scaled])
+        y = np.array(toxic)
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.PENALTY / 2 * sum(v * v for v in w.values()), 1 / (1 + np.exp(-z))
+
+    least, chance = loss(weights, model.bias)
+    found = {r.doc_id: r.score for r in toxicity.score(table, model).select("row.doc_id", "score").collect()}
+    assert all(abs(found[i] - chance[i]) < 1e-5 for i in found)
+    step = max(weights.values(), key=abs)
+    assert least < 0.05 and all(loss({b: v + d * step * rng.random() for b, v in weights.items()}, model.bias + e)[0] >= least - 1e-6 for d, e in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5)))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """Such bytes change no other row, and are restored."""
+    raw = spark.createDataFrame([(1, bytearray(b"text \xff\xc3 here")), (2, bytearray("next text h\u00e9re".encode())), (3, bytearray(b"\xa9\xe9")), (4, bytearray(b"\xc3")), (5, bytearray(b"\xa9"))], "doc_id long, raw binary")
+    table = raw.selectExpr("doc_id", "cast(raw as string) text").coalesce(1)
+    out = pieces.encode_texts(table, check=True).select("row.doc_id", "lossless", "decoded_sha256").collect()
+    assert all(r.lossless for r in out)
+    assert {r.doc_id: r.decoded_sha256 for r in out} == {r.doc_id: hashlib.sha256(bytes(r.raw)).hexdigest() for r in raw.collect()}
+    model = toxicity.Model(np.arange(toxicity.BUCKETS, dtype=np.float32) / toxicity.BUCKETS - 0.5, 0.0)
+    every = {r.doc_id: r.score for r in toxicity.score(table, model).select("row.doc_id", "score").collect()}
+    alone = toxicity.score(table.where("doc_id = 2"), model).first()
+    assert every[2] == alone.score and every[3] == every[4] == every[5] == 0.5
+    assert near_dedup.near_duplicates(table).count() == 5 and substring_dedup.remove_repeats(table).count() == 5
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 
