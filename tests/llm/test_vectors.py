@@ -69,6 +69,51 @@ def test_nearest(table, vectors):
     assert hits >= 0.9 * total
 
 
+def full(spark, x, is_query=lambda i: i % 20 == 0):
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {}
+    for r in vector_search.nearest(table, is_query).collect():
+        out.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q, found in out.items():
+        score = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]
+        assert len(found) == min(20, len(x) - 1)
+        hits += len(found & set(best))
+        total += len(best)
+    assert set(out) == set(range(0, len(x), 20)) or len(x) == 1
+    return hits / max(1, total)
+
+
+@pytest.mark.parametrize("rows", [2, 5, 11, 40])
+def test_every_query_returns_all_it_must(spark, rows):
+    assert full(spark, np.random.default_rng(rows).normal(size=(rows, 64))) >= 0.9
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_recall_whatever_the_lengths(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64)) * np.exp(spread * rng.normal(size=(3000, 1)))
+    assert full(spark, x) >= 0.9
+
+
+def test_queries_that_meet_too_few_are_completed(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "RECALL", 0.0)
+    monkeypatch.setattr(vector_search, "TABLES", 1)
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(vector_search, "UNIT", 100)
+    assert full(spark, rng.normal(size=(500, 64))) > 0.5
+
+
+def test_clusters_take_two_axes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 64)).repeat(60, 0) + 0.1 * rng.normal(size=(3600, 64))
+    assert vector_search.fit(x, float(np.log(np.sqrt((x * x).sum(1)).max())), 10**9, 10**7).axes == 2
+    monkeypatch.setattr(vector_search, "PROBE_COST", 0)
+    monkeypatch.setattr(vector_search, "UNIT", 500)
+    assert full(spark, x) >= 0.9
+
+
 def test_copies_are_found_by_smallest_id(spark):
     table = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(100)] + [(500, [1.0, -1.0])], "vec_id long, embedding array<float>")
     out = vector_search.nearest(table, lambda i: i == 40).collect()
