@@ -5,6 +5,7 @@ TEMPLATES: dict[str, list[str]] = {
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "apache": [
@@ -51,6 +52,7 @@ TEMPLATES: dict[str, list[str]] = {
     "lgpl": [
         "This work is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "mit": [
@@ -97,3 +99,16 @@ OTHERS = [
     "The medical license of the doctor was revoked, version three of the report said.",
     "You may not use this door except in an emergency.",
 ]
+
+# Customary wording of notices of licences outside the families.
+FOREIGN = [
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software. Distributed under the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is available with a FAQ at https://openfontlicense.org",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "You may distribute under the terms of the Artistic License, as specified in the README file. The standard version of the package may be redistributed without restriction.",
+    "Licensed under the European Union Public Licence, version 1.2 or later. The contents of this file are subject to the Common Development and Distribution License.",
+    "In no event shall the authors or contributors be held liable for any loss that follows from the use of the programs of this collection.",
+    "The origin of this work must not be misrepresented, and altered versions must be plainly marked as such.",
+]

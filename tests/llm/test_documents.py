@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -338,37 +339,93 @@ def test_chat(spark):
         assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
 
 
-def test_licenses(spark, docs):
-    model = licenses.train(docs)
-    notices = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", None: "She renewed her driving license in public, with permission."}
-    table = spark.createDataFrame([(i, f"First line.\n\n{t}\nlast", "x") for i, t in enumerate(notices.values())], "doc_id long, text string, family string")
-    out = {r.doc_id: r for r in licenses.licenses(table, model).collect()}
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software."""
+
+
+def test_licenses(spark, docs, license_model):
+    notices = {
+        "mit": "Released under the MIT License.",
+        "apache": "Licensed under the Apache License, Version 2.0.",
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+        None: "She renewed her driving license in public, with permission.",
+    }
+    table = spark.createDataFrame([(i, f"First line.\n \n{t}\nlast\n\n\n", "x") for i, t in enumerate(notices.values())], "doc_id long, text string, family string")
+    out = {r.doc_id: r for r in licenses.licenses(table, license_model).collect()}
     assert [out[i].license for i in range(len(notices))] == list(notices)
-    assert all(r.n_paragraphs == 3 for r in out.values())
-    odd = licenses.licenses(docs, model).collect()
+    assert all(r.n_paragraphs == 2 for r in out.values())
+    odd = licenses.licenses(docs, license_model).collect()
     assert len(odd) == docs.count() and all(r.n_found == 0 and r.license is None for r in odd)
-    held = [t for name, ts in licenses.TEMPLATES.items() for t in ts]
-    both = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
-    names = [name for name, ts in licenses.TEMPLATES.items() for _ in ts]
-    right = sum(r.license == names[r.doc_id] for r in licenses.licenses(both, model).collect())
-    assert right >= 0.85 * len(held)
+    assert license_model.error < 0.2
+
+
+def test_wrapped_notices_and_an_unseen_family(spark, license_model):
+    """Every notice, alone, wrapped, and amid prose; a licence of no family stays unknown."""
+    rng = random.Random(8)
+    held = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = [t for _, t in held] + [textwrap.fill(t, 40) for _, t in held] + [prose(rng, 35) + "\n" + textwrap.fill(t, 80) + "\n" + prose(rng, 50) for _, t in held]
+    out = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(list(enumerate([*texts, ZLIB])), "doc_id long, text string"), license_model).collect()}
+    right = [out[i].license == held[i % len(held)][0] for i in range(len(texts))]
+    assert all(right[: 2 * len(held)]) and sum(right) >= 0.95 * len(texts)
+    assert all(out[i].families == out[i].license for i in range(len(texts)))
+    assert out[len(texts)].license is None and out[len(texts)].n_paragraphs == 3
 
 
-def test_licenses_sees_every_feature(spark, docs):
-    model = licenses.train(docs)
-    lines = ["Text: CC-BY-SA 4.0", "(c) 2020 X, MIT", "Unless required by applicable law or agreed to in writing,", "the above, including all copies or substantial portions of the Software.", "she may use the file", "épée the gamma", "", "...", *model.grams]
+def brute_scan(text, model):
+    """(paragraph, window) -> (family, probability, similarity) of the windows that are not unknown."""
     weights = dict(zip(model.grams, model.weights, strict=True))
+    out = {}
+    for p, part in enumerate(re.split(r"\n\s*\n", text)):
+        words = licenses.words_of(part)
+        for w in range(-(-len(words) // licenses.STRIDE)):
+            low = w * licenses.STRIDE
+            singles, pairs = words[low : low + licenses.WINDOW], licenses.pairs_of(words[low : low + licenses.WINDOW + 1])
+            grams = [g for g in singles + pairs if g in weights]
+            if not any(g in weights for g in words + licenses.pairs_of(words)) or not singles:
+                continue
+            z = (model.bias + sum((weights[g] for g in grams), 0 * model.bias)) / model.temperature
+            chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            name = model.names[chance.argmax()]
+            if name != licenses.UNKNOWN and chance.max() >= licenses.CERTAIN:
+                own = max(1, min(licenses.WINDOW, len(words) - low) - 1)
+                alike = [len(set(pairs) & set(n)) / min(own, len(set(n))) for n in map(licenses.pairs_of, map(licenses.words_of, licenses.TEMPLATES[name]))]
+                out[p, w] = (name, float(chance.max()), min(1.0, max(alike)))
+    return out
+
+
+def test_scan_against_brute_force(spark, license_model):
+    rng = random.Random(9)
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    texts = ["Text: CC-BY-SA 4.0", "(c) 2020 X, MIT", "", "...", ZLIB, "\n\n".join(license_model.grams), " ".join(rng.sample(license_model.grams, 300))]
+    texts += ["\n".join(textwrap.fill(rng.choice(notices), 50) + rng.choice(["\n\n", "\n \n\n", " "]) + prose(rng, rng.randrange(90)) for _ in range(4)) for _ in range(30)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), license_model).collect()
+    got = {(r.doc_id, r.paragraph, r.first_word // licenses.STRIDE): r for r in found}
     want = {}
-    for i, line in enumerate(lines):
-        z = (model.bias + sum((weights[g] for g in licenses.grams_of(line) if g in weights), 0 * model.bias)) / model.temperature
-        chance = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        if model.names[chance.argmax()] != licenses.UNKNOWN and chance.max() >= licenses.CERTAIN:
-            want[i] = (model.names[chance.argmax()], round(float(chance.max()), 4))
-    table = spark.createDataFrame([(1, "\n".join(lines), "x")], "doc_id long, text string, family string")
-    out = {r.paragraph: (r.family, round(r.probability, 4)) for r in licenses.scan(table, model).collect()}
-    assert {i: f for i, (f, _) in out.items()} == {i: f for i, (f, _) in want.items()}
-    assert all(abs(out[i][1] - want[i][1]) <= 2e-4 for i in want)
-    assert out[0][0] == "cc-by-sa" and out[3][0] == "mit"
+    for i, text in enumerate(texts):
+        windows = brute_scan(text, license_model)
+        for p, w in sorted(windows):
+            if (p, w - 1) not in windows:
+                run = []
+                while (p, w + len(run)) in windows:
+                    run.append(windows[p, w + len(run)])
+                want[i, p, w] = min(run, key=lambda x: (x[2] < licenses.ALIKE, -round(x[1], 6), -x[2]))
+    assert set(got) == set(want) and len(want) > 60
+    for k, (name, chance, alike) in want.items():
+        assert got[k].family == name and abs(got[k].probability - chance) < 1e-5 and abs(got[k].similarity - alike) < 1e-5
 
 
 def test_empty_tables(empty):
