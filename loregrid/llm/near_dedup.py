@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, salted
 from .scratch import drop, prepare, saved
 from .text import U64, mix, pieces, shingle_sets
 
@@ -62,7 +62,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(pa.array(digest.view(np.int64)))
         ends = np.concatenate([[0], np.cumsum(some)]) * COORDINATES
         signature = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens(at, flat).reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *digests, signature], ["doc_id", "n_shingles", "d1", "d2", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), *digests, signature], ["doc_id", "tag", "n_shingles", "d1", "d2", "tokens"])
 
 
 def _forest(ids: np.ndarray, near) -> tuple[list[int], list[int]]:
@@ -169,38 +169,49 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     five-word shingles; component_id is the smallest doc_id reachable. Null, empty and
     wordless texts have no shingles and are linked with nothing. Rows that repeat a doc_id
     are one node with the links of all its texts. Rows without a doc_id have no component
-    and are kept. Other columns of ``docs`` are not read, whatever their names.
+    and are kept. Other columns of ``docs`` are not read, whatever their names. Keys that
+    many rows share (a class of copies, a token, a hub) are dealt to several tasks.
     """
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    signed = saved(texts.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>"))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = saved(signed.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("tokens")).alias("tokens")))
+    text = F.col(f"`{text_column}`").cast("string")
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+    signed = saved(texts.mapInArrow(_sign, "doc_id long, tag long, n_shingles long, d1 long, d2 long, tokens array<long>"))
+    same_set = ["n_shingles", "d1", "d2"]
+    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # the number of a class stays, as it is written down
+    classes = saved(known.groupBy(*same_set).agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()))
+    reps = classes.select("id", F.col("n_shingles").alias("n"), "tokens")
+    members = saved(salted(signed.select("doc_id", "tag", *same_set), classes.select(*same_set, "id"), same_set, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")))
     drop(signed)
-    reps = members.where("tokens IS NOT NULL").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["id", "n"])
 
-    posted = reps.select("id", F.explode("tokens").alias("key")).repartition("key")
+    posted = saved(reps.select("id", F.explode("tokens").alias("key")))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = posted.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    ordered = salted(posted, shared, ["key"], "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
     postings = saved(ordered.where(F.size("keys") >= MATCHES).select("id", F.explode(F.expr(f"slice(keys, 1, size(keys) - {MATCHES - 1})")).alias("k")).select("id", F.col("k.key").alias("key")))
-    pool = saved(texts.join(postings.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    signatures = saved(reps.join(postings.select("id").distinct(), "id", "left_semi"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (pool.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return saved(both.mapInArrow(_confirm, "a long, b long").distinct())
+    drop(posted)
+    candidates = postings.select("id").distinct()
+    wanted = classes.join(candidates, "id", "left_semi").select("id", "rep.doc_id", "rep.tag")
+    pool = saved(texts.join(wanted, ["doc_id", "tag"]).groupBy("doc_id", "tag").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
+    signatures = saved(reps.join(candidates, "id", "left_semi"))
+
+    def beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        """``pairs`` with the columns of both ends, whose hubs may be hot."""
+        for x, y in ("ab", "ba"):
+            pairs = salted(pairs, table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), [x], y)
+        return pairs
 
     ends = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    stars = postings.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    s = [signatures.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab"]
-    probed = stars.join(s[0], "a").join(s[1], "b").where(F.size(F.array_intersect("t_a", "t_b")) >= MATCHES).where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    links = confirmed(probed.select("a", "b").distinct())
+    stars = saved(salted(postings, ends, ["key"], "id").select("id", F.explode(F.array("low", "high")).alias("hub")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    probed = beside(stars, signatures, "n", "tokens").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    pairs = saved(probed.select("a", "b"))
+    links = saved(beside(pairs, pool, "text").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct())
+    drop(stars, pairs)
 
     found = saved(components(links))
-    labelled = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+    labelled = saved(postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("c")))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("c0 < c1")
+
     def units(rows: DataFrame, *columns: str) -> DataFrame:
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         return blocked.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "c", *columns)
@@ -208,20 +219,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def together(rows: DataFrame) -> DataFrame:
         return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
-    lists = units(labelled.join(mixed, "key")).join(signatures, "id").select("key", "bi", "bj", "id", "c", "n", "tokens")
+    lists = units(salted(labelled, mixed, ["key"], "id")).join(signatures, "id").select("key", "bi", "bj", "id", "c", "n", "tokens")
     clusters = components(together(lists).mapInArrow(_units, "a long, b long").distinct())
-    labels = clusters.join(found.select("node", F.col("component").alias("c")), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("key"), F.coalesce("c", "node").alias("c"))
+    labels = saved(clusters.join(found.select("node", F.col("component").alias("c")), "node", "left").select(F.col("node").alias("id"), F.col("component").alias("key"), F.coalesce("c", "node").alias("c")))
     sizes = labels.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
-    texted = units(labels.join(sizes, "key")).join(pool.select(F.col("doc_id").alias("id"), "text"), "id").select("key", "bi", "bj", "id", "c", "text")
+    texted = units(salted(labels, sizes, ["key"], "id")).join(pool, "id").select("key", "bi", "bj", "id", "c", "text")
     more = together(texted).mapInArrow(_compare, "a long, b long")
 
-    same = members.where("rep IS NOT NULL AND doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
-    bridges = same.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    final = components(links.unionByName(more).unionByName(bridges))
-    drop(postings, pool, signatures, links, found)
-    out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    # a doc_id with several texts joins their classes
+    placed = members.where("id IS NOT NULL").select("doc_id", "id")
+    repeated = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    bridges = salted(placed, repeated, ["doc_id"], "id").select("a", F.col("id").alias("b"))
+    nodes = components(links.unionByName(more).unionByName(bridges))
+    drop(postings, pool, signatures, links, found, labelled, labels)
+    of_class = classes.select("id", F.col("rep.doc_id").alias("rep")).join(nodes.withColumnRenamed("node", "id"), "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
+    of_class = saved(of_class)
+    least = of_class.groupBy("component").agg(F.min("rep").alias("root"))
+    rooted = salted(of_class, least, ["component"], "id").select("id", "root")
+    out = salted(members, rooted, ["id"], "doc_id", "left")
+    component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

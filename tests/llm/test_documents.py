@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loregrid.llm import chat, licenses, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity
+from loregrid.llm import chat, graph, licenses, mixing, near_dedup, pieces, sharding, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, tokens string, score double, rep long, c int, at string, start int, cell int, family string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -97,6 +97,39 @@ def test_near_duplicates_compares_what_stars_miss(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()} == root
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with two texts of as many shingles has the links of both."""
+    a, b = ([f"{x}{i}" for i in range(30)] for x in "ab")
+    texts = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*a, "tail"])), (7, " ".join([*b, "tail"])), (7, " ".join([*b, "tail"])), (8, "other words are here now")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (5, 5), (6, 5), (7, 5), (7, 5), (8, 8)]
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of a similarity from 0.75 to 0.76, none of which may be missed more than a few times in 100,000."""
+    rows = []
+    for i in range(300):
+        w = [f"w{i}x{j}" for j in range(200)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 200 - i % 2] + [f"t{i}y{j}" for j in range(64 - i % 2)]))]
+    sets = [shingles(t) for _, t in rows]
+    near = [100 * len(x & y) >= 75 * len(x | y) for x, y in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(near) >= 150
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i, n in enumerate(near) if n and out[2 * i + 1] != 2 * i]
+    assert not missed and all(out[2 * i + 1] == 2 * i + 1 for i, n in enumerate(near) if not n)
+
+
+@pytest.mark.parametrize("few", [graph.FEW, 4])
+def test_components_of_hubs_and_chains(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(6)
+    links = [(0, i) for i in range(1, 300)] + [(5000, i) for i in range(1000, 1300)] + [(2000 + i, 2001 + i) for i in range(60)] + [(rng.randrange(3000, 3500), rng.randrange(3000, 3500)) for _ in range(300)] + [(9, 9)]
+    want = roots({x for e in links for x in e}, links)
+    want.pop(9) if all(9 not in e or e == (9, 9) for e in links) else None
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {n: c for n, c in want.items() if n in found} and set(found) == {x for a, b in links if a != b for x in (a, b)}
+
+
 def test_remove_repeats(docs, rows):
     order = {}
     keyed = [(2**63 - 1 if i is None else i, words(t)) for i, t, *_ in rows]
