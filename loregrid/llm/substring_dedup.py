@@ -7,30 +7,38 @@ have equal minimisers, so they meet there, and a sort finds each one's earliest
 
 A map task first does the same within each piece of its input, so that of any number of
 copies one super-k-mer a piece is sent. Super-k-mers of one piece and bucket are compressed
-together. A bucket of more than ``PASS_WINDOWS`` windows, such as a frequent passage makes,
-is worked through in several passes over its packed strings, each for a part of the hashes.
+together. A bucket is a stream: of every window its task keeps two 64-bit hashes and the
+earliest start so far, and lets go at once of what begins later. Beyond ``KEPT`` windows it
+hands these to a last grouping by Spark, which spills, so no bucket is held in memory
+whatever its size. Windows with both hashes equal count as one (chance 1e-38 a pair).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import prepare
+from .scratch import prepare, saved
 from .text import U64, Words, mix, pieces, ragged, windows
 
-WINDOW, MER = 20, 2
-#: Text handled at once by the map side; buckets for each shuffle partition; windows sorted at once.
-MAP_BYTES, BUCKETS, PASS_WINDOWS = 4 << 20, 4, 2_000_000
+WINDOW, MER = 20, 3
+#: Text handled at once by the map side; the least number of buckets for each shuffle partition.
+MAP_BYTES, BUCKETS = 4 << 20, 4
+#: Bytes of input files for each bucket and each partition, and the most partitions.
+BUCKET_BYTES, PARTITION_BYTES, MOST = 2 << 20, 64 << 20, 20_000
+#: Windows sorted at once, and windows that a bucket's task keeps.
+SORTED, KEPT = 500_000, 2_000_000
 _LAST = np.iinfo(np.int64).max
 _CODEC = "zstd"
+_FOUND = "order_id long, tag long, start int, size int, k1 long, k2 long"
 
 
 def _minimisers(words: np.ndarray) -> np.ndarray:
@@ -44,21 +52,26 @@ def _minimisers(words: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _repeated(words: np.ndarray, at: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows (word index ``at``) also begin earlier; they come in order of (doc, start)."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    late = ~new & ((doc[order] != doc[first]) | (start[order] != start[first]))
-    here, there = order[late], first[late]
-    same = np.ones(len(here), bool)
-    for j in range(WINDOW):  # word for word: equal hashes of a window alone decide nothing
-        same &= words[at[here] + j] == words[at[there] + j]
-    out = np.zeros(len(order), bool)
-    out[here[same]] = True
-    return out
+def _keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the window that begins at each word."""
+    return windows(words, WINDOW), windows(mix(words ^ U64(0xA5A5F00D5EED1234)), WINDOW)
+
+
+def _repeated(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows also begin earlier, which are the one to keep of their kind)."""
+    late, kept = np.zeros(len(k1), bool), np.ones(len(k1), bool)
+    order = np.argsort(k1, kind="stable")
+    like = np.zeros(len(k1) + 1, bool)
+    like[1:-1] = k1[order][1:] == k1[order][:-1]
+    some = order[like[1:] | like[:-1]]  # only those whose first hash recurs
+    some = some[np.lexsort((start[some], doc[some], k2[some], k1[some]))]
+    if len(some):
+        new = np.ones(len(some), bool)
+        new[1:] = (k1[some][1:] != k1[some][:-1]) | (k2[some][1:] != k2[some][:-1])
+        first = some[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late[some] = (doc[some] != doc[first]) | (start[some] != start[first])
+        kept[some] = new
+    return late, kept
 
 
 def _runs(flags: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +104,8 @@ def _split(buckets: int):
             start = at - words.first[:-1][row]
             doc = ids[row]
             low = _minimisers(hashes)[at]
-            gone = _repeated(hashes, at, windows(hashes, WINDOW)[at], doc, start)
+            k1, k2 = _keys(hashes)
+            gone, _ = _repeated(k1[at], k2[at], doc, start)
             out: list[tuple] = []
             first, size = _runs(gone, row, start)
             if len(first):
@@ -101,77 +115,86 @@ def _split(buckets: int):
             bucket = (mix(low[first]) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             first, size, bucket = first[order], size[order], bucket[order]
-            head_ids, head = ids[row[first]], np.stack([tags[row[first]], start[first], size + WINDOW - 1]).astype(np.int32)
+            head_ids, head_tags, head = ids[row[first]], tags[row[first]], np.stack([start[first], size + WINDOW - 1]).astype(np.int32)
             begin, end = words.starts[at[first]].tolist(), words.ends[at[first] + size + WINDOW - 2].tolist()
             data = words.data.tobytes()
             bounds = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist() if len(first) else []
             for x, y in zip(bounds, [*bounds[1:], len(first)], strict=True):
                 text = b" ".join([data[a:b] for a, b in zip(begin[x:y], end[x:y], strict=True)])
-                raw = np.int64(y - x).tobytes() + np.diff(head_ids[x:y], prepend=0).tobytes() + head[:, x:y].tobytes() + text
+                raw = np.int64(y - x).tobytes() + np.diff(head_ids[x:y], prepend=0).tobytes() + head_tags[x:y].tobytes() + head[:, x:y].tobytes() + text
                 out.append((int(bucket[x]), True, np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary())], ["bucket", "packed", "payload"])
 
     return run
 
 
-def _unpack(blob: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, tag, start, words) of each super-k-mer, and the hashes of all their words."""
+def _unpack(blob: bytes, codec: pa.Codec) -> tuple[np.ndarray, ...]:
+    """(k1, k2, doc, tag, start) of every window of a payload."""
     size = int(np.frombuffer(blob[:8], np.int64)[0])
     raw = codec.decompress(blob[8:], size, asbytes=True)
     n = int(np.frombuffer(raw[:8], np.int64)[0])
-    ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
-    head = np.concatenate([ids[None, :], np.frombuffer(raw, np.int32, 3 * n, 8 + 8 * n).reshape(3, n)])
-    return head, Words(pa.array([raw[8 + 20 * n :]], pa.large_binary())).hashes()
-
-
-def _bucket(blobs: list[bytes], codec: pa.Codec) -> Iterator[np.ndarray]:
-    """(doc, tag, start, number) of the runs of windows that begin earlier elsewhere."""
-    total = 0
-    for blob in blobs:
-        total += int((_unpack(blob, codec)[0][3] - WINDOW + 1).sum()) if len(blobs) > 64 else 0
-    passes = 1 + total // PASS_WINDOWS
-    for k in range(passes):
-        parts = []
-        for blob in blobs:
-            head, words = _unpack(blob, codec)
-            count = head[3] - WINDOW + 1
-            at = ragged(np.cumsum(head[3]) - head[3], count)
-            run = np.repeat(np.arange(head.shape[1]), count)
-            start = head[2][run] + (at - (np.cumsum(head[3]) - head[3])[run])
-            hashes = windows(words, WINDOW)[at]
-            mine = np.flatnonzero(mix(hashes) % U64(passes) == U64(k)) if passes > 1 else slice(None)
-            parts.append((words, at[mine], hashes[mine], head[0][run][mine], head[1][run][mine], start[mine]))
-        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-        words = np.concatenate([p[0] for p in parts])
-        at = np.concatenate([p[1] + s for p, s in zip(parts, shift[:-1], strict=True)])
-        hashes, doc, tag, start = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4, 5))
-        del parts
-        order = np.lexsort((start, doc))
-        at, hashes, doc, tag, start = at[order], hashes[order], doc[order], tag[order], start[order]
-        first, size = _runs(_repeated(words, at, hashes, doc, start), doc, tag, start)
-        yield np.stack([doc[first], tag[first], start[first], size])
+    ids, tags = np.cumsum(np.frombuffer(raw, np.int64, n, 8)), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+    begin, length = np.frombuffer(raw, np.int32, 2 * n, 8 + 16 * n).reshape(2, n).astype(np.int64)
+    words = Words(pa.array([raw[8 + 24 * n :]], pa.large_binary())).hashes()
+    count, own = length - WINDOW + 1, np.cumsum(length) - length
+    at, run = ragged(own, count), np.repeat(np.arange(n), count)
+    k1, k2 = _keys(words)
+    return k1[at], k2[at], ids[run], tags[run], begin[run] + at - own[run]
+
+
+def _bucket(payloads: Iterator[bytes], codec: pa.Codec) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that begin earlier elsewhere and, of a bucket that is not kept whole, its earliest windows."""
+    held, pending, count, handed = [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3, [], 0, False
+
+    def late(parts: list[np.ndarray], gone: np.ndarray) -> pa.RecordBatch:
+        doc, tag, start = (p[gone] for p in parts[2:])
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order]
+        first, size = _runs(np.ones(len(doc), bool), doc, tag, start)
+        return _rows(doc[first], tag[first], start[first], size)
+
+    for payload in payloads:
+        pending.append(_unpack(payload, codec))
+        count += len(pending[-1][0])
+        if count >= SORTED:
+            parts = [np.concatenate([h, *(p[i] for p in pending)]) for i, h in enumerate(held)]
+            gone, kept = _repeated(parts[0], parts[1], parts[2], parts[4])
+            yield late(parts, gone)
+            held, pending, count = [p[kept] for p in parts], [], 0
+            if len(held[0]) > KEPT:
+                yield _rows(*held[2:], np.zeros(len(held[0]), np.int64), *held[:2])
+                held, handed = [h[:0] for h in held], True
+    parts = [np.concatenate([h, *(p[i] for p in pending)]) for i, h in enumerate(held)]
+    gone, kept = _repeated(parts[0], parts[1], parts[2], parts[4])
+    yield late(parts, gone)
+    if handed:
+        yield _rows(*(p[kept] for p in parts[2:]), np.zeros(int(kept.sum()), np.int64), parts[0][kept], parts[1][kept])
+
+
+def _rows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+    """Runs (size above 0), or with ``keys`` windows still to be compared (size 0)."""
+    own = [pa.array(k.view(np.int64)) for k in keys] or [pa.nulls(len(doc), pa.int64())] * 2
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), *own], ["order_id", "tag", "start", "size", "k1", "k2"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec, held, now = pa.Codec(_CODEC), [], None
+    codec, early = pa.Codec(_CODEC), []
 
-    def rows(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], ["order_id", "tag", "start", "size"])
+    def rows() -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            for bucket, packed, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if packed.as_py():
+                    yield bucket.as_py(), payload.as_py()
+                else:
+                    early.append(np.frombuffer(payload.as_py(), np.int64).reshape(4, -1))
 
-    for batch in batches:
-        for bucket, packed, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if not packed:
-                yield rows(np.frombuffer(payload, np.int64).reshape(4, -1))
-                continue
-            if bucket != now and held:
-                for found in _bucket(held, codec):
-                    yield rows(found)
-                held = []
-            now = bucket
-            held.append(payload)
-    if held:
-        for found in _bucket(held, codec):
-            yield rows(found)
+    for _, payloads in groupby(rows(), key=lambda r: r[0]):
+        for found in _bucket((p for _, p in payloads), codec):
+            yield found
+            while early:
+                yield _rows(*early.pop())
+    while early:
+        yield _rows(*early.pop())
 
 
 def _cut(keep_whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,19 +238,27 @@ def remove_repeats(docs: DataFrame, keep_whole: bool = False, id_column: str = "
     of the input. Returns n_words, n_removed, kept_text (the kept words joined by one
     space) and row, a struct of all columns of ``docs`` but the text, for every input row.
     With ``keep_whole`` the kept_text of a text that loses nothing is the text itself.
-    Null and empty texts have no words and an empty kept_text (null with ``keep_whole``). Rows without a doc_id come
-    after all others. Rows that repeat a doc_id are told apart by their texts; windows at
-    one start of one doc_id count as one occurrence, of which none is earlier.
+    Null and empty texts have no words and an empty kept_text (null with ``keep_whole``).
+    Rows without a doc_id come after all others. Rows that repeat a doc_id are told apart by
+    their texts; windows at one start of one doc_id count as one occurrence, of which none
+    is earlier.
     """
     spark = docs.sparkSession
     prepare(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 56 else 0  # plans that do not know theirs say the largest number
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST, size // PARTITION_BYTES))
+    buckets = max(BUCKETS * partitions, min(16 * MOST, size // BUCKET_BYTES))
     rest = [c for c in docs.columns if c != text_column]
-    text = F.col(f"`{text_column}`").cast("string")
-    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("order_id"), F.hash(text).alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    sent = keyed.select("order_id", "tag", "text").mapInArrow(_split(BUCKETS * partitions), "bucket long, packed boolean, payload binary")
-    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "order_id long, tag int, start int, size int")
-    runs = found.groupBy("order_id", "tag").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    text, doc_id = F.col(f"`{text_column}`").cast("string"), F.col(f"`{id_column}`").cast("long")
+    tag = F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+    keyed = docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("order_id"), tag.alias("tag"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    sent = keyed.select("order_id", "tag", "text").mapInArrow(_split(buckets), "bucket long, packed boolean, payload binary")
+    found = saved(sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _FOUND))
+    place = F.struct("order_id", "start")
+    handed = found.where("size = 0").withColumn("first", F.min(place).over(Window.partitionBy("k1", "k2"))).where(place != F.col("first"))
+    gone = found.where("size > 0").unionByName(handed.select(*found.columns).withColumn("size", F.lit(1)))
+    runs = gone.groupBy("order_id", "tag").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     both = keyed.join(runs, ["order_id", "tag"], "left").select("text", "runs", "row")
     return both.mapInArrow(partial(_cut, keep_whole), _schema(docs, rest))
 

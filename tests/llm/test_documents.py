@@ -150,17 +150,27 @@ def test_remove_repeats(docs, rows):
     assert {r.kept_text for r in whole} <= {t for _, t, *_ in rows}
 
 
-def test_remove_repeats_in_passes(docs, monkeypatch):
+def test_remove_repeats_of_a_bucket_not_kept_whole(docs, monkeypatch):
     want = sorted(map(tuple, substring_dedup.remove_repeats(docs).select("n_words", "n_removed", "kept_text").collect()))
-    monkeypatch.setattr(substring_dedup, "PASS_WINDOWS", 200_000)
-    blobs = []
-    for batch in substring_dedup._split(1)(iter(docs.where("doc_id IS NOT NULL").select("doc_id", F.hash("text").alias("t"), "text").toArrow().combine_chunks().to_batches())):
-        blobs += [p for p, packed in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True) if packed]
-    import pyarrow as pa
-
-    once = np.concatenate(list(substring_dedup._bucket(blobs, pa.Codec("zstd"))), 1)
-    many = np.concatenate(list(substring_dedup._bucket(blobs * 65, pa.Codec("zstd"))), 1)
-    assert want and once[3].sum() <= many[3].sum()
+    monkeypatch.setattr(substring_dedup, "SORTED", 300)
+    monkeypatch.setattr(substring_dedup, "KEPT", 500)
+    codec, payloads = pa.Codec("zstd"), []
+    batch = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text").toArrow().combine_chunks().to_batches()[0]
+    for low in range(0, batch.num_rows, 5):
+        for out in substring_dedup._split(1)(iter([batch.slice(low, 5)])):
+            payloads += [p for p, packed in zip(out.column(2).to_pylist(), out.column(1).to_pylist(), strict=True) if packed]
+    found = [r for b in substring_dedup._bucket(iter(payloads), codec) for r in b.to_pylist()]
+    handed = [r for r in found if r["size"] == 0]
+    first = {}
+    for r in handed:
+        k = (r["k1"], r["k2"])
+        first[k] = min(first.get(k, (2**63, 0)), (r["order_id"], r["start"]))
+    late = [(r["order_id"], r["tag"], r["start"]) for r in handed if first[r["k1"], r["k2"]] != (r["order_id"], r["start"])]
+    late += [(r["order_id"], r["tag"], r["start"] + j) for r in found for j in range(r["size"])]
+    monkeypatch.setattr(substring_dedup, "SORTED", 1 << 40)
+    once = [(r["order_id"], r["tag"], r["start"] + j) for b in substring_dedup._bucket(iter(payloads), codec) for r in b.to_pylist() for j in range(r["size"])]
+    assert handed and sorted(set(late)) == sorted(set(once)) and once
+    assert want == sorted(map(tuple, substring_dedup.remove_repeats(docs).select("n_words", "n_removed", "kept_text").collect()))
 
 
 def test_shards(docs, rows):
