@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .scratch import saved
 
-BLOCK, SHARDS, LANES = 64, 16, 64
+BLOCK, SHARDS = 64, 16
+#: Hash lanes of a source in which its documents are put in order: the least number, and the rows for one more.
+LANES, LANE_ROWS = 64, 200_000
 WEIGHTS, MOST = (5, 2, 1), 3
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -81,24 +83,26 @@ def mix_sources(docs: DataFrame, carry: bool = False, weights: tuple = WEIGHTS,
     taken; if no text has words all targets are 0. The order of the rows, and with it the
     mix, follows from the seed, doc_ids and texts, so reruns agree. With ``carry`` the
     result also has row, a struct of all columns of ``docs``. The driver sees a row for each
-    source and lane, never documents.
+    source; where its lanes begin, of which there are more the more rows there are, is
+    summed up by executors.
     """
     spark = docs.sparkSession
     text, doc_id = F.col(f"`{text_column}`").cast("string"), F.col(f"`{id_column}`").cast("long")
     size = F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long")
     columns = [doc_id.alias("doc_id"), size.alias("size"), F.col(f"`{source_column}`").cast("string").alias("source"), F.xxhash64(F.lit(seed), doc_id, text).alias("at")]
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    slim = saved(docs.select(*columns, *row).withColumn("lane", F.pmod(F.shiftright("at", 7), F.lit(LANES)).cast("int")))
-    lanes: dict[str | None, dict[int, int]] = {}
-    for r in slim.groupBy("source", "lane").agg(F.sum("size").alias("words")).collect():
-        lanes.setdefault(r.source, {})[r.lane] = r.words
-    names = sorted(lanes, key=lambda s: (s is None, s or ""))
-    sizes = [sum(lanes[s].values()) for s in names]
+    slim = saved(docs.select(*columns, *row))
+    many = max(LANES, slim.count() // LANE_ROWS)
+    laned = slim.withColumn("lane", F.pmod(F.shiftright("at", 7), F.lit(many)).cast("int"))
+    lanes = saved(laned.groupBy("source", "lane").agg(F.sum("size").alias("words")))
+    known = {r.source: r.words for r in lanes.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    names = sorted(known, key=lambda s: (s is None, s or ""))
+    sizes = [known[s] for s in names]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
     total = round(sum(wanted) / BLOCK)
     steps = [apportion(wanted, total * (j + 1) // SHARDS) for j in range(SHARDS)]
 
-    plan, base = [], []
+    plan = []
     for i, s in enumerate(names):
         blocks = max(1, -(-sizes[i] // BLOCK))
         words = BLOCK * steps[-1][i]
@@ -106,15 +110,12 @@ def mix_sources(docs: DataFrame, carry: bool = False, weights: tuple = WEIGHTS,
         rest = min(blocks, round((words - epochs * sizes[i]) / BLOCK)) if sizes[i] and epochs < most else 0
         p, c = _permutation(f"{seed}:{i}:{s}", blocks)
         plan.append((i, s, sizes[i], wanted[i], blocks, epochs, rest, p, c, [x[i] for x in steps]))
-        before = 0
-        for lane in sorted(lanes[s]):
-            base.append((i, lane, before))
-            before += lanes[s][lane]
     table = spark.createDataFrame(plan, "no int, name string, source_size long, target double, blocks long, epochs int, rest long, p long, c long, quotas array<long>")
-    bases = spark.createDataFrame(base, "no int, lane int, base long")
+    before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    bases = lanes.select("source", "lane", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")).join(table.select("no", "name"), F.col("source").eqNullSafe(F.col("name"))).select("no", "lane", "base")
 
     order = Window.partitionBy("no", "lane").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = slim.join(table, slim.source.eqNullSafe(table.name)).withColumn("end", F.sum("size").over(order)).join(bases, ["no", "lane"])
+    known = laned.join(table, laned.source.eqNullSafe(table.name)).withColumn("end", F.sum("size").over(order)).join(bases, ["no", "lane"])
     placed = known.withColumn("begin", F.col("base") + F.col("end") - F.col("size")).withColumn("end", F.col("base") + F.col("end"))
     blocks = F.expr(f"""
         if(size = 0, array(), transform(sequence(begin div {BLOCK}, (end - 1) div {BLOCK}), b -> named_struct(

@@ -1,10 +1,12 @@
 """Shards of near equal bytes by Karmarkar-Karp differencing of indivisible groups.
 
 Equal texts form a group, of one size however many rows it has. Groups are dealt into cells
-by hash: ``CELLS``, or as many more as keep ``CELL_ROWS`` rows in each. Within a cell, groups in descending order are taken ``shards`` at a
-time, each such batch being a partial partition; then the two partial partitions of the
-largest spread are combined, oppositely ordered, until one is left. The cells' partitions
-(cells x shards sums: 16 numbers for every 200,000 rows) are combined the same way on the driver.
+by hash: ``CELLS``, or as many more as keep ``CELL_ROWS`` rows in each. Within a cell every
+group begins as a partial partition of its own; then the two partial partitions of the
+largest spread are combined, oppositely ordered, until one is left. Cells' partitions are
+combined the same way, ``FAN`` cells at a time, by tasks, until at most FAN are left. Last,
+all parts of these begin alone once more, together with the groups of more than a
+``HEAVY``-th of an even share, so that what is small fills up what is large.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .scratch import drop, prepare, saved
 
-CELLS, CELL_ROWS = 256, 200_000
+CELLS, CELL_ROWS, FAN, HEAVY = 256, 20_000, 1024, 64
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +58,17 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[-1] if parents else sums[0], where
 
 
+def alone(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """``difference`` of sizes that begin alone: (sums, the part of each)."""
+    parts = np.zeros((len(sizes), shards), np.int64)
+    parts[:, 0] = sizes
+    total, where = difference(parts)
+    return total, where[:, 0].astype(np.int32)
+
+
 def _assign(shards: int):
     def cell(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(-sizes, kind="stable")
-        padded = np.zeros(-(-len(sizes) // shards) * shards, np.int64)
-        padded[: len(sizes)] = sizes[order]
-        total, where = difference(padded.reshape(-1, shards))
-        out = np.empty(len(sizes), np.int32)
-        out[order] = where.reshape(-1)[: len(sizes)]
-        return total, out
+        return alone(sizes, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -98,6 +102,60 @@ def _assign(shards: int):
     return run
 
 
+def _combine(shards: int, last: bool):
+    """Of the cells of each group, (cell, part, above, place): where parts go, and the group's own sums."""
+
+    def solve(above: int, rows: list[tuple]) -> pa.RecordBatch:
+        if last:
+            _, place = alone(np.array([r[2] for r in rows], np.int64), shards)
+            columns = [[r[0] for r in rows], [r[1] for r in rows], np.zeros(len(rows)), place, np.full(len(rows), -1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], ["cell", "part", "above", "place", "sum"])
+        cells = sorted({r[0] for r in rows})
+        sums = np.zeros((len(cells), shards), np.int64)
+        index = {c: i for i, c in enumerate(cells)}
+        for c, rank, total in rows:
+            sums[index[c], rank] = total
+        total, where = difference(sums)
+        n = len(cells)
+        columns = [np.repeat(cells, shards), np.tile(np.arange(shards), n), np.full(n * shards, above), where.reshape(-1), np.where(np.arange(n * shards) < shards, np.tile(total, n), -1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], ["cell", "part", "above", "place", "sum"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for above, cell, rank, total in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if above != now and rows:
+                    yield solve(now, rows)
+                    rows = []
+                now = above
+                rows.append((cell, rank, total))
+        if rows:
+            yield solve(now, rows)
+
+    return run
+
+
+def _tree(sums: DataFrame, heavy: DataFrame, shards: int, cells: int) -> DataFrame:
+    """(cell, part, shard) for every part of every cell, by levels of FAN cells; ``heavy`` joins at the last."""
+    spec = "cell long, part long, above long, place long, sum long"
+    placed = None
+    while True:
+        last = cells <= FAN
+        rows = sums.select(F.lit(0).cast("long").alias("above"), "cell", "rank", "sum").unionByName(heavy.select(F.lit(0).cast("long").alias("above"), "cell", "rank", "sum")) if last else sums.select(F.expr(f"cell div {FAN}").alias("above"), "cell", "rank", "sum")
+        level = saved(rows.repartition("above").sortWithinPartitions("above", F.desc("sum"), "cell", "rank").mapInArrow(_combine(shards, last), spec))
+        step = level.select("cell", "part", "above", "place")
+        if placed is None:
+            placed = step.select("cell", "part", F.col("above").alias("at"), F.col("place").alias("shard"))
+        else:
+            up = step.select(F.col("cell").alias("at"), F.col("part").alias("shard"), "above", "place")
+            own = placed.join(up, ["at", "shard"]).select("cell", "part", F.col("above").alias("at"), F.col("place").alias("shard"))
+            placed = own.unionByName(step.where("cell < 0").select("cell", "part", F.col("above").alias("at"), F.col("place").alias("shard")))
+        if last:
+            return placed.select(F.col("cell").cast("int").alias("cell"), F.col("part").cast("int").alias("part"), F.col("shard").cast("int").alias("shard"))
+        cells = -(-cells // FAN)
+        sums = level.where("sum >= 0").groupBy("above").agg(F.array_sort(F.collect_list("sum")).alias("s")).select(F.col("above").alias("cell"), F.posexplode(F.reverse("s")).alias("rank", "sum"))
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
@@ -112,32 +170,24 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_column: str = "doc_id",
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), text, F.octet_length(text)).alias("h2"))
     rows = saved(rows)
     cells = max(CELLS, rows.count() // CELL_ROWS)
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
-    dealt = groups.select(F.pmod(F.xxhash64("h2", "h1"), F.lit(cells)).cast("int").alias("cell"), "h1", "h2", "bytes")
-    solved = saved(dealt.repartition("cell").sortWithinPartitions("cell", F.desc("bytes"), "h1", "h2").mapInArrow(_assign(shards), "cell int, h1 long, h2 long, part int, rank int, sum long"))
-    sums = {(r.cell, r.rank): r["sum"] for r in solved.where("rank >= 0").select("cell", "rank", "sum").collect()}  # cells x shards numbers
-    known = sorted({c for c, _ in sums})
-    if known:
-        _, where = difference(np.array([[sums[c, j] for j in range(shards)] for c in known], np.int64))
-        shard_of = [(c, j, int(where[i, j])) for i, c in enumerate(known) for j in range(shards)]
-    else:
-        shard_of = []
-    spark = docs.sparkSession
-    table = spark.createDataFrame(shard_of, "cell int, part int, shard int")
-    placed = rows.join(solved.where("part >= 0").join(F.broadcast(table), ["cell", "part"]).select("h1", "h2", "shard"), ["h1", "h2"])
+    groups = saved(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")))
+    whole = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = F.col("bytes") > whole // (shards * HEAVY)
+    dealt = groups.where(~large).select(F.pmod(F.xxhash64("h2", "h1"), F.lit(cells)).cast("int").alias("cell"), "h1", "h2", "bytes")
+    solved = dealt.repartition("cell").sortWithinPartitions("cell", F.desc("bytes"), "h1", "h2").mapInArrow(_assign(shards), "cell int, h1 long, h2 long, part int, rank int, sum long")
+    number = F.row_number().over(Window.orderBy(F.desc("bytes"), "h1", "h2")) - 1  # fewer than shards * HEAVY rows
+    heavy = groups.where(large).select(F.lit(-1).alias("cell"), "h1", "h2", number.alias("part"), number.alias("rank"), F.col("bytes").alias("sum"))
+    solved = saved(solved.unionByName(heavy))
+    drop(groups)
+    known = solved.where("rank >= 0").select(F.col("cell").cast("long").alias("cell"), "rank", "sum")
+    table = _tree(known.where("cell >= 0"), known.where("cell < 0"), shards, cells)
+    placed = rows.join(solved.where("part >= 0").join(table, ["cell", "part"]).select("h1", "h2", "shard"), ["h1", "h2"])
     placed = saved(placed.withColumn("lane", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(cells)).cast("int")))
     drop(rows, solved)
-    counts: dict[int, dict[int, int]] = {}
-    for r in placed.groupBy("shard", "lane").count().collect():  # cells x shards numbers
-        counts.setdefault(r.shard, {})[r.lane] = r["count"]
-    bases = []
-    for shard, lanes in counts.items():
-        known = sorted(lanes)
-        ends = np.cumsum([lanes[lane] for lane in known])
-        bases += [(shard, lane, int(end) - lanes[lane]) for lane, end in zip(known, ends, strict=True)]
-    base = spark.createDataFrame(bases, "shard int, lane int, base long")
+    before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("shard", "lane").agg(F.count("*").alias("n")).select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("shard", "lane").orderBy("doc_id", "h1", "h2")
-    numbered = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(F.broadcast(base), ["shard", "lane"])
+    numbered = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(base, ["shard", "lane"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

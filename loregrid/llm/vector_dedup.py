@@ -1,7 +1,8 @@
 """Near-duplicate vectors by an exact metric range join under the angle between vectors.
 
-``PIVOTS`` pivots, chosen farthest first from a bounded sample, partition the distinct
-vectors: each has its home in the cell of its nearest pivot. For a link at angle t, the
+Pivots, chosen farthest first from a bounded sample, partition the distinct vectors. Their
+number, at most ``PIVOTS``, is that of least work as estimated on the sample: more of them
+prune more pairs where vectors lie in clusters, and replicate more where they do not. Each vector has its home in the cell of its nearest pivot. For a link at angle t, the
 triangle inequality bounds how much farther than from its own pivot a vector can be from
 its partner's: 2 t. A vector is therefore replicated to every cell of a smaller number
 within that bound, and the pair is found in the smaller of its two home cells, once. Cells
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import drop, prepare, saved
-from .vectors import lists, matrix, unit, usable
+from .vectors import lists, matrix, scaled, unit, usable
 
 COSINE = 0.9
-PIVOTS, SAMPLE, BLOCK, STRIP = 16, 1024, 4096, 512
+PIVOTS, SAMPLE, BLOCK, STRIP = 1024, 1 << 18, 4096, 512
+#: A shuffled vector costs as much as so many inner products.
+SHUFFLED = 200
 
 
 def pivots(sample: np.ndarray) -> np.ndarray:
@@ -39,6 +42,28 @@ def pivots(sample: np.ndarray) -> np.ndarray:
     return sample[chosen]
 
 
+def _cells(angle: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home of each row, rows, cells): the cells of a smaller number to which rows are replicated too."""
+    home = angle.argmin(1)
+    near = angle - angle[np.arange(len(angle)), home][:, None] <= bound
+    return home, *np.nonzero(near & (np.arange(angle.shape[1])[None, :] < home[:, None]))
+
+
+def chosen_pivots(sample: np.ndarray, cosine: float, rows: int) -> np.ndarray:
+    """As many of the farthest-first pivots as make the least work for ``rows`` vectors like the sample's."""
+    points = pivots(sample)
+    angle = np.arccos(np.clip(sample @ points.T, -1, 1))
+    best, count = np.inf, 1
+    for n in sorted({min(len(points), 1 << k) for k in range(11)}):
+        home, _, cell = _cells(angle[:, :n], 2 * np.arccos(cosine) + 1e-6)
+        own, more = (rows / len(sample) * np.bincount(x, minlength=n) for x in (home, cell))
+        blocks = np.ceil(own / BLOCK)
+        work = float((own * (own / 2 + more)).sum() + SHUFFLED * (own * (blocks + 1) / 2 + more * blocks).sum())
+        if work < best:
+            best, count = work, n
+    return points[:count]
+
+
 def _assign(points: np.ndarray, cosine: float):
     bound = 2 * np.arccos(cosine) + 1e-6
 
@@ -48,11 +73,9 @@ def _assign(points: np.ndarray, cosine: float):
                 continue
             v = matrix(batch.column(2))
             angle = np.arccos(np.clip(unit(v) @ points.T, -1, 1))
-            home = angle.argmin(1)
-            cells = np.arange(len(points))[None, :]
-            near = angle - angle[np.arange(len(v)), home][:, None] <= bound
-            row, cell = np.nonzero((near & (cells < home[:, None])) | (cells == home[:, None]))
-            kind = (cell != home[row]).astype(np.int32)
+            home, again, smaller = _cells(angle, bound)
+            row, cell = np.append(np.arange(len(v)), again), np.append(home, smaller)
+            kind = (np.arange(len(row)) >= len(v)).astype(np.int32)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), lists(v[row])], ["cell", "kind", "id", "copies", "v"])
 
@@ -64,8 +87,8 @@ def _join(cosine: float):
         """A block of home vectors, and what has been found for it."""
 
         def __init__(self, ids, copies, v):
-            self.ids, self.copies, self.v = ids, copies, v
-            self.n = np.sqrt((v * v).sum(1))
+            self.ids, self.copies, self.v = ids, copies, scaled(v)
+            self.n = np.sqrt((self.v * self.v).sum(1))
             self.fast = unit(v).astype(np.float32)
             self.label, self.count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
             self.a: list[int] = []
@@ -73,7 +96,9 @@ def _join(cosine: float):
 
         def links(self, v: np.ndarray, after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
             """(home, other) of the links with ``v``; with ``after``, those of later home vectors."""
-            close = self.fast @ unit(v).astype(np.float32).T >= cosine - 1e-4
+            v = scaled(v)
+            # a sum of d products in single precision is off by less than d times 1.2e-7
+            close = self.fast @ unit(v).astype(np.float32).T >= cosine - max(1e-4, 1.3e-7 * v.shape[1])
             if after is not None:
                 close &= np.arange(len(self.ids))[:, None] < np.arange(after, after + len(v))[None, :]
             i, j = np.nonzero(close)
@@ -176,12 +201,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_column: str = "vec
     known = saved(known)
     first = rows.where("ok").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "copies", "v")
     distinct = saved(first)
-    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    facts = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     links = counts = None
-    if sample:
-        points = pivots(unit(np.array([r.v for r in sample], np.float64)))
+    if facts.n:
+        sample = distinct.orderBy(F.xxhash64("id"), "id").limit(max(64, SAMPLE // facts.d)).select("v").collect()
+        points = chosen_pivots(unit(np.array([r.v for r in sample], np.float64)), cosine, facts.n)
         cells = saved(distinct.mapInArrow(_assign(points, cosine), "cell int, kind int, id long, copies long, v array<double>"))
-        sizes = {r.cell: r["count"] for r in cells.where("kind = 0").groupBy("cell").count().collect()}  # PIVOTS rows
+        sizes = {r.cell: r["count"] for r in cells.where("kind = 0").groupBy("cell").count().collect()}  # at most PIVOTS rows
         blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 1) // BLOCK)) for c in range(len(points))]), F.col("cell") + 1)
         own = F.pmod(F.xxhash64("id", F.lit(41)), blocks).cast("int")
         last = F.when(F.col("kind") == 0, own).otherwise(blocks - 1)

@@ -187,6 +187,25 @@ def test_shards(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("fan", [sharding.FAN, 4])
+def test_shards_have_near_equal_bytes(spark, fan, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", fan)
+    monkeypatch.setattr(sharding, "CELLS", 20)
+    rng = random.Random(3)
+    texts = ["z" * 9000] * 3 + ["y" * 40_000] + ["x" * int(rng.paretovariate(1.2) * 50) + str(i) for i in range(3000)] + ["w" * 300] * 200
+    out = sharding.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    total, groups = [0] * 8, {}
+    for r in out:
+        total[r.shard] += r["size"]
+        groups[texts[r.doc_id]] = groups.get(texts[r.doc_id], 0) + r["size"]
+    assert len(out) == len(texts)
+    large = max(groups, key=groups.get)
+    alone = next(r.shard for r in out if texts[r.doc_id] == large)
+    rest = [t for k, t in enumerate(total) if k != alone]
+    assert total[alone] == groups[large] > sum(total) / 8  # larger than an even share, so nothing joins it
+    assert max(rest) - min(rest) <= 0.03 * sum(rest) / 7
+
+
 def test_differencing_beats_greedy_order():
     rng = np.random.default_rng(0)
     parts = np.sort(rng.integers(1, 1000, (50, 4)), 1)[:, ::-1]
