@@ -16,22 +16,30 @@ def bucket(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(29)), F.lit(HASHES)).cast("int")
 
 
-def salts(df: DataFrame, counts: dict[int, int]) -> list[int] | None:
-    """Into how many parts each bucket is split, so that a part is at most two tasks' even share."""
+def salts(df: DataFrame, counts: dict[int, int]) -> dict[int, list[int]]:
+    """The buckets to split, by the number of their parts: a part is at most two tasks' even share.
+
+    Few can be: a bucket that is split holds more than that share.
+    """
     share = max(FEW, 2 * sum(counts.values()) // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = [-(-counts.get(b, 0) // share) or 1 for b in range(HASHES)]
-    return parts if max(parts) > 1 else None
+    parts: dict[int, list[int]] = {}
+    for b, n in counts.items():
+        if n > share:
+            parts.setdefault(-(-n // share), []).append(b)
+    return parts
 
 
-def spread(many: DataFrame, one: DataFrame, keys: list[str], by: str, parts: list[int] | None, how: str = "inner") -> DataFrame:
+def spread(many: DataFrame, one: DataFrame, keys: list[str], by: str, parts: dict[int, list[int]], how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` on ``keys``, the rows of a split bucket dealt by hash of ``by``.
 
     The rows of ``one`` in a split bucket are repeated for each part. Which buckets are split
     changes where rows meet, never which.
     """
-    if parts is None:
+    if not parts:
         return many.join(one, keys, how)
-    split = F.element_at(F.array(*[F.lit(p) for p in parts]), bucket(*keys) + 1)
+    split = F.lit(1)
+    for n, buckets in sorted(parts.items()):
+        split = F.when(bucket(*keys).isin(buckets), n).otherwise(split)
     dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(31)), split).cast("int"))
     repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), split - 1)))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -7,8 +7,8 @@ by L-BFGS on at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows
 by hash of doc_id, weighted so that the classes count as in all training labels.
 
 The sample's n-gram counts are a table in the shared folder, which tasks stream: counts of
-the classes in one pass, then for each step the loss and its slope, ``BUCKETS`` numbers from
-each of a few tasks. Neither texts nor their n-grams come to the driver, so the bounds on
+the classes in one pass, then for each step the loss and its slope, ``BUCKETS`` numbers in
+single precision from each of a few tasks. Neither texts nor their n-grams come to the driver, so the bounds on
 rows are no matter of its memory. Scoring reads whole texts.
 """
 
@@ -29,8 +29,8 @@ from .text import _LOWER, U64, buffers, characters, pieces
 GRAMS, BUCKETS = (4, 5), 1 << 18
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
 STEPS, MEMORY, PENALTY = 30, 8, 1e-7
-#: Files of the sample's n-gram counts, so at most as many tasks read them.
-LANES = 12
+#: Tasks that read the sample's n-gram counts, each of which returns one slope.
+LANES = 8
 REJECT = 0.7
 
 
@@ -90,7 +90,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = np.repeat(label[some], np.diff(np.append(first[some], len(index))))
         for k in range(2):
             counts[k] += np.bincount(index[each == k], minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in (counts, rows)], ["counts", "rows"])
+    yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in (counts.astype(np.int32), rows)], ["counts", "rows"])
 
 
 def _slopes(sent, weight: tuple[float, float]):
@@ -109,7 +109,7 @@ def _slopes(sent, weight: tuple[float, float]):
             loss += float(each @ (np.logaddexp(0, score) - label * score))
             slope[:-1] += np.bincount(index, value * np.repeat(error[some], size), BUCKETS)
             slope[-1] += error.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()])], ["loss", "slope"])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.astype(np.float32).tobytes()])], ["loss", "slope"])
 
     return run
 
@@ -119,7 +119,7 @@ def fit(features: DataFrame, toxic: int, clean: int) -> Model:
     spark = features.sparkSession
     base = float(np.log((toxic + 0.5) / (clean + 0.5)))
     found = features.mapInArrow(_shares, "counts binary, rows binary").collect()
-    counts = sum((np.frombuffer(r.counts, np.int64) for r in found), np.zeros(2 * BUCKETS, np.int64)).reshape(2, BUCKETS) + 1
+    counts = sum((np.frombuffer(r.counts, np.int32) for r in found), np.zeros(2 * BUCKETS, np.int64)).reshape(2, BUCKETS) + 1
     rows = sum((np.frombuffer(r["rows"], np.int64) for r in found), np.zeros(2, np.int64))
     if not rows.all():
         return Model(np.zeros(BUCKETS, np.float32), base)
@@ -130,7 +130,7 @@ def fit(features: DataFrame, toxic: int, clean: int) -> Model:
         sent = spark.sparkContext.broadcast(np.append(w[:-1] * ratio, w[-1]).tobytes())
         parts = features.mapInArrow(_slopes(sent, weight), "loss double, slope binary").collect()
         sent.destroy()
-        slope = sum((np.frombuffer(r.slope, np.float64) for r in parts), np.zeros(BUCKETS + 1))
+        slope = sum((np.frombuffer(r.slope, np.float32) for r in parts), np.zeros(BUCKETS + 1))
         slope[:-1] = slope[:-1] * ratio + PENALTY * w[:-1]
         return sum(r.loss for r in parts) + PENALTY / 2 * float(w[:-1] @ w[:-1]), slope
 
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     chosen = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")
     counted = chosen.mapInArrow(_features, "toxic int, index binary, value binary")
     features = saved(counted.repartition(LANES, F.xxhash64("index", "value")))
-    model = fit(features, totals.get(1, 0), totals.get(0, 0))
+    model = fit(features.coalesce(LANES), totals.get(1, 0), totals.get(0, 0))
     drop(features)
     return model
 
