@@ -10,29 +10,64 @@ from .operators import audits, cards, chunking, conversations, lifecycle, retrie
 from .sources import files
 from .sources.store import Store
 
-CHUNKS = "collection string, chunk_id string, content string, file_path string, content_hash string, chunk_index int, chunk_type string, trust_level string, status string, current_truth boolean, project_name string, language string, heading_path string, symbol_name string, start_line int, end_line int, embedding array<float>"
+CHUNKS = "collection string, chunk_id string, content string, file_path string, content_hash string, chunk_index int, chunk_type string, trust_level string, status string, current_truth boolean, project_name string, language string, heading_path string, symbol_name string, start_line int, end_line int, project string, category string, confirmed boolean, tags string, frontmatter_project string, embedding array<float>"
 NOTES = "note_id string, content string, context string, project string, category string, severity string, confirmed boolean, promoted boolean, trust_level string, status string, confidence double, created_at string, updated_at string, linked_record string, embedding array<float>"
 RECORDS = "record_id string, record_type string, project string, content string, trust_level string, status string, confidence double, tags array<string>, linked_note string, superseded_by string, reviewed_at string"
 CARDS = "card_id string, content_hash string, type string, project string, title string, body string, why string, status string, confidence string, current_truth boolean, needs_confirmation boolean, tags string, source_date string, created_at string, updated_at string"
+FILES = "file_path string, content_hash string, collection string"
+#: The collection of each record type.
+RECORD_COLLECTIONS = {"fact": "facts", "runbook": "runbooks", "project_overview": "project_overviews"}
 MERGE_DISTANCE, QUERY_BLOCK = 0.1, 1000
 
 
 class Engine:
-    """Tables below ``root``: chunks, notes, records, cards, exchanges."""
+    """Tables below ``root``: chunks, notes, records, cards, exchanges, files.
+
+    Notes, records and cards are also among the chunks, which is what searches read.
+    """
 
     def __init__(self, spark: SparkSession, root: str, embed_texts=None):
         self.spark, self.store, self.embed_texts = spark, Store(spark, root), embed_texts
-        for name, schema in (("chunks", CHUNKS), ("notes", NOTES), ("records", RECORDS), ("cards", CARDS)):
+        for name, schema in (("chunks", CHUNKS), ("notes", NOTES), ("records", RECORDS), ("cards", CARDS), ("files", FILES)):
             if not self.store.exists(name):
                 self.store.replace(name, spark.createDataFrame([], schema))
 
     def _vector(self, query: str) -> list[float]:
         return self.embed_texts([query])[0] if self.embed_texts else embed.hashed(query)
 
-    def _add(self, rows: DataFrame) -> None:
+    def _fitted(self, rows: DataFrame) -> DataFrame:
         fields = [f.split(" ", 1) for f in CHUNKS.split(", ")]
-        full = embed.embedded(rows, "content", self.embed_texts)
-        self.store.replace("chunks", lifecycle.replace_files(self.store.read("chunks"), full.select(*[(F.col(n) if n in full.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])))
+        return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+    def _add(self, rows: DataFrame, taken: DataFrame) -> None:
+        """``rows`` instead of all chunks of the files ``taken``, of which some may have none any more."""
+        full = self._fitted(embed.embedded(rows, "content", self.embed_texts))
+        kept = self.store.read("chunks").join(taken.select("file_path").distinct(), "file_path", "left_anti")
+        self.store.replace("chunks", kept.select(*full.columns).unionByName(full))
+
+    def _sync(self, rows: DataFrame, *collections: str) -> None:
+        """Make ``rows`` the chunks of ``collections``; only new contents are embedded."""
+        chunks = self.store.read("chunks")
+        of_these = F.col("collection").isin(*collections)
+        known = chunks.where(of_these & F.col("embedding").isNotNull()).select("chunk_id", "content", "embedding").dropDuplicates(["chunk_id", "content"])
+        fresh = embed.embedded(rows.join(known, ["chunk_id", "content"], "left_anti"), "content", self.embed_texts)
+        both = self._fitted(rows.join(known, ["chunk_id", "content"])).unionByName(self._fitted(fresh))
+        self.store.replace("chunks", chunks.where(~of_these).unionByName(both))
+
+    def _sync_notes(self) -> None:
+        rows = self.store.read("notes").select(F.lit("discoveries").alias("collection"), F.col("note_id").alias("chunk_id"), F.concat(F.lit("discovery://"), "note_id").alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", "category", "confirmed")
+        self._sync(rows, "discoveries")
+
+    def _sync_records(self) -> None:
+        kind = F.element_at(F.create_map(*[F.lit(x) for pair in RECORD_COLLECTIONS.items() for x in pair]), F.col("record_type"))
+        key = F.concat(F.lit("semantic_"), "record_type", F.lit("_"), "record_id")
+        rows = self.store.read("records").select(kind.alias("collection"), key.alias("chunk_id"), key.alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", F.array_join("tags", ",").alias("tags"))
+        self._sync(rows.where("collection IS NOT NULL"), *RECORD_COLLECTIONS.values())
+
+    def _sync_cards(self) -> None:
+        content = text.card_text(*[F.col(c) for c in ("project", "type", "title", "status", "confidence", "current_truth", "tags", "body", "why", "source_date")])
+        rows = self.store.read("cards").select(F.lit("memory_cards").alias("collection"), F.concat(F.lit("memory_"), "card_id").alias("chunk_id"), F.concat(F.lit("memory://"), "card_id").alias("file_path"), content.alias("content"), F.lit("T3").alias("trust_level"), "status", "current_truth", "project", F.col("type").alias("category"), "tags")
+        self._sync(rows, "memory_cards")
 
     # ingest
     def ingest_vault(self, root: str, full: bool = False) -> DataFrame:
@@ -41,19 +76,25 @@ class Engine:
         return self._ingest(found, "documents", F.lit(""), full)
 
     def ingest_project(self, root: str, name: str, ignore: list[str] | None = None, full: bool = False) -> DataFrame:
-        """Sources and markdown of a project."""
+        """Sources and markdown of a project; files that are gone lose their chunks."""
         found = files.project_files(self.spark, root, ignore or []).withColumn("file_path", F.concat(F.lit(f"{name}/"), "file_path"))
-        return self._ingest(found, "codebase", F.lit(name), full)
+        return self._ingest(found, "codebase", F.lit(name), full, f"{name}/")
 
-    def _ingest(self, found: DataFrame, collection: str, project: Column, full: bool) -> DataFrame:
-        fresh = found if full else lifecycle.changed_files(found, self.store.read("chunks"))
+    def _ingest(self, found: DataFrame, collection: str, project: Column, full: bool, below: str | None = None) -> DataFrame:
+        known_files = self.store.read("files").where(F.col("collection") == collection)
+        fresh = self.store.held((found if full else lifecycle.changed_files(found, known_files)).select("*"))
+        gone = known_files.limit(0) if below is None else known_files.where(F.col("file_path").startswith(below)).join(found.select("file_path"), "file_path", "left_anti")
         markdown = fresh if "kind" not in fresh.columns else fresh.where("kind = 'markdown'")
         rows = chunking.markdown_chunks(markdown.withColumn("path", F.col("file_path"))).withColumn("symbol_name", F.lit("")).withColumn("language", F.lit("markdown"))
         if "kind" in fresh.columns:
             code = chunking.code_chunks(fresh.where("kind = 'code'").withColumn("path", F.col("file_path"))).join(fresh.select("file_path", "language"), "file_path").withColumn("heading_path", F.lit(""))
             rows = rows.unionByName(code)
         known = rows.join(fresh.select("file_path", "content_hash"), "file_path")
-        self._add(known.select("*", F.lit(collection).alias("collection"), text.chunk_id(F.col("file_path"), F.col("chunk_index")).alias("chunk_id"), F.lit("T1").alias("trust_level"), F.lit("active").alias("status"), project.alias("project_name")))
+        taken = fresh.select("file_path").unionByName(gone.select("file_path"))
+        self._add(known.select("*", F.lit(collection).alias("collection"), text.chunk_id(F.col("file_path"), F.col("chunk_index")).alias("chunk_id"), F.lit("T1").alias("trust_level"), F.lit("active").alias("status"), project.alias("project_name"), project.alias("project")), taken)
+        listed = fresh.select("file_path", "content_hash", F.lit(collection).alias("collection"))
+        kept = self.store.read("files").join(taken.withColumn("collection", F.lit(collection)), ["file_path", "collection"], "left_anti")
+        self.store.replace("files", kept.select(*listed.columns).unionByName(listed))
         return fresh.select("file_path", "content_hash")
 
     def ingest_sessions(self, root: str) -> DataFrame:
@@ -68,16 +109,22 @@ class Engine:
         many = pieces.groupBy("id").agg(F.count("*").alias("n"))
         named = pieces.join(many, "id").withColumn("chunk_id", F.when(F.col("n") > 1, F.concat_ws("_", "id", F.col("chunk_index").cast("string"))).otherwise(F.col("id")))
         owner = rows.select(F.col("exchange_id").alias("id"), "project", F.concat_ws("#", "session_id", F.col("line_start").cast("string")).alias("file_path"))
-        self._add(named.join(owner, "id").select("chunk_id", "file_path", F.col("text").alias("content"), "chunk_index", "start_line", "end_line", F.lit("conversations").alias("collection"), F.col("project").alias("project_name"), F.lit("T3").alias("trust_level"), F.lit("active").alias("status")))
+        self._add(named.join(owner, "id").select("chunk_id", "file_path", F.col("text").alias("content"), "chunk_index", "start_line", "end_line", F.lit("conversations").alias("collection"), F.col("project").alias("project_name"), F.lit("T3").alias("trust_level"), F.lit("active").alias("status"), "project"), owner)
         return rows
 
     # search
-    def search(self, query: str, k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, project: str | None = None, language: str | None = None) -> DataFrame:
-        """Hybrid search over chunks."""
-        where = F.lit(True)
-        for column, value in (("project_name", project), ("language", language)):
-            where = where if value is None else where & (F.col(column) == value)
-        return retrieval.hybrid_search(self.store.read("chunks"), self._vector(query), retrieval.query_phrases(query), k, threshold, collections, where)
+    def search(self, query: str, k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, **filters) -> DataFrame:
+        """Hybrid search over chunks; filters: project, tags, language, category, confirmed."""
+        return retrieval.hybrid_search(self.store.read("chunks"), self._vector(query), retrieval.query_phrases(query), k, threshold, collections, **filters)
+
+    def search_cards(self, query: str, project: str | None = None, kind: str | None = None, k: int = 8, threshold: float = 0.25) -> DataFrame:
+        """Memory cards, of one type if ``kind`` is given."""
+        return self.search(query, k, threshold, ["memory_cards"], project=project, category=kind)
+
+    def search_records(self, query: str, record_type: str | None = None, project: str | None = None, k: int = 6, threshold: float = 0.35) -> DataFrame:
+        """Semantic records, of one type if it is known, else of all."""
+        asked = [RECORD_COLLECTIONS[record_type]] if record_type in RECORD_COLLECTIONS else list(RECORD_COLLECTIONS.values())
+        return self.search(query, k, threshold, asked, project=project)
 
     def search_snippets(self, query: str, **how) -> DataFrame:
         return retrieval.snippets(self.search(query, **how))
@@ -132,14 +179,16 @@ class Engine:
         full = embed.embedded(rows, "content", self.embed_texts).select("note_id", "content", "context", "project", "category", "severity", "embedding")
         fresh = full.select("*", F.lit(False).alias("confirmed"), F.lit(False).alias("promoted"), F.lit("T3").alias("trust_level"), F.lit("active").alias("status"), F.lit(0.7).alias("confidence"), F.lit(as_of).alias("created_at"), F.lit(as_of).alias("updated_at"), F.lit("").alias("linked_record"))
         notes = self.store.read("notes")
-        fresh = fresh.select(*notes.columns).localCheckpoint()
-        stored = self.near_notes(fresh, notes).localCheckpoint()
-        own = self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id").localCheckpoint()
-        kept = self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own).localCheckpoint()
+        fresh = self.store.held(fresh.select(*notes.columns))
+        stored = self.store.held(self.near_notes(fresh, notes))
+        own = self.store.held(self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id"))
+        kept = self.store.held(self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own))
         near = stored.unionByName(own.join(kept.select(F.col("note_id").alias("near_id")), "near_id", "left_semi"))
         pairs = near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
         first, others = fresh.join(kept, "note_id", "left_semi").select(*notes.columns), fresh.join(kept, "note_id", "left_anti").select(*notes.columns)
         self.store.replace("notes", lifecycle.merge_near_notes(notes.unionByName(first), others, pairs))
+        self.store.release()
+        self._sync_notes()
 
     def _kept(self, left: DataFrame, own: DataFrame) -> DataFrame:
         """note_id of those of ``left`` that stay when notes come one by one, in order of their ids.
@@ -147,14 +196,14 @@ class Engine:
         A note stays if it is near no earlier one that stays. Each round settles all notes whose
         earlier near ones are settled, so there are as many rounds as the longest chain has notes.
         """
-        left = left.select("note_id").localCheckpoint()
+        left = self.store.held(left.select("note_id"))
         kept = left.limit(0)
         while not left.isEmpty():
             waiting = own.join(left, "note_id", "left_semi").join(left.select(F.col("note_id").alias("near_id")), "near_id", "left_semi")
-            new = left.join(waiting, "note_id", "left_anti").localCheckpoint()
+            new = self.store.held(left.join(waiting, "note_id", "left_anti"))
             gone = own.join(new.select(F.col("note_id").alias("near_id")), "near_id", "left_semi").select("note_id")
             kept = kept.unionByName(new)
-            left = left.join(new.unionByName(gone), "note_id", "left_anti").localCheckpoint()
+            left = self.store.held(left.join(new.unionByName(gone), "note_id", "left_anti"))
         return kept
 
     def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE) -> DataFrame:
@@ -185,9 +234,11 @@ class Engine:
 
     def confirm_notes(self, ids: list[str], as_of: str) -> None:
         self.store.replace("notes", lifecycle.confirm(self.store.read("notes"), self.spark.createDataFrame([(i,) for i in ids], "note_id string"), as_of))
+        self._sync_notes()
 
     def reject_notes(self, ids: list[str]) -> None:
         self.store.delete("notes", self.spark.createDataFrame([(i,) for i in ids], "note_id string"), key="note_id")
+        self._sync_notes()
 
     def promote_notes(self, as_of: str) -> DataFrame:
         """Confirmed notes become records, linked both ways; returns the new records."""
@@ -195,19 +246,41 @@ class Engine:
         made = records.select(*self.store.read("records").columns)
         self.store.upsert("records", made, "record_id")
         self.store.replace("notes", notes)
+        self._sync_notes()
+        self._sync_records()
         return made  # of the version of the notes that was read
 
     def store_records(self, rows: DataFrame) -> None:
+        """Records by id, each also a chunk of the collection of its type."""
         self.store.upsert("records", rows, "record_id")
+        self._sync_records()
+
+    def list_records(self, record_type: str | None = None, project: str | None = None, status: str | None = "active", limit: int = 50) -> DataFrame:
+        rows = self.store.read("records")
+        for column, value in (("record_type", record_type), ("project", project), ("status", status)):
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        return rows.orderBy("record_id").limit(limit)
 
     def supersede_records(self, pairs: dict[str, str], as_of: str) -> None:
         self.store.replace("records", lifecycle.supersede(self.store.read("records"), self.spark.createDataFrame(list(pairs.items()), "record_id string, superseded_by string"), as_of))
+        self._sync_records()
 
     def stale_records(self, as_of: str, days: int = 90) -> DataFrame:
         return audits.stale(self.store.read("records").where("status = 'active'"), as_of, days)
 
     def store_cards(self, rows: DataFrame) -> None:
+        """Cards by id or content, each also a chunk."""
         self.store.replace("cards", lifecycle.upsert_cards(self.store.read("cards"), rows))
+        self._sync_cards()
+
+    def set_card_status(self, ids: list[str], status: str, as_of: str, current_truth: bool | None = None) -> None:
+        """The state, and if given the truth, of cards and of their chunks."""
+        hit = F.col("card_id").isin(ids)
+        rows = self.store.read("cards").withColumn("status", F.when(hit, status).otherwise(F.col("status"))).withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at")))
+        if current_truth is not None:
+            rows = rows.withColumn("current_truth", F.when(hit, current_truth).otherwise(F.col("current_truth")))
+        self.store.replace("cards", rows)
+        self._sync_cards()
 
     def list_cards(self, limit: int = 50, **equal) -> DataFrame:
         rows = self.store.read("cards")

@@ -273,3 +273,12 @@ def boosted(score: Column, confirmed: Column, severity: Column) -> Column:
 def extraction_prompt(instructions: str, conversation: Column, title: Column, date: Column) -> Column:
     """What a language model is asked for one conversation."""
     return F.concat_ws("\n\n", F.lit(instructions), F.concat(F.lit("Title: "), title), F.concat(F.lit("Date: "), date), F.concat(F.lit("Conversation:\n"), conversation), F.lit("Answer with one JSON document."))
+
+
+def card_text(project: Column, kind: Column, title: Column, status: Column, confidence: Column, current_truth: Column, tags: Column, body: Column, why: Column, source: Column) -> Column:
+    """The text of a card that is embedded and indexed; lines without a value are left out."""
+    said = lambda c: F.coalesce(c, F.lit(""))
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), said(c))
+    some = lambda label, c: F.when(said(c) != "", line(label, c))
+    truth = F.when(current_truth, "True").otherwise("False")
+    return F.concat_ws("\n", line("Project", project), line("Type", kind), line("Title", title), line("Status", status), line("Confidence", confidence), line("Current truth", truth), some("Tags", F.regexp_replace(tags, r",\s*", ", ")), some("Body", body), some("Why", why), some("Source", source))

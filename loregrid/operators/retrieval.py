@@ -82,14 +82,45 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 
 def keyword_search(chunks: DataFrame, phrases: list[list[str]], n: int, by: str | None = None, where: Column | None = None) -> DataFrame:
-    """The n best rows by BM25 (with ``by``: of each group): the columns of ``chunks``, bm25 and rank from 0."""
+    """The n best rows by BM25 (with ``by``: of each group): the columns of ``chunks``, bm25 and rank from 0.
+
+    The number of chunks, their mean length and the terms' counts are those of all ``chunks``,
+    whatever ``where`` lets through. Ids alone are ranked.
+    """
     scores = bm25(postings(chunks), lengths(chunks), phrases)
-    hits = chunks.join(scores, "chunk_id")
-    hits = hits if where is None else hits.where(where)
+    passing = chunks if where is None else chunks.where(where)
+    hits = passing.select("chunk_id", *[by] * bool(by)).join(scores, "chunk_id")
     order = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("bm25", "chunk_id")
     if by is None:
         hits = hits.orderBy("bm25", "chunk_id").limit(n)
-    return hits.withColumn("rank0", F.row_number().over(order) - 1).where(F.col("rank0") < n)
+    best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).withColumn("rank0", F.col("place") - 1).drop("place")
+    return chunks.join(best.drop(*[by] * bool(by)), "chunk_id")
+
+
+def collection_filter(rows: DataFrame, keyword: bool, project: str | None = None, tags: list[str] | None = None, language: str | None = None, category: str | None = None, confirmed: bool = False) -> Column:
+    """Which rows pass a search's filters, by the rules of their collection.
+
+    The vector side drops what is not active, but for cards, and knows documents by the
+    project of their front matter; the keyword side knows these by their project and leaves
+    states to the end. Of several tags the first counts, as a pattern anywhere in the tags.
+    Filters on columns that ``rows`` lacks match nothing.
+    """
+    has = lambda name: F.coalesce(F.col(name), F.lit("")) if name in rows.columns else F.lit("")
+    kind = F.col("collection")
+    semantic, cards, code = kind.isin("facts", "runbooks", "project_overviews"), kind == "memory_cards", kind == "codebase"
+    out = F.lit(True) if keyword else cards | (F.coalesce(F.col("status"), F.lit("active")) == "active")
+    if project is not None:
+        own = F.when(code, has("project_name")).when(kind == "documents", has("project" if keyword else "frontmatter_project")).otherwise(has("project"))
+        out = out & (own == project)
+    if tags:
+        out = out & (~(semantic | cards | (kind == "documents")) | has("tags").ilike(f"%{tags[0]}%"))
+    if language is not None:
+        out = out & (~code | (has("language") == language))
+    if category is not None:
+        out = out & (~(cards | kind.isin("discoveries", "conversations")) | (has("category") == category))
+    if confirmed:
+        out = out & ((kind != "discoveries") | (F.coalesce(F.col("confirmed"), F.lit(False)) if "confirmed" in rows.columns else F.lit(False)))
+    return out
 
 
 def visible(collection: Column, status: Column) -> Column:
@@ -98,20 +129,24 @@ def visible(collection: Column, status: Column) -> Column:
     return F.when(collection == "memory_cards", ~state.isin(fixed.HIDDEN_CARD_STATUSES)).otherwise(state == "active")
 
 
-def hybrid_search(chunks: DataFrame, query: list[float], phrases: list[list[str]], k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, where: Column | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: list[float], phrases: list[list[str]], k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, where: Column | None = None, **filters) -> DataFrame:
     """The best k chunks by trust-weighted vector and keyword scores, over all collections.
 
     ``chunks`` has chunk_id, collection, content, embedding, trust_level, status,
-    card_status and current_truth. Each leg keeps 4 k candidates a collection; legs meet in
-    a full outer join, and a chunk that one misses scores 0 there. Scores are rounded to 4
-    places after the threshold; ties go by collection and chunk_id.
+    card_status and current_truth; ``filters`` are those of ``collection_filter``. Each leg
+    keeps 4 k candidates a collection, counted over what passes its filter; keyword
+    statistics are those of all chunks. Legs meet in a full outer join, and a chunk that one
+    misses scores 0 there. Scores are rounded to 4 places after the threshold; ties go by
+    collection and chunk_id.
     """
-    rows = chunks if collections is None else chunks.where(F.col("collection").isin(collections))
+    asked = F.lit(True) if collections is None else F.col("collection").isin(collections)
+    asked = asked if where is None else asked & where
     n = max(fixed.CANDIDATE_FACTOR * k, k)
-    close = nearest(rows, query, n, by="collection", where=where).select("collection", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2)).alias("vector_score"))
-    words = keyword_search(rows, phrases, n, by="collection", where=where).select("collection", "chunk_id", (1 / (1 + F.col("rank0"))).alias("keyword_score"))
+    close = nearest(chunks, query, n, by="collection", where=asked & collection_filter(chunks, False, **filters))
+    close = close.select("collection", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2)).alias("vector_score"))
+    words = keyword_search(chunks, phrases, n, by="collection", where=asked & collection_filter(chunks, True, **filters)).select("collection", "chunk_id", (1 / (1 + F.col("rank0"))).alias("keyword_score"))
     both = close.join(words, ["collection", "chunk_id"], "full_outer").na.fill(0.0, ["vector_score", "keyword_score"])
-    known = both.join(rows.drop("embedding"), ["collection", "chunk_id"]).where(visible(F.col("collection"), F.col("status")))
+    known = both.join(chunks.drop("embedding"), ["collection", "chunk_id"]).where(visible(F.col("collection"), F.col("status")))
     trust = text.trust_weight(F.col("trust_level")) * F.when(F.col("collection") == "memory_cards", text.card_status_weight(F.col("status"), F.coalesce(F.col("current_truth"), F.lit(False)))).otherwise(1.0)
     raw = (fixed.VECTOR_SHARE * F.col("vector_score") + fixed.KEYWORD_SHARE * F.col("keyword_score")) * trust
     final = known.withColumn("raw", raw).where(F.col("raw") >= threshold).withColumn("score", F.round("raw", 4)).drop("raw")

@@ -21,6 +21,20 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of the engine's collections, with all that filters look at."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality", "toxic")
+    rows = chunks(spark, sf_dir).withColumnRenamed("collection", "source").join(labels, "chunk_id", "left")
+    names = ["facts", "memory_cards", "documents", "codebase", "discoveries", "conversations"]
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (f"src{i}", k)]), F.col("source")), F.lit("runbooks"))
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    return rows.select(
+        "chunk_id", kind.alias("collection"), "content", "embedding", "trust_level", F.when(F.col("toxic") == 1, "superseded").otherwise("active").alias("status"), F.lit(False).alias("current_truth"),
+        F.col("lang").alias("project"), F.concat("lang", F.lit("/p")).alias("project_name"), F.col("source").alias("frontmatter_project"), F.concat(F.when(good, "kept,").otherwise(""), "lang").alias("tags"),
+        F.col("lang").alias("language"), F.when(good, "config").otherwise("pattern").alias("category"), good.alias("confirmed"),
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages of sessions."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line"), "role", F.col("text").alias("content"))

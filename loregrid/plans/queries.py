@@ -93,7 +93,7 @@ def phrase_match(spark, d):
 
 _HYBRID = _BM25 + f""",
 c AS (SELECT doc_id AS chunk_id, source AS collection, CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.85 ELSE 0.7 END::DOUBLE AS trust, coalesce(toxic, 0) <> 1 AS active FROM documents LEFT JOIN labels USING (doc_id)),
-v AS (SELECT collection, chunk_id, greatest(0, least(1, 1 - dist / 2)) AS vector_score FROM (SELECT collection, chunk_id, round(1 - {COS}, 9) AS dist FROM embeddings e JOIN c ON c.chunk_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY row_number() OVER (PARTITION BY collection ORDER BY dist, chunk_id) <= 40),
+v AS (SELECT collection, chunk_id, greatest(0, least(1, 1 - dist / 2)) AS vector_score FROM (SELECT collection, chunk_id, round(1 - {COS}, 9) AS dist FROM embeddings e JOIN c ON c.chunk_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE active) QUALIFY row_number() OVER (PARTITION BY collection ORDER BY dist, chunk_id) <= 40),
 k AS (SELECT source AS collection, doc_id AS chunk_id, 1.0::DOUBLE / row_number() OVER (PARTITION BY source ORDER BY bm25, doc_id) AS keyword_score FROM scored QUALIFY row_number() OVER (PARTITION BY source ORDER BY bm25, doc_id) <= 40),
 f AS (SELECT collection, chunk_id, coalesce(vector_score, 0) AS vs, coalesce(keyword_score, 0) AS ks, trust FROM (v FULL JOIN k USING (collection, chunk_id)) JOIN c USING (collection, chunk_id) WHERE active)
 """
@@ -108,14 +108,50 @@ def hybrid_search(spark, d):
 @query(_HYBRID + "SELECT collection, chunk_id, round((0.7::DOUBLE * vs + 0.3::DOUBLE * ks) * trust, 4) AS score FROM f WHERE collection IN ('src1', 'src2') AND (0.7::DOUBLE * vs + 0.3::DOUBLE * ks) * trust >= 0.35 ORDER BY score DESC, collection, chunk_id LIMIT 10")
 def hybrid_collections(spark, d):
     v, q = bridge.query(spark, d)
-    rows = bridge.chunks(spark, d)
-    hits = retrieval.bm25(retrieval.postings(rows), retrieval.lengths(rows), retrieval.query_phrases(q))
-    near = retrieval.nearest(rows.where(F.col("collection").isin("src1", "src2")), v, 40, by="collection")
-    words = rows.where(F.col("collection").isin("src1", "src2")).join(hits, "chunk_id").withColumn("r", F.row_number().over(Window.partitionBy("collection").orderBy("bm25", "chunk_id"))).where("r <= 40")
-    both = near.select("collection", "chunk_id", (1 - F.col("distance") / 2).alias("vs")).join(words.select("collection", "chunk_id", (1 / F.col("r")).alias("ks")), ["collection", "chunk_id"], "full_outer").na.fill(0.0)
-    raw = (fixed.VECTOR_SHARE * F.col("vs") + fixed.KEYWORD_SHARE * F.col("ks")) * text.trust_weight(F.col("trust_level"))
-    known = both.join(rows.select("collection", "chunk_id", "trust_level", "status"), ["collection", "chunk_id"]).where("status = 'active'").where(raw >= fixed.SCORE_THRESHOLD)
-    return known.select("collection", "chunk_id", F.round(raw, 4).alias("score")).orderBy(F.desc("score"), "collection", "chunk_id").limit(10)
+    return retrieval.hybrid_search(bridge.chunks(spark, d), v, retrieval.query_phrases(q), k=10, collections=["src1", "src2"]).select("collection", "chunk_id", "score")
+
+
+_KINDS = ["facts", "memory_cards", "documents", "codebase", "discoveries", "conversations"]
+_KIND = "CASE source " + " ".join(f"WHEN 'src{i}' THEN '{k}'" for i, k in enumerate(_KINDS)) + " ELSE 'runbooks' END"
+_CARD_WEIGHT = " ".join(f"WHEN '{s}' THEN {w}::DOUBLE" for s, w in fixed.CARD_STATUS_WEIGHTS.items())
+
+
+def _ruled(name: str, passing: str, sql: str, k: int, threshold: float, collections: list[str] | None = None, **filters) -> None:
+    """A search under a filter, by the rules of each collection; the SQL conditions are (keyword, vector)."""
+    asked = "" if collections is None else f" AND collection IN ({', '.join(repr(c) for c in collections)})"
+    n = 4 * k
+    ORACLE_SQL[name] = _BM25 + f""",
+c AS (SELECT doc_id AS chunk_id, {_KIND} AS collection, CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.85 ELSE 0.7 END::DOUBLE AS trust, CASE toxic WHEN 1 THEN 'superseded' ELSE 'active' END AS status, lang AS project, lang || '/p' AS project_name,
+  source AS frontmatter_project, CASE quality WHEN 1 THEN 'kept,' ELSE '' END || lang AS tags, lang AS language, CASE quality WHEN 1 THEN 'config' ELSE 'pattern' END AS category, coalesce(quality, 0) = 1 AS confirmed FROM documents LEFT JOIN labels USING (doc_id)),
+v AS (SELECT collection, chunk_id, greatest(0, least(1, 1 - dist / 2)) AS vs FROM (SELECT c.*, round(1 - {COS}, 9) AS dist FROM embeddings e JOIN c ON c.chunk_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE (collection = 'memory_cards' OR status = 'active') AND ({sql}){asked} QUALIFY row_number() OVER (PARTITION BY collection ORDER BY dist, chunk_id) <= {n}),
+k AS (SELECT collection, chunk_id, 1.0::DOUBLE / row_number() OVER (PARTITION BY collection ORDER BY bm25, chunk_id) AS ks FROM scored JOIN c ON c.chunk_id = scored.doc_id WHERE ({passing}){asked} QUALIFY row_number() OVER (PARTITION BY collection ORDER BY bm25, chunk_id) <= {n}),
+f AS (SELECT collection, chunk_id, (0.7::DOUBLE * coalesce(vs, 0) + 0.3::DOUBLE * coalesce(ks, 0)) * trust * CASE WHEN collection <> 'memory_cards' THEN 1.0::DOUBLE ELSE CASE status {_CARD_WEIGHT} END * 0.95::DOUBLE END AS raw FROM (v FULL JOIN k USING (collection, chunk_id)) JOIN c USING (collection, chunk_id) WHERE status = 'active')
+SELECT collection, chunk_id, round(raw, 4) AS score FROM f WHERE raw >= {threshold} ORDER BY score DESC, collection, chunk_id LIMIT {k}"""
+
+    def run(spark, d):
+        v, q = bridge.query(spark, d)
+        return retrieval.hybrid_search(bridge.kinds(spark, d), v, retrieval.query_phrases(q), k, threshold, collections, **filters).select("collection", "chunk_id", "score")
+
+    QUERIES[name] = run
+
+
+_OWN = "CASE collection WHEN 'codebase' THEN project_name ELSE project END = 'en'"
+_ruled("memory_card_search", "category = 'config'", "category = 'config'", 8, 0.25, ["memory_cards"], category="config")
+_ruled("record_search", _OWN, _OWN, 6, 0.35, ["facts", "runbooks", "project_overviews"], project="en")
+_ruled("filter_project", _OWN, "CASE collection WHEN 'codebase' THEN project_name WHEN 'documents' THEN frontmatter_project ELSE project END = 'en'", 10, 0.0, project="en")
+_TAGGED = "collection NOT IN ('facts', 'runbooks', 'project_overviews', 'memory_cards', 'documents') OR tags ILIKE '%KEPT%'"
+_ruled("filter_tags", _TAGGED, _TAGGED, 10, 0.0, tags=["KEPT", "other"])
+_ruled("filter_language", "collection <> 'codebase' OR language = 'en'", "collection <> 'codebase' OR language = 'en'", 10, 0.0, language="en")
+_CONFIRMED = "(collection NOT IN ('memory_cards', 'discoveries', 'conversations') OR category = 'config') AND (collection <> 'discoveries' OR confirmed)"
+_ruled("filter_confirmed", _CONFIRMED, _CONFIRMED, 10, 0.0, category="config", confirmed=True)
+
+
+@query("SELECT doc_id, 'Project: ' || lang || chr(10) || 'Type: ' || source || chr(10) || 'Title: ' || substr(text, 1, 80) || chr(10) || 'Status: ' || CASE toxic WHEN 1 THEN 'superseded' ELSE 'active' END || chr(10) || 'Confidence: medium' || chr(10) || 'Current truth: ' || CASE WHEN coalesce(toxic, 0) <> 1 THEN 'True' ELSE 'False' END || chr(10) || 'Tags: ' || lang || ', ' || source || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || 'Body: ' || text ELSE '' END || chr(10) || 'Source: ' || source AS content FROM documents LEFT JOIN labels USING (doc_id)")
+def card_text(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    bad = F.coalesce(F.col("toxic"), F.lit(0)) == 1
+    made = text.card_text(F.col("lang"), F.col("source"), F.substring("text", 1, 80), F.when(bad, "superseded").otherwise("active"), F.lit("medium"), ~bad, F.concat_ws(",", "lang", "source"), F.col("text"), F.lit(None).cast("string"), F.col("source"))
+    return rows.select("doc_id", made.alias("content"))
 
 
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.85 ELSE 0.7 END::DOUBLE AS weight FROM documents LEFT JOIN labels USING (doc_id)")

@@ -1,4 +1,4 @@
-"""Tables that are replaced whole: versioned Parquet directories behind a pointer."""
+"""Tables that are replaced whole: numbered Parquet directories of which the highest counts."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from ..operators import lifecycle
 
 
 class Store:
-    """Named tables below ``root``, each with versions of which a pointer names the current one.
+    """Named tables below ``root``, each with numbered versions, the highest being the current one.
 
-    A writer makes a new version beside the old one and then replaces the pointer, so
-    readers never see half a table, and a plan may read the table that it replaces. The
-    ``keep`` latest versions stay, for plans that began before.
+    A writer writes beside the versions and then renames its directory to the next number,
+    which either happens or not: readers never see half a table or none, and a plan may
+    read the table that it replaces. The ``keep`` latest versions stay, for plans that began
+    before. Two writers at once: the later one to finish fails.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 4):
@@ -26,10 +27,10 @@ class Store:
 
     def _versions(self, name: str) -> list[str]:
         """The versions that stay, the current one first."""
-        at, fs = self._fs(f"{self.root}/{name}/current")
+        at, fs = self._fs(f"{self.root}/{name}")
         if not fs.exists(at):
             return []
-        return self.spark.read.text(at.toString(), wholetext=True).first().value.split()
+        return sorted((f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("v-")), reverse=True)
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
@@ -41,18 +42,27 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/{versions[0]}")
 
     def replace(self, name: str, rows: DataFrame, *partition: str) -> None:
-        version, old = f"v-{uuid.uuid4().hex}", self._versions(name)
-        rows.write.partitionBy(*partition).parquet(f"{self.root}/{name}/{version}")
-        pointer, fs = self._fs(f"{self.root}/{name}/current")
-        fresh, _ = self._fs(f"{self.root}/{name}/current-{version[2:]}")
-        out = fs.create(fresh, True)
-        out.write(bytearray("\n".join([version, *old[: self.keep - 1]]).encode()))
-        out.close()
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
+        old = self._versions(name)
+        fresh = f"{self.root}/{name}/new-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*partition).parquet(fresh)
+        source, fs = self._fs(fresh)
+        target, _ = self._fs(f"{self.root}/{name}/v-{int(old[0][2:]) + 1 if old else 0:012d}")
+        if fs.exists(target) or not fs.rename(source, target):
+            raise RuntimeError(f"{name} has been replaced meanwhile")
         for gone in old[self.keep - 1 :]:
             fs.delete(self._fs(f"{self.root}/{name}/{gone}")[0], True)
 
+    def held(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written below ``root`` and read again, until ``release``: lineage ends there."""
+        path = f"{self.root}/_held/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def release(self) -> None:
+        """Delete what is held; nothing may read it any more."""
+        at, fs = self._fs(f"{self.root}/_held")
+        fs.delete(at, True)
+
     def upsert(self, name: str, rows: DataFrame, *keys: str) -> None:
         self.replace(name, lifecycle.upsert(self.read(name), rows, *keys) if self.exists(name) else rows)
 
