@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 _WORDS = r"[^\x20\x09-\x0D]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -38,4 +39,28 @@ WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
 nodes AS (SELECT vec_id AS node FROM embeddings),{_components("nodes", "near")}
 SELECT vec_id, (SELECT count(*) FROM near WHERE a = vec_id) AS n_links, component AS component_id, vec_id = component AS kept FROM embeddings JOIN root ON node = vec_id""",
+    "op11_lexical_search": f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS ts FROM documents),
+f AS (SELECT row, doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, ts, unnest(ts) AS term FROM t) GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS total FROM t WHERE len(ts) > 0),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, n_docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS term FROM benchmark),
+r AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score FROM i JOIN f USING (term) JOIN w USING (term), s GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50""",
+    "op12_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (len(ws) < 200)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INTEGER + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INTEGER
+  + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > least, false)::INTEGER AS mask FROM w LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM c a, c b, c c, c d, c e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bit AS own, (SELECT coalesce(sum(e.bit), 0)::INTEGER FROM c e WHERE contains(substr(filter_order, 1, step - 1), e.f)) AS before FROM (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o) JOIN c ON f = filter_order[step]),
+x AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost FROM h, s GROUP BY part, filter_order, step, own)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM x""",
 }

@@ -16,6 +16,8 @@ U64 = np.uint64
 PIECE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NO_TERM = np.zeros(256, bool)
+_NO_TERM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C55  # odd, so that it has an inverse
@@ -102,11 +104,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 class Words:
     """The words of a batch of texts: where each starts and ends, and each text's first word."""
 
+    GAP = _SPACE
+
     def __init__(self, column: pa.Array, lower: bool = False):
         self.offsets, data = buffers(column)
         self.data = _LOWER[data] if lower else data
         n, bounds = len(data), self.offsets
-        space = _SPACE[data]
+        space = self.GAP[data]
         first, last = np.empty(n + 1, bool), np.empty(n + 1, bool)
         first[0], first[1:] = True, space
         first[bounds] = True
@@ -132,6 +136,15 @@ class Words:
         return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
 
 
+class Terms(Words):
+    """Runs of letters and digits of ASCII and of all other characters, lower-cased over A-Z."""
+
+    GAP = _NO_TERM
+
+    def __init__(self, column: pa.Array):
+        super().__init__(column, lower=True)
+
+
 def windows(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for every run of ``size`` words, across texts too; the caller drops those."""
     if len(words) < size:
