@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import embed, fixed, text
 from .operators import audits, cards, chunking, conversations, lifecycle, retrieval
 from .sources import files
+from .sources.keyword_index import MOST_WRITES, KeywordIndex
 from .sources.store import Store
 
 CHUNKS = "collection string, chunk_id string, content string, file_path string, content_hash string, chunk_index int, chunk_type string, trust_level string, status string, current_truth boolean, project_name string, language string, heading_path string, symbol_name string, start_line int, end_line int, project string, category string, confirmed boolean, tags string, frontmatter_project string, embedding array<float>"
@@ -15,22 +18,25 @@ NOTES = "note_id string, content string, context string, project string, categor
 RECORDS = "record_id string, record_type string, project string, content string, trust_level string, status string, confidence double, tags array<string>, linked_note string, superseded_by string, reviewed_at string"
 CARDS = "card_id string, content_hash string, type string, project string, title string, body string, why string, status string, confidence string, current_truth boolean, needs_confirmation boolean, tags string, source_date string, created_at string, updated_at string"
 FILES = "file_path string, content_hash string, collection string"
+LINES = "file_path string, no int, line string"
 #: The collection of each record type.
 RECORD_COLLECTIONS = {"fact": "facts", "runbook": "runbooks", "project_overview": "project_overviews"}
 MERGE_DISTANCE, QUERY_BLOCK = 0.1, 1000
 
 
 class Engine:
-    """Tables below ``root``: chunks, notes, records, cards, exchanges, files.
+    """Tables below ``root``: chunks, notes, records, cards, exchanges, files, lines, and the keyword index.
 
-    Notes, records and cards are also among the chunks, which is what searches read.
+    Notes, records and cards are also among the chunks, which is what searches read. A change
+    rewrites the buckets of what it changes, in its own table and in the chunks, and is one
+    write of the keyword index, which is made anew after ``MOST_WRITES`` of them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed_texts=None):
-        self.spark, self.store, self.embed_texts = spark, Store(spark, root), embed_texts
-        for name, schema in (("chunks", CHUNKS), ("notes", NOTES), ("records", RECORDS), ("cards", CARDS), ("files", FILES)):
-            if not self.store.exists(name):
-                self.store.replace(name, spark.createDataFrame([], schema))
+    def __init__(self, spark: SparkSession, root: str, embed_texts=None, buckets: int = 16):
+        self.spark, self.store, self.embed_texts = spark, Store(spark, root, buckets=buckets), embed_texts
+        for name, schema, key in (("chunks", CHUNKS, "file_path"), ("notes", NOTES, "note_id"), ("records", RECORDS, "record_id"), ("cards", CARDS, "card_id"), ("files", FILES, "file_path"), ("lines", LINES, "file_path")):
+            self.store.create(name, schema, key)
+        self.index = KeywordIndex(self.store)
 
     def _vector(self, query: str) -> list[float]:
         return self.embed_texts([query])[0] if self.embed_texts else embed.hashed(query)
@@ -39,63 +45,91 @@ class Engine:
         fields = [f.split(" ", 1) for f in CHUNKS.split(", ")]
         return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
+    def _ids(self, name: str, ids) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], f"{name} string")
+
     def _add(self, rows: DataFrame, taken: DataFrame) -> None:
         """``rows`` instead of all chunks of the files ``taken``, of which some may have none any more."""
-        full = self._fitted(embed.embedded(rows, "content", self.embed_texts))
-        kept = self.store.read("chunks").join(taken.select("file_path").distinct(), "file_path", "left_anti")
-        self.store.replace("chunks", kept.select(*full.columns).unionByName(full))
-
-    def _sync(self, rows: DataFrame, *collections: str) -> None:
-        """Make ``rows`` the chunks of ``collections``; only new contents are embedded."""
+        call = uuid.uuid4().hex
+        taken = self.store.held(taken.select("file_path").distinct(), call)
         chunks = self.store.read("chunks")
-        of_these = F.col("collection").isin(*collections)
-        known = chunks.where(of_these & F.col("embedding").isNotNull()).select("chunk_id", "content", "embedding").dropDuplicates(["chunk_id", "content"])
-        fresh = embed.embedded(rows.join(known, ["chunk_id", "content"], "left_anti"), "content", self.embed_texts)
-        both = self._fitted(rows.join(known, ["chunk_id", "content"])).unionByName(self._fitted(fresh))
-        self.store.replace("chunks", chunks.where(~of_these).unionByName(both))
-
-    def _sync_notes(self) -> None:
-        rows = self.store.read("notes").select(F.lit("discoveries").alias("collection"), F.col("note_id").alias("chunk_id"), F.concat(F.lit("discovery://"), "note_id").alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", "category", "confirmed")
-        self._sync(rows, "discoveries")
-
-    def _sync_records(self) -> None:
+        old = self.store.held(chunks.join(taken, "file_path", "left_semi"), call)
+        known = old.where("embedding IS NOT NULL").select("chunk_id", "content", "embedding").dropDuplicates(["chunk_id", "content"])
+        made = rows.drop("embedding").join(known, ["chunk_id", "content"], "left")
+        both = self._fitted(made.where("embedding IS NOT NULL")).unionByName(self._fitted(embed.embedded(made.where("embedding IS NULL").drop("embedding"), "content", self.embed_texts)))
+        full = self.store.held(both, call)  # only new contents are embedded
+        self.store.rewrite("chunks", taken.unionByName(full.select("file_path")), lambda stored: stored.join(taken, "file_path", "left_anti").select(*full.columns).unionByName(full))
+        self._reindex(full, old)
+        self.store.release(call)
+
+    def _reindex(self, new: DataFrame, old: DataFrame) -> None:
+        """One write of the keyword index for chunks that came and went; what stayed as it was is not touched."""
+        key = ["collection", "chunk_id", "content"]
+        came, went = new.select(*key), old.select(*key)
+        if len(self.index._writes()) >= MOST_WRITES:
+            self.index.replace_all(self.store._rows("chunks", self.store.version("chunks")).select(*key))
+        else:
+            self.index.put(came.join(went, key, "left_anti"), went.join(came, key, "left_anti"))
+
+    def bootstrap_index(self) -> list[str]:
+        """Index the collections whose keyword index is empty; returns their names."""
+        return self.index.bootstrap(self.store._rows("chunks", self.store.version("chunks")).select("collection", "chunk_id", "content"))
+
+    def _sync_notes(self, ids: DataFrame) -> None:
+        """The chunks of the given notes as the notes are now."""
+        notes = self.store.read("notes").join(ids.select("note_id").distinct(), "note_id", "left_semi")
+        path = F.concat(F.lit("discovery://"), "note_id")
+        rows = notes.select(F.lit("discoveries").alias("collection"), F.col("note_id").alias("chunk_id"), path.alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", "category", "confirmed")
+        self._add(rows, ids.select(path.alias("file_path")))
+
+    def _sync_records(self, ids: DataFrame) -> None:
+        records = self.store.read("records")
         kind = F.element_at(F.create_map(*[F.lit(x) for pair in RECORD_COLLECTIONS.items() for x in pair]), F.col("record_type"))
-        key = F.concat(F.lit("semantic_"), "record_type", F.lit("_"), "record_id")
-        rows = self.store.read("records").select(kind.alias("collection"), key.alias("chunk_id"), key.alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", F.array_join("tags", ",").alias("tags"))
-        self._sync(rows.where("collection IS NOT NULL"), *RECORD_COLLECTIONS.values())
+        path = F.concat(F.lit("semantic://"), "record_id")
+        rows = records.join(ids.select("record_id").distinct(), "record_id", "left_semi").select(kind.alias("collection"), F.concat(F.lit("semantic_"), "record_type", F.lit("_"), "record_id").alias("chunk_id"), path.alias("file_path"), "content", "trust_level", "status", F.lit(True).alias("current_truth"), "project", F.array_join("tags", ",").alias("tags"))
+        self._add(rows.where("collection IS NOT NULL"), ids.select(path.alias("file_path")))
 
-    def _sync_cards(self) -> None:
+    def _sync_cards(self, ids: DataFrame) -> None:
         content = text.card_text(*[F.col(c) for c in ("project", "type", "title", "status", "confidence", "current_truth", "tags", "body", "why", "source_date")])
-        rows = self.store.read("cards").select(F.lit("memory_cards").alias("collection"), F.concat(F.lit("memory_"), "card_id").alias("chunk_id"), F.concat(F.lit("memory://"), "card_id").alias("file_path"), content.alias("content"), F.lit("T3").alias("trust_level"), "status", "current_truth", "project", F.col("type").alias("category"), "tags")
-        self._sync(rows, "memory_cards")
+        path = F.concat(F.lit("memory://"), "card_id")
+        cards = self.store.read("cards").join(ids.select("card_id").distinct(), "card_id", "left_semi")
+        rows = cards.select(F.lit("memory_cards").alias("collection"), F.concat(F.lit("memory_"), "card_id").alias("chunk_id"), path.alias("file_path"), content.alias("content"), F.lit("T3").alias("trust_level"), "status", "current_truth", "project", F.col("type").alias("category"), "tags")
+        self._add(rows, ids.select(path.alias("file_path")))
 
     # ingest
     def ingest_vault(self, root: str, full: bool = False) -> DataFrame:
         """Markdown files below ``root``: what changed is parsed again; returns the files taken."""
         found = files.texts(self.spark, root, "*.md").where("error IS NULL").withColumnRenamed("path", "file_path")
-        return self._ingest(found, "documents", F.lit(""), full)
+        return self._ingest(found, "documents", F.lit(""), full, f"{root.rstrip('/')}/")
 
     def ingest_project(self, root: str, name: str, ignore: list[str] | None = None, full: bool = False) -> DataFrame:
         """Sources and markdown of a project; files that are gone lose their chunks."""
         found = files.project_files(self.spark, root, ignore or []).withColumn("file_path", F.concat(F.lit(f"{name}/"), "file_path"))
         return self._ingest(found, "codebase", F.lit(name), full, f"{name}/")
 
-    def _ingest(self, found: DataFrame, collection: str, project: Column, full: bool, below: str | None = None) -> DataFrame:
+    def _ingest(self, found: DataFrame, collection: str, project: Column, full: bool, below: str) -> DataFrame:
+        """Parse what changed of ``found``; what is stored ``below`` a folder and not found any more goes."""
+        call = uuid.uuid4().hex
         known_files = self.store.read("files").where(F.col("collection") == collection)
-        fresh = self.store.held((found if full else lifecycle.changed_files(found, known_files)).select("*"))
-        gone = known_files.limit(0) if below is None else known_files.where(F.col("file_path").startswith(below)).join(found.select("file_path"), "file_path", "left_anti")
+        fresh = self.store.held((found if full else lifecycle.changed_files(found, known_files)).select("*"), call)
+        plain = lambda c: F.regexp_replace(c, "^[A-Za-z]+:/*(?=/)", "")  # noqa: E731  listings name their file system, callers may not
+        gone = known_files.where(plain(F.col("file_path")).startswith(plain(F.lit(below)))).join(found.select("file_path"), "file_path", "left_anti")
+        taken = self.store.held(fresh.select("file_path").unionByName(gone.select("file_path")).distinct(), call)
         markdown = fresh if "kind" not in fresh.columns else fresh.where("kind = 'markdown'")
         rows = chunking.markdown_chunks(markdown.withColumn("path", F.col("file_path"))).withColumn("symbol_name", F.lit("")).withColumn("language", F.lit("markdown"))
         if "kind" in fresh.columns:
             code = chunking.code_chunks(fresh.where("kind = 'code'").withColumn("path", F.col("file_path"))).join(fresh.select("file_path", "language"), "file_path").withColumn("heading_path", F.lit(""))
             rows = rows.unionByName(code)
         known = rows.join(fresh.select("file_path", "content_hash"), "file_path")
-        taken = fresh.select("file_path").unionByName(gone.select("file_path"))
         self._add(known.select("*", F.lit(collection).alias("collection"), text.chunk_id(F.col("file_path"), F.col("chunk_index")).alias("chunk_id"), F.lit("T1").alias("trust_level"), F.lit("active").alias("status"), project.alias("project_name"), project.alias("project")), taken)
+        lines = fresh.select("file_path", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+        self.store.rewrite("lines", taken, lambda old: old.join(taken, "file_path", "left_anti").unionByName(lines))
         listed = fresh.select("file_path", "content_hash", F.lit(collection).alias("collection"))
-        kept = self.store.read("files").join(taken.withColumn("collection", F.lit(collection)), ["file_path", "collection"], "left_anti")
-        self.store.replace("files", kept.select(*listed.columns).unionByName(listed))
-        return fresh.select("file_path", "content_hash")
+        own = taken.withColumn("collection", F.lit(collection))
+        self.store.rewrite("files", taken, lambda old: old.join(own, ["file_path", "collection"], "left_anti").select(*listed.columns).unionByName(listed))
+        result = self.store.held(fresh.select("file_path", "content_hash"), f"results-{call}")
+        self.store.release(call)
+        return result
 
     def ingest_sessions(self, root: str) -> DataFrame:
         """Session logs as exchanges, keyed by session and first line, so that a grown one replaces itself."""
@@ -115,7 +149,9 @@ class Engine:
     # search
     def search(self, query: str, k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, **filters) -> DataFrame:
         """Hybrid search over chunks; filters: project, tags, language, category, confirmed."""
-        return retrieval.hybrid_search(self.store.read("chunks"), self._vector(query), retrieval.query_phrases(query), k, threshold, collections, **filters)
+        phrases = retrieval.query_phrases(query)
+        scores = self.index.matches(phrases).select("chunk_id", "bm25") if phrases else self.spark.createDataFrame([], "chunk_id string, bm25 double")
+        return retrieval.hybrid_search(self.store.read("chunks"), self._vector(query), phrases, k, threshold, collections, scores=scores, **filters)
 
     def search_cards(self, query: str, project: str | None = None, kind: str | None = None, k: int = 8, threshold: float = 0.25) -> DataFrame:
         """Memory cards, of one type if ``kind`` is given."""
@@ -138,10 +174,16 @@ class Engine:
         return retrieval.nearest(rows, self._vector(query), k).withColumn("score", F.round(1 - F.col("distance") / 2, 4))
 
     def context(self, file_path: str, start: int, count: int) -> DataFrame:
-        """(no, line) of the stored lines of a file from ``start`` on."""
-        rows = self.store.read("chunks").where((F.col("file_path") == file_path) & (F.col("chunk_type") != "file_summary"))
-        lines = rows.select(F.posexplode(F.split("content", "\n")).alias("pos", "line"), "start_line").select((F.col("start_line") + F.col("pos")).alias("no"), "line")
-        return lines.where(F.col("no").between(start, start + count - 1)).groupBy("no").agg(F.max("line").alias("line")).orderBy("no")
+        """(no, line) of ``count`` lines of a stored file from ``start`` on, within its bounds.
+
+        ``memory://`` and the id of a card stands for the card's text. Of a file one bucket is read.
+        """
+        if file_path.startswith("memory://"):
+            rows = self.store.lookup("chunks", file_path).select(F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+        else:
+            rows = self.store.lookup("lines", file_path).select("no", "line")
+        first = max(1, start)
+        return rows.where(F.col("no").between(first, start + count - 1)).orderBy("no")
 
     def project_context(self, project: str, query: str) -> DataFrame:
         """(kind, id, title, score): the best documents, sources, notes and cards for a task in a project."""
@@ -178,32 +220,34 @@ class Engine:
         """
         full = embed.embedded(rows, "content", self.embed_texts).select("note_id", "content", "context", "project", "category", "severity", "embedding")
         fresh = full.select("*", F.lit(False).alias("confirmed"), F.lit(False).alias("promoted"), F.lit("T3").alias("trust_level"), F.lit("active").alias("status"), F.lit(0.7).alias("confidence"), F.lit(as_of).alias("created_at"), F.lit(as_of).alias("updated_at"), F.lit("").alias("linked_record"))
+        call = uuid.uuid4().hex
         notes = self.store.read("notes")
-        fresh = self.store.held(fresh.select(*notes.columns))
-        stored = self.store.held(self.near_notes(fresh, notes))
-        own = self.store.held(self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id"))
-        kept = self.store.held(self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own))
+        fresh = self.store.held(fresh.select(*notes.columns), call)
+        stored = self.store.held(self.near_notes(fresh, notes), call)
+        own = self.store.held(self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id"), call)
+        kept = self.store.held(self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own, call), call)
         near = stored.unionByName(own.join(kept.select(F.col("note_id").alias("near_id")), "near_id", "left_semi"))
-        pairs = near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
+        pairs = self.store.held(near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance")), call)
         first, others = fresh.join(kept, "note_id", "left_semi").select(*notes.columns), fresh.join(kept, "note_id", "left_anti").select(*notes.columns)
-        self.store.replace("notes", lifecycle.merge_near_notes(notes.unionByName(first), others, pairs))
-        self.store.release()
-        self._sync_notes()
+        changed = self.store.held(kept.unionByName(pairs.select(F.col("near_id").alias("note_id"))).distinct(), call)
+        self.store.rewrite("notes", changed, lambda old: lifecycle.merge_near_notes(old.unionByName(first), others, pairs))
+        self._sync_notes(changed)
+        self.store.release(call)
 
-    def _kept(self, left: DataFrame, own: DataFrame) -> DataFrame:
+    def _kept(self, left: DataFrame, own: DataFrame, call: str) -> DataFrame:
         """note_id of those of ``left`` that stay when notes come one by one, in order of their ids.
 
         A note stays if it is near no earlier one that stays. Each round settles all notes whose
         earlier near ones are settled, so there are as many rounds as the longest chain has notes.
         """
-        left = self.store.held(left.select("note_id"))
+        left = self.store.held(left.select("note_id"), call)
         kept = left.limit(0)
         while not left.isEmpty():
             waiting = own.join(left, "note_id", "left_semi").join(left.select(F.col("note_id").alias("near_id")), "near_id", "left_semi")
-            new = self.store.held(left.join(waiting, "note_id", "left_anti"))
+            new = self.store.held(left.join(waiting, "note_id", "left_anti"), call)
             gone = own.join(new.select(F.col("note_id").alias("near_id")), "near_id", "left_semi").select("note_id")
             kept = kept.unionByName(new)
-            left = self.store.held(left.join(new.unionByName(gone), "note_id", "left_anti"))
+            left = self.store.held(left.join(new.unionByName(gone), "note_id", "left_anti"), call)
         return kept
 
     def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE) -> DataFrame:
@@ -233,27 +277,43 @@ class Engine:
         return rows.orderBy("note_id").limit(limit)
 
     def confirm_notes(self, ids: list[str], as_of: str) -> None:
-        self.store.replace("notes", lifecycle.confirm(self.store.read("notes"), self.spark.createDataFrame([(i,) for i in ids], "note_id string"), as_of))
-        self._sync_notes()
+        asked = self._ids("note_id", ids)
+        self.store.rewrite("notes", asked, lambda old: lifecycle.confirm(old, asked, as_of))
+        self._sync_notes(asked)
 
     def reject_notes(self, ids: list[str]) -> None:
-        self.store.delete("notes", self.spark.createDataFrame([(i,) for i in ids], "note_id string"), key="note_id")
-        self._sync_notes()
+        asked = self._ids("note_id", ids)
+        self.store.delete("notes", asked)
+        self._sync_notes(asked)
+
+    def update_notes(self, changes: DataFrame) -> None:
+        """Non-null fields of ``changes`` (note_id, …) over those stored; a changed content is embedded again."""
+        before = self.store.read("notes")
+        hit = changes.join(before.select("note_id"), "note_id", "left_semi")
+        if "content" in changes.columns:
+            hit = embed.embedded(hit.drop("embedding"), "content", self.embed_texts).withColumn("embedding", F.when(F.col("content").isNotNull(), F.col("embedding")))
+        call = uuid.uuid4().hex
+        hit = self.store.held(hit, call)
+        self.store.rewrite("notes", hit, lambda old: lifecycle.patch(old, hit, "note_id"))
+        self._sync_notes(hit)
+        self.store.release(call)
 
     def promote_notes(self, as_of: str) -> DataFrame:
         """Confirmed notes become records, linked both ways; returns the new records."""
-        notes, records = lifecycle.promote(self.store.read("notes"), as_of)
-        made = records.select(*self.store.read("records").columns)
+        call = uuid.uuid4().hex
+        notes = self.store.read("notes")
+        made = self.store.held(lifecycle.promote(notes, as_of)[1].select(*self.store.version_columns("records")), f"results-{call}")
+        ready = made.select(F.col("linked_note").alias("note_id"))
         self.store.upsert("records", made, "record_id")
-        self.store.replace("notes", notes)
-        self._sync_notes()
-        self._sync_records()
-        return made  # of the version of the notes that was read
+        self.store.rewrite("notes", ready, lambda old: lifecycle.promote(old, as_of)[0])
+        self._sync_notes(ready)
+        self._sync_records(made)
+        return made
 
     def store_records(self, rows: DataFrame) -> None:
         """Records by id, each also a chunk of the collection of its type."""
         self.store.upsert("records", rows, "record_id")
-        self._sync_records()
+        self._sync_records(rows)
 
     def list_records(self, record_type: str | None = None, project: str | None = None, status: str | None = "active", limit: int = 50) -> DataFrame:
         rows = self.store.read("records")
@@ -262,25 +322,31 @@ class Engine:
         return rows.orderBy("record_id").limit(limit)
 
     def supersede_records(self, pairs: dict[str, str], as_of: str) -> None:
-        self.store.replace("records", lifecycle.supersede(self.store.read("records"), self.spark.createDataFrame(list(pairs.items()), "record_id string, superseded_by string"), as_of))
-        self._sync_records()
+        asked = self.spark.createDataFrame(list(pairs.items()), "record_id string, superseded_by string")
+        self.store.rewrite("records", asked, lambda old: lifecycle.supersede(old, asked, as_of))
+        self._sync_records(asked)
 
     def stale_records(self, as_of: str, days: int = 90) -> DataFrame:
         return audits.stale(self.store.read("records").where("status = 'active'"), as_of, days)
 
     def store_cards(self, rows: DataFrame) -> None:
         """Cards by id or content, each also a chunk."""
-        self.store.replace("cards", lifecycle.upsert_cards(self.store.read("cards"), rows))
-        self._sync_cards()
+        call = uuid.uuid4().hex
+        put = self.store.held(lifecycle.cards_to_put(self.store.read("cards"), rows), call)
+        self.store.upsert("cards", put, "card_id")
+        self._sync_cards(put)
+        self.store.release(call)
 
     def set_card_status(self, ids: list[str], status: str, as_of: str, current_truth: bool | None = None) -> None:
         """The state, and if given the truth, of cards and of their chunks."""
-        hit = F.col("card_id").isin(ids)
-        rows = self.store.read("cards").withColumn("status", F.when(hit, status).otherwise(F.col("status"))).withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at")))
-        if current_truth is not None:
-            rows = rows.withColumn("current_truth", F.when(hit, current_truth).otherwise(F.col("current_truth")))
-        self.store.replace("cards", rows)
-        self._sync_cards()
+        asked, hit = self._ids("card_id", ids), F.col("card_id").isin(ids)
+
+        def change(old: DataFrame) -> DataFrame:
+            rows = old.withColumn("status", F.when(hit, status).otherwise(F.col("status"))).withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at")))
+            return rows if current_truth is None else rows.withColumn("current_truth", F.when(hit, current_truth).otherwise(F.col("current_truth")))
+
+        self.store.rewrite("cards", asked, change)
+        self._sync_cards(asked)
 
     def list_cards(self, limit: int = 50, **equal) -> DataFrame:
         rows = self.store.read("cards")

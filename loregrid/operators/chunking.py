@@ -41,9 +41,10 @@ def windows(text: str | None, most: int = fixed.CHUNK_TOKENS, overlap: int = fix
         while end < len(lines) and (total == 0 or total + cost[end] <= most) and cost[end] <= most and total < most:
             total += cost[end]
             end += 1
-        body = "\n".join(lines[at:end]).strip("\n")
+        low, high = _within(lines, at, end)
+        body = "\n".join(lines[low:high])
         if body.strip():
-            out.append((body, start + at, start + end - 1, max(1, total)))
+            out.append((body, start + low, start + high - 1, max(1, total)))
         if end >= len(lines):
             break
         back, kept = end, 0
@@ -54,6 +55,15 @@ def windows(text: str | None, most: int = fixed.CHUNK_TOKENS, overlap: int = fix
     return out
 
 
+def _within(lines: list[str], low: int, high: int) -> tuple[int, int]:
+    """``low`` and ``high`` without the empty lines at both ends."""
+    while low < high and not lines[low]:
+        low += 1
+    while low < high and not lines[high - 1]:
+        high -= 1
+    return low, high
+
+
 def merge_small(chunks: list[tuple[str, int, int, int]], least: int = 50) -> list[tuple[str, int, int, int]]:
     """Chunks of fewer than ``least`` tokens joined to the one before them."""
     out: list[tuple[str, int, int, int]] = []
@@ -74,19 +84,20 @@ def sections(text: str, start: int = 1, fences: bool = False) -> list[tuple[str,
     """
     out, stack, body, first, fenced = [], [], [], start, False
 
-    def flush(last: int) -> None:
+    def flush() -> None:
         if "".join(body).strip():
-            out.append((" > ".join(t for _, t in stack), "\n".join(body).strip("\n"), first, last))
+            low, high = _within(body, 0, len(body))
+            out.append((" > ".join(t for _, t in stack), "\n".join(body[low:high]), first + low, first + high - 1))
 
     for no, line in enumerate(text.splitlines(), start):
         fenced ^= line.lstrip().startswith("```")
         if (m := re.match(r"(#{1,6})\s+(.*\S)\s*$", line)) and not (fences and fenced):
-            flush(no - 1)
+            flush()
             level = len(m[1])
             stack = [*((n, t) for n, t in stack if n < level), (level, m[2])]
             body, first = [], no
         body.append(line)
-    flush(start + len(text.splitlines()) - 1)
+    flush()
     return out
 
 

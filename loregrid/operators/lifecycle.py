@@ -38,14 +38,19 @@ def replace_files(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
     return chunks.join(fresh.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert_cards(cards: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cards by id; one with a stored content hash takes over that card's id and creation time."""
+def cards_to_put(cards: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` cards, one a content; one with a stored content hash takes over that card's id and creation time."""
     last = Window.partitionBy("content_hash").orderBy(F.desc("updated_at"), "card_id")
     fresh = fresh.withColumn("r_", F.row_number().over(last)).where("r_ = 1").drop("r_")
     old = cards.groupBy("content_hash").agg(F.min_by(F.struct("card_id", "created_at"), "card_id").alias("old"))
     moved = fresh.join(old, "content_hash", "left").withColumn("card_id", F.coalesce("old.card_id", "card_id")).withColumn("created_at", F.coalesce("old.created_at", "created_at")).drop("old")
     kept = moved.join(cards.select("card_id", F.col("created_at").alias("was")), "card_id", "left").withColumn("created_at", F.coalesce("was", "created_at")).drop("was")
-    return upsert(cards, kept.select(*cards.columns), "card_id")
+    return kept.select(*cards.columns)
+
+
+def upsert_cards(cards: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Cards by id, those of ``cards_to_put`` in place of the stored ones."""
+    return upsert(cards, cards_to_put(cards, fresh), "card_id")
 
 
 def confirm(notes: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:

@@ -81,13 +81,15 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.coalesce(F.regexp_count(F.lower("content"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("len"))
 
 
-def keyword_search(chunks: DataFrame, phrases: list[list[str]], n: int, by: str | None = None, where: Column | None = None) -> DataFrame:
+def keyword_search(chunks: DataFrame, phrases: list[list[str]], n: int, by: str | None = None, where: Column | None = None, scores: DataFrame | None = None) -> DataFrame:
     """The n best rows by BM25 (with ``by``: of each group): the columns of ``chunks``, bm25 and rank from 0.
 
     The number of chunks, their mean length and the terms' counts are those of all ``chunks``,
-    whatever ``where`` lets through. Ids alone are ranked.
+    whatever ``where`` lets through. Ids alone are ranked. ``scores`` are the matches of a
+    stored index, (chunk_id, bm25); without them the contents are taken apart here.
     """
-    scores = bm25(postings(chunks), lengths(chunks), phrases)
+    if scores is None:
+        scores = bm25(postings(chunks), lengths(chunks), phrases)
     passing = chunks if where is None else chunks.where(where)
     hits = passing.select("chunk_id", *[by] * bool(by)).join(scores, "chunk_id")
     order = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("bm25", "chunk_id")
@@ -129,7 +131,7 @@ def visible(collection: Column, status: Column) -> Column:
     return F.when(collection == "memory_cards", ~state.isin(fixed.HIDDEN_CARD_STATUSES)).otherwise(state == "active")
 
 
-def hybrid_search(chunks: DataFrame, query: list[float], phrases: list[list[str]], k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, where: Column | None = None, **filters) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: list[float], phrases: list[list[str]], k: int = fixed.TOP_K, threshold: float = fixed.SCORE_THRESHOLD, collections: list[str] | None = None, where: Column | None = None, scores: DataFrame | None = None, **filters) -> DataFrame:
     """The best k chunks by trust-weighted vector and keyword scores, over all collections.
 
     ``chunks`` has chunk_id, collection, content, embedding, trust_level, status,
@@ -137,20 +139,26 @@ def hybrid_search(chunks: DataFrame, query: list[float], phrases: list[list[str]
     keeps 4 k candidates a collection, counted over what passes its filter; keyword
     statistics are those of all chunks. Legs meet in a full outer join, and a chunk that one
     misses scores 0 there. Scores are rounded to 4 places after the threshold; ties go by
-    collection and chunk_id.
+    collection and chunk_id. ``scores`` are the matches of a stored index; with them no content
+    is read but that of the k hits.
     """
     asked = F.lit(True) if collections is None else F.col("collection").isin(collections)
     asked = asked if where is None else asked & where
     n = max(fixed.CANDIDATE_FACTOR * k, k)
     close = nearest(chunks, query, n, by="collection", where=asked & collection_filter(chunks, False, **filters))
     close = close.select("collection", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2)).alias("vector_score"))
-    words = keyword_search(chunks, phrases, n, by="collection", where=asked & collection_filter(chunks, True, **filters)).select("collection", "chunk_id", (1 / (1 + F.col("rank0"))).alias("keyword_score"))
+    narrow = chunks.drop("content", "embedding")
+    words = keyword_search(chunks if scores is None else narrow, phrases, n, by="collection", where=asked & collection_filter(chunks, True, **filters), scores=scores).select("collection", "chunk_id", (1 / (1 + F.col("rank0"))).alias("keyword_score"))
     both = close.join(words, ["collection", "chunk_id"], "full_outer").na.fill(0.0, ["vector_score", "keyword_score"])
-    known = both.join(chunks.drop("embedding"), ["collection", "chunk_id"]).where(visible(F.col("collection"), F.col("status")))
+    known = both.join(narrow, ["collection", "chunk_id"]).where(visible(F.col("collection"), F.col("status")))
     trust = text.trust_weight(F.col("trust_level")) * F.when(F.col("collection") == "memory_cards", text.card_status_weight(F.col("status"), F.coalesce(F.col("current_truth"), F.lit(False)))).otherwise(1.0)
     raw = (fixed.VECTOR_SHARE * F.col("vector_score") + fixed.KEYWORD_SHARE * F.col("keyword_score")) * trust
     final = known.withColumn("raw", raw).where(F.col("raw") >= threshold).withColumn("score", F.round("raw", 4)).drop("raw")
-    return final.orderBy(F.desc("score"), "collection", "chunk_id").limit(k)
+    best = final.orderBy(F.desc("score"), "collection", "chunk_id").limit(k)
+    if "content" not in chunks.columns:
+        return best
+    full = F.broadcast(best).join(chunks.select("collection", "chunk_id", "content"), ["collection", "chunk_id"])  # k rows
+    return full.orderBy(F.desc("score"), "collection", "chunk_id")
 
 
 def snippets(hits: DataFrame, most: int = 700) -> DataFrame:

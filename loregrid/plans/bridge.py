@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyword_index import KeywordIndex
+from ..sources.store import Store
+
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +31,34 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; on one machine a temporary one will do."""
+    if where := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return where
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
+    made = tempfile.mkdtemp(prefix="loregrid-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The stored index of the documents, made when an application first asks for it."""
+    app = spark.sparkContext.applicationId
+    if (app, sf_dir) not in _INDEXES:
+        root = f"{shared_folder(spark)}/loregrid/{app}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        index = KeywordIndex(Store(spark, root), id_type="long")
+        index.put(table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+        _INDEXES[app, sf_dir] = index
+    return _INDEXES[app, sf_dir]
+
+
+def matches(spark: SparkSession, sf_dir: str, phrases: list[list[str]]) -> DataFrame:
+    """(chunk_id, bm25) of the documents that have any of the phrases."""
+    return keyword_index(spark, sf_dir).matches(phrases).select("chunk_id", "bm25")
+
+
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks of the engine's collections, with all that filters look at."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality", "toxic")

@@ -68,27 +68,25 @@ def _phrases(spark, d):
 
 @query(_BM25 + "SELECT doc_id, bm25 FROM scored ORDER BY bm25, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    return retrieval.keyword_search(_chunks(spark, d), _phrases(spark, d), 20).select(F.col("chunk_id").alias("doc_id"), "bm25")
+    return bridge.keyword_index(spark, d).top(_phrases(spark, d), 20).select(F.col("chunk_id").alias("doc_id"), "bm25")
 
 
 @query(_BM25 + "SELECT doc_id, bm25 FROM scored WHERE source = 'src1' ORDER BY bm25, doc_id LIMIT 10")
 def bm25_filtered(spark, d):
-    return retrieval.keyword_search(_chunks(spark, d), _phrases(spark, d), 10, where=F.col("source") == "src1").select(F.col("chunk_id").alias("doc_id"), "bm25")
+    return bridge.keyword_index(spark, d).top(_phrases(spark, d), 10, F.col("collection") == "src1").select(F.col("chunk_id").alias("doc_id"), "bm25")
 
 
 @query(_BM25 + "SELECT lang, doc_id, round(1.0::DOUBLE / row_number() OVER (PARTITION BY lang ORDER BY bm25, doc_id), 6) AS keyword_score FROM scored QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bm25, doc_id) <= 5")
 def bm25_per_lang(spark, d):
-    hits = retrieval.keyword_search(_chunks(spark, d), _phrases(spark, d), 5, by="lang")
+    phrases = _phrases(spark, d)
+    hits = retrieval.keyword_search(_chunks(spark, d), phrases, 5, by="lang", scores=bridge.matches(spark, d, phrases))
     return hits.select("lang", F.col("chunk_id").alias("doc_id"), F.round(1 / (1 + F.col("rank0")), 6).alias("keyword_score"))
 
 
 @query(f"WITH d AS (SELECT doc_id, regexp_extract_all({ACCENTS}, '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents) SELECT doc_id, count(*) AS f FROM (SELECT doc_id, unnest(range(1, len(ws))) AS i, ws FROM d) WHERE ws[i] = 'of' AND ws[i + 1] = 'the' GROUP BY doc_id")
 def phrase_match(spark, d):
-    """Documents in which the two words of a phrase stand next to each other, from postings."""
-    index = retrieval.postings(_chunks(spark, d)).where(F.col("term").isin("of", "the"))
-    at = index.select("chunk_id", F.explode("positions").alias("p"), "term").select("chunk_id", "term", (F.col("p") - F.when(F.col("term") == "the", 1).otherwise(0)).alias("at"))
-    both = at.groupBy("chunk_id", "at").agg(F.count("*").alias("k")).where("k = 2")
-    return both.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("f"))
+    """Documents in which the two words of a phrase stand next to each other, from stored positions."""
+    return bridge.keyword_index(spark, d).phrase_counts(["of", "the"]).select(F.col("chunk_id").alias("doc_id"), "f")
 
 
 _HYBRID = _BM25 + f""",
@@ -99,16 +97,22 @@ f AS (SELECT collection, chunk_id, coalesce(vector_score, 0) AS vs, coalesce(key
 """
 
 
+def _searched(spark, d, k, threshold, collections=None, rows=None, **filters):
+    """A hybrid search with the keywords of the stored index."""
+    v, q = bridge.query(spark, d)
+    phrases = retrieval.query_phrases(q)
+    rows = bridge.chunks(spark, d) if rows is None else rows
+    return retrieval.hybrid_search(rows.drop("content"), v, phrases, k, threshold, collections, scores=bridge.matches(spark, d, phrases), **filters).select("collection", "chunk_id", "score")
+
+
 @query(_HYBRID + "SELECT collection, chunk_id, round((0.7::DOUBLE * vs + 0.3::DOUBLE * ks) * trust, 4) AS score FROM f ORDER BY score DESC, collection, chunk_id LIMIT 10")
 def hybrid_search(spark, d):
-    v, q = bridge.query(spark, d)
-    return retrieval.hybrid_search(bridge.chunks(spark, d), v, retrieval.query_phrases(q), k=10, threshold=0.0).select("collection", "chunk_id", "score")
+    return _searched(spark, d, 10, 0.0)
 
 
 @query(_HYBRID + "SELECT collection, chunk_id, round((0.7::DOUBLE * vs + 0.3::DOUBLE * ks) * trust, 4) AS score FROM f WHERE collection IN ('src1', 'src2') AND (0.7::DOUBLE * vs + 0.3::DOUBLE * ks) * trust >= 0.35 ORDER BY score DESC, collection, chunk_id LIMIT 10")
 def hybrid_collections(spark, d):
-    v, q = bridge.query(spark, d)
-    return retrieval.hybrid_search(bridge.chunks(spark, d), v, retrieval.query_phrases(q), k=10, collections=["src1", "src2"]).select("collection", "chunk_id", "score")
+    return _searched(spark, d, 10, fixed.SCORE_THRESHOLD, ["src1", "src2"])
 
 
 _KINDS = ["facts", "memory_cards", "documents", "codebase", "discoveries", "conversations"]
@@ -129,8 +133,7 @@ f AS (SELECT collection, chunk_id, (0.7::DOUBLE * coalesce(vs, 0) + 0.3::DOUBLE
 SELECT collection, chunk_id, round(raw, 4) AS score FROM f WHERE raw >= {threshold} ORDER BY score DESC, collection, chunk_id LIMIT {k}"""
 
     def run(spark, d):
-        v, q = bridge.query(spark, d)
-        return retrieval.hybrid_search(bridge.kinds(spark, d), v, retrieval.query_phrases(q), k, threshold, collections, **filters).select("collection", "chunk_id", "score")
+        return _searched(spark, d, k, threshold, collections, bridge.kinds(spark, d), **filters)
 
     QUERIES[name] = run
 
@@ -166,7 +169,7 @@ def snippets(spark, d):
 
 @query()
 def synonym_search(spark, d):
-    return retrieval.keyword_search(_chunks(spark, d), retrieval.query_phrases("test the", synonyms=True), 20).select(F.col("chunk_id").alias("doc_id"), "bm25")
+    return bridge.keyword_index(spark, d).top(retrieval.query_phrases("test the", synonyms=True), 20).select(F.col("chunk_id").alias("doc_id"), "bm25")
 
 
 _EX = """

@@ -65,3 +65,14 @@ def test_long_code_parts_are_cut_into_windows():
     for kind, _, chunk, a, b in parts:
         assert kind == "function" and chunk == "\n".join(lines[a - 1 : b]) and sum(map(chunking.tokens_of, chunk.splitlines())) <= 400
     assert {n for *_, a, b in parts for n in range(a, b + 1)} == set(range(4, 306))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["", "", "a b c", "# H", "  ", "x"]), max_size=20), st.integers(3, 9))
+def test_spans_are_the_lines_of_the_text(lines, most):
+    text = "\n".join(lines)
+    for body, a, b, _ in chunking.windows(text, most, 1):
+        assert body == "\n".join(text.splitlines()[a - 1 : b])
+    for _, body, a, b in chunking.sections(text):
+        assert body == "\n".join(text.splitlines()[a - 1 : b])
+    assert not chunking.windows("\n\na\nb") or chunking.windows("\n\na\nb") == [("a\nb", 3, 4, 2)]

@@ -51,6 +51,48 @@ def test_project(engine, tmp_path):
     assert [r.project for r in engine.coverage_gaps().collect()] == ["p"]
 
 
+def test_context_returns_the_lines_of_the_file(engine, spark, tmp_path):
+    root = tmp_path / "p"
+    root.mkdir()
+    code = ["import os", "X = 1", "", "class A:", '    """zz doc"""', "    def m(self):", "        return 2", "y = 3", "def f():", "    return " + " + ".join(["1"] * 900), "", "main = f()"]
+    (root / "a.py").write_text("\n".join(code))
+    engine.ingest_project(str(root), "p")
+    whole = [(r.no, r.line) for r in engine.context("p/a.py", -3, 100).collect()]
+    assert whole == list(enumerate(code, 1))
+    assert [r.line for r in engine.context("p/a.py", 12, 5).collect()] == ["main = f()"] and engine.context("p/a.py", 13, 5).isEmpty() and engine.context("p/b.py", 1, 5).isEmpty()
+    engine.store_cards(spark.createDataFrame([("c1", "h1", "todo", "p", "Pin it", "first body\nsecond body", "", "historical", "low", False, True, "", "2026-01-01", "t", "t")], CARDS))
+    assert "second body" in [r.line for r in engine.context("memory://c1", 1, 50).collect()]
+    assert engine.search_cards("second body", threshold=0.0).first().chunk_id == "memory_c1"
+    engine.set_card_status(["c1"], "superseded", "t2")
+    assert engine.search_cards("second body", threshold=0.0).isEmpty() and engine.list_cards(status="superseded").count() == 1
+
+
+def test_small_changes_rewrite_little_and_leave_results_readable(engine, spark, tmp_path):
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    for name in "abc":
+        (vault / f"{name}.md").write_text(f"# {name}\nwords of {name}\n")
+    taken = engine.ingest_vault(str(vault))
+    notes = spark.createDataFrame([(f"n{i}", f"thing{i} alpha{i} beta{i} gamma{i}", "", "p", "bug", "low") for i in range(20)], "note_id string, content string, context string, project string, category string, severity string")
+    engine.store_notes(notes, "t0")
+    assert taken.count() == 3
+    folders = lambda t: engine.store.version(t).folders()
+    before = {t: folders(t) for t in ("notes", "chunks")}
+    engine.confirm_notes(["n7"], "t1")
+    assert {t: len(folders(t) - before[t]) for t in before} == {"notes": 1, "chunks": 1}
+    assert engine.search("thing7", threshold=0.0, collections=["discoveries"], confirmed=True).first().chunk_id == "n7"
+    engine.update_notes(spark.createDataFrame([("n8", "quite another matter")], "note_id string, content string"))
+    assert engine.search("another matter", threshold=0.0, collections=["discoveries"]).first().chunk_id == "n8"
+    assert engine.store.lookup("notes", "n8").first().embedding == engine.store.lookup("chunks", "discovery://n8").first().embedding
+    engine.store_records(spark.createDataFrame([("r1", "runbook", "p", "restart the zebra service", "T2", "active", 0.9, ["ops"], "", "", "")], RECORDS))
+    assert engine.search_records("zebra", "runbook", threshold=0.0).first().chunk_id == "semantic_runbook_r1" and engine.list_records("runbook").count() == 1
+    (vault / "b.md").unlink()
+    engine.ingest_vault(str(vault))
+    assert {r.file_path[-4] for r in engine.store.read("files").collect()} == {"a", "c"}
+    assert engine.store.read("chunks").where("collection = 'documents' AND file_path LIKE '%b.md'").isEmpty() and engine.search("words of b", threshold=0.0, collections=["documents"]).where("file_path LIKE '%b.md'").isEmpty()
+    assert engine.bootstrap_index() == []
+
+
 def lines(*rows):
     return "\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows)
 
