@@ -122,7 +122,7 @@ class Engine:
             rows = rows.unionByName(code)
         known = rows.join(fresh.select("file_path", "content_hash"), "file_path")
         self._add(known.select("*", F.lit(collection).alias("collection"), text.chunk_id(F.col("file_path"), F.col("chunk_index")).alias("chunk_id"), F.lit("T1").alias("trust_level"), F.lit("active").alias("status"), project.alias("project_name"), project.alias("project")), taken)
-        lines = fresh.select("file_path", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+        lines = chunking.file_lines(fresh)
         self.store.rewrite("lines", taken, lambda old: old.join(taken, "file_path", "left_anti").unionByName(lines))
         listed = fresh.select("file_path", "content_hash", F.lit(collection).alias("collection"))
         own = taken.withColumn("collection", F.lit(collection))
@@ -179,11 +179,10 @@ class Engine:
         ``memory://`` and the id of a card stands for the card's text. Of a file one bucket is read.
         """
         if file_path.startswith("memory://"):
-            rows = self.store.lookup("chunks", file_path).select(F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+            rows = chunking.file_lines(self.store.lookup("chunks", file_path))
         else:
-            rows = self.store.lookup("lines", file_path).select("no", "line")
-        first = max(1, start)
-        return rows.where(F.col("no").between(first, start + count - 1)).orderBy("no")
+            rows = self.store.lookup("lines", file_path)
+        return chunking.line_window(rows, start, count).select("no", "line").orderBy("no")
 
     def project_context(self, project: str, query: str) -> DataFrame:
         """(kind, id, title, score): the best documents, sources, notes and cards for a task in a project."""

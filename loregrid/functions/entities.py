@@ -6,38 +6,44 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship
+from . import fixed
 
-#: Recognisers: name, pattern, score.
-RECOGNISERS = [
-    ("EMAIL", re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), 0.9),
-    ("IP", re.compile(r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"), 0.8),
-    ("CARD", re.compile(r"\b(?:\d[ -]?){13,16}\b"), 0.7),
-    ("PHONE", re.compile(r"\+?\d[\d\s().-]{8,}\d"), 0.5),
-    ("KEY", re.compile(r"\b(?:sk|gh[pousr]|xox[baprs])[-_][A-Za-z0-9_-]{12,}\b"), 0.95),
-    ("URL_CREDENTIAL", re.compile(r"\b[a-z]+://[^\s/:@]+:[^\s/@]+@"), 0.9),
-]
+_SPAN = "array<struct<start:int,size:int,less:double,name:string>>"
 
 
-def found(text: str) -> list[tuple[str, int, int]]:
-    """(name, start, end) of the entities: of overlapping ones the earliest, then longest, then surest."""
-    spans = sorted((m.start(), -(m.end() - m.start()), -score, name, m.end()) for name, pattern, score in RECOGNISERS for m in pattern.finditer(text))
-    out: list[tuple[str, int, int]] = []
-    for start, _, _, name, end in spans:
-        if not out or start >= out[-1][2]:
-            out.append((name, start, end))
-    return out
+def _spans_of(text: Column, name: str, pattern: str, score: float) -> Column:
+    """Where a recogniser's matches start, from the lengths of what lies between them."""
+    pattern = f"(?i){pattern}"
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    span = lambda s, p: F.struct((s.at + p.gap).alias("start"), p["size"].alias("size"), F.lit(-score).alias("less"), F.lit(name).alias("name"))
+    return F.aggregate(pairs, begin, lambda s, p: F.struct((s.at + p.gap + p["size"]).alias("at"), F.concat(s.out, F.array(span(s, p))).alias("out")))["out"]
 
 
-def scrub(text: str) -> str:
-    out, at = [], 0
-    for name, start, end in found(text):
-        out += [text[at:start], f"<{name}>"]
-        at = end
-    return "".join([*out, text[at:]])
+def spans(text: Column) -> Column:
+    """(start, size, less, name) of a text's entities, in order.
+
+    Of those that overlap the earliest stays, then the longest, then the surest: a sweep in
+    that order keeps what begins at or after the end of all that it has kept.
+    """
+    every = F.concat(*[_spans_of(text, *r) for r in fixed.RECOGNISERS])
+    ordered = F.array_sort(F.transform(every, lambda s: F.struct(s.start.alias("start"), (-s["size"]).alias("size"), s.less.alias("less"), s["name"].alias("name"))))
+    begin = F.struct(F.lit(0).alias("end"), F.array().cast(_SPAN).alias("out"))
+    kept = F.aggregate(ordered, begin, lambda s, c: F.when(c.start < s.end, s).otherwise(F.struct((c.start - c["size"]).alias("end"), F.concat(s.out, F.array(F.struct(c.start.alias("start"), (-c["size"]).alias("size"), c.less.alias("less"), c["name"].alias("name")))).alias("out"))))["out"]
+    any_of = "(?i)" + "|".join(p for _, p, _ in fixed.RECOGNISERS)
+    return F.when(text.rlike(any_of), kept).otherwise(F.array().cast(_SPAN))  # most texts have none
+
+
+def masked(text: Column, found: Column) -> Column:
+    """A text with a placeholder of the entity's name in place of each of the ``found`` spans."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(found, begin, lambda s, c: F.struct((c.start + c["size"]).alias("at"), F.concat(s.out, F.substring(text, s.at + 1, c.start - s.at), F.lit(fixed.REDACTED[0]), c["name"], F.lit(fixed.REDACTED[1])).alias("out")))
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(done.out, F.substring(text, done.at + 1, F.length(text))))
 
 
 def scrubbed(rows: DataFrame, column: str = "content") -> DataFrame:
@@ -45,16 +51,8 @@ def scrubbed(rows: DataFrame, column: str = "content") -> DataFrame:
 
     Embeddings of scrubbed rows are those of the old text; embed again what has entities.
     """
-    ship(rows.sparkSession)
-
-    @F.pandas_udf("text string, entities array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = part.tolist()
-            yield pd.DataFrame({"text": [t if t is None else scrub(t) for t in texts], "entities": [[n for n, *_ in found(t or "")] for t in texts]})
-
-    made = rows.withColumn("made_", run(F.col(column)))
-    return made.select(*[F.col("made_.text").alias(c) if c == column else F.col(c) for c in rows.columns], F.col("made_.entities").alias("entities"))
+    made = rows.withColumn("_spans", F.coalesce(spans(F.col(column)), F.array().cast(_SPAN)))
+    return made.select(*[masked(F.col(column), F.col("_spans")).alias(c) if c == column else F.col(c) for c in rows.columns], F.col("_spans.name").alias("entities"))
 
 
 def entity_counts(rows: DataFrame) -> DataFrame:

@@ -81,3 +81,14 @@ SYNONYMS = {
 
 # How records of the remote store are named here.
 THOUGHT_ID, THOUGHT_PATH = "ob1_thought_", "ob1://thoughts/"
+
+#: Entity recognisers as (name, pattern, score); letters match in either case.
+RECOGNISERS = [
+    ("OPENAI_API_KEY", r"\bsk-(?:proj-)?[A-Za-z0-9]{20,}\b", 0.75),
+    ("GITHUB_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", 0.75),
+    ("AWS_ACCESS_KEY_ID", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0.72),
+    ("SLACK_TOKEN", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", 0.7),
+    ("JWT_TOKEN", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", 0.65),
+    ("GENERIC_API_TOKEN", r"\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|auth[_-]?token|bearer)\b\s*[:=]\s*['\"]?[A-Za-z0-9._\-]{10,}['\"]?", 0.6),
+]
+REDACTED = ("<REDACTED_", ">")

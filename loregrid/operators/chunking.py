@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..plans.session import ship
@@ -215,6 +216,17 @@ def _exploded(rows: DataFrame, make, columns: list[str], schema: str, *inputs: s
     return rows.select(*inputs).mapInPandas(run, schema)
 
 
+def file_lines(files: DataFrame) -> DataFrame:
+    """(file_path, no, line): the lines of every file (file_path, content), counted from 1."""
+    return files.select("file_path", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
+
+
+def line_window(lines: DataFrame, start: int, count: int) -> DataFrame:
+    """``count`` lines from ``start`` on, within the bounds of the file."""
+    first = max(1, start)
+    return lines.where(F.col("no").between(first, start + count - 1))
+
+
 def chunk_texts(rows: DataFrame, most: int = fixed.CHUNK_TOKENS, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
     """(id, chunk_index, text, start_line, end_line, tokens) of the windows of (id, content)."""
     make = lambda t: ((i, *w) for i, w in enumerate(windows(t, most, overlap)))

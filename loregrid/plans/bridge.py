@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def held(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again."""
+    path = f"{shared_folder(spark)}/loregrid/{spark.sparkContext.applicationId}/held-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     """The stored index of the documents, made when an application first asks for it."""
     app = spark.sparkContext.applicationId

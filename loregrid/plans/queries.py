@@ -438,10 +438,11 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.element_at(m, key).alias("first_value"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents")
+@query(r"SELECT doc_id, no::INTEGER AS no, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents)) WHERE no BETWEEN 2 AND 40")
 def line_window(spark, d):
-    lines = F.slice(F.split("text", "\n"), 2, 3)
-    return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("lines"))
+    """Lines 2 to 40 of every document, as a search shows what surrounds a hit."""
+    lines = chunking.file_lines(table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content")))
+    return chunking.line_window(lines, 2, 39).withColumnRenamed("file_path", "doc_id")
 
 
 @query("SELECT source, item.t AS tag FROM (SELECT source, unnest(from_json('[{\"t\":\"a\"},{\"t\":\"' || lang || '\"}]', '[{\"t\":\"VARCHAR\"}]')) AS item FROM documents)")
@@ -489,12 +490,16 @@ def link_graph(spark, d):
     return links.backlinks(links.edges(rows)).select("dst", F.array_join("sources", ",").alias("sources"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id < 3 THEN 'root' || doc_id ELSE 'n' || doc_id || ' root' || (doc_id % 3) END AS content FROM documents")
+@query("""WITH n AS (SELECT doc_id, trim(coalesce(text, ''), E' \\t\\n\\r\\x0b\\x0c') AS body, coalesce(text, '') AS own FROM documents)
+SELECT a.doc_id, 'see ' || CASE WHEN b.doc_id IS NULL THEN '[Embed not found: n' || (a.doc_id // 2 + 1) || ']' ELSE b.body END || ' and [Circular embed: n' || (a.doc_id // 2 + 1) || '] ![[p.png]]' || chr(10) || a.own AS content FROM n a LEFT JOIN n b ON b.doc_id = a.doc_id // 2 + 1""")
 def resolve_embeds(spark, d):
-    docs = table(spark, d, "documents")
-    body = F.when(F.col("doc_id") < 3, F.concat(F.lit("root"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(" ![["), (F.col("doc_id") % 3).cast("string"), F.lit("]]")))
-    rows = docs.select(F.concat(F.lit("v/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), body.alias("content"))
-    return links.resolve_embeds(rows).select(F.regexp_extract("file_path", r"(\d+)\.md", 1).cast("long").alias("doc_id"), "content")
+    """Every document as a note that embeds two of the others' whole texts, one of them twice, and an image."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    target = F.concat(F.lit("n"), F.expr("cast(id as long) div 2 + 1").cast("string"))
+    bodies = docs.select(F.concat(F.lit("v/n"), "id", F.lit(".md")).alias("file_path"), F.concat(F.lit("---\nid: "), "id", F.lit("\n---\n"), "text").alias("content"))
+    heads = docs.select(F.concat(F.lit("w/h"), "id", F.lit(".md")).alias("file_path"), F.concat(F.lit("see ![["), target, F.lit("]] and ![["), target, F.lit("]] ![[p.png]]\n"), "text").alias("content"))
+    out = links.resolve_embeds(bodies.unionByName(heads), lambda rows: bridge.held(spark, rows)).where(F.col("file_path").startswith("w/"))
+    return out.select(F.regexp_extract("file_path", r"(\d+)\.md", 1).cast("long").alias("doc_id"), "content")
 
 
 @query("SELECT doc_id, '# ' || lang || chr(10) || 'x' || doc_id AS part FROM documents")
@@ -545,10 +550,20 @@ def queue_errors(spark, d):
     return queue.errors(rows)
 
 
-@query("SELECT role, 'EMAIL' AS entity, count(*) AS n FROM conversations GROUP BY role")
+_KEYED = "coalesce(text, '') || ' api_key = sk-' || substr(sha256(doc_id::VARCHAR), 1, 24) || ' ghp_' || substr(sha256(doc_id::VARCHAR), 1, 20 + doc_id % 3) || ' xoxb-' || (1000000000 + doc_id) || ' end'"
+_SCRUB = _KEYED
+for _name, _pattern, _ in reversed(fixed.RECOGNISERS):  # assignments first, as they may hold a token
+    _pattern = _pattern.replace("'", "''")
+    _SCRUB = f"regexp_replace({_SCRUB}, '(?i){_pattern}', '<REDACTED_{_name}>', 'g')"
+
+
+@query(f"SELECT doc_id, content, len(regexp_extract_all(content, '<REDACTED_[A-Z_]+>')) AS entities FROM (SELECT doc_id, {_SCRUB} AS content FROM documents)")
 def entity_scrub(spark, d):
-    rows = table(spark, d, "conversations").select("role", F.concat(F.lit("write to u"), F.col("turn").cast("string"), F.lit("@example.org now")).alias("content"))
-    return entities.scrubbed(rows).where("content = 'write to <EMAIL> now'").select("role", F.explode("entities").alias("entity")).groupBy("role", "entity").agg(F.count("*").alias("n"))
+    """Whole texts with keys of three kinds behind them, scrubbed of all that the recognisers find."""
+    digest = F.sha2(F.col("doc_id").cast("string"), 256)
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" api_key = sk-"), F.substring(digest, 1, 24), F.lit(" ghp_"), F.substring(digest, F.lit(1), (20 + F.col("doc_id") % 3).cast("int")), F.lit(" xoxb-"), (1000000000 + F.col("doc_id")).cast("string"), F.lit(" end"))
+    rows = table(spark, d, "documents").select("doc_id", body.alias("content"))
+    return entities.scrubbed(rows).select("doc_id", "content", F.size("entities").cast("long").alias("entities"))
 
 
 @query("SELECT conv_id AS exchange_id, turn AS tool_use_id, CASE WHEN turn % 2 = 0 THEN 'r' || turn END AS result, turn % 4 = 0 AS is_error FROM conversations")
