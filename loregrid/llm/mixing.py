@@ -12,18 +12,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import prepare, saved
 
 BLOCK, SHARDS = 64, 16
 #: Hash lanes of a source in which its documents are put in order: the least number, and the rows for one more.
 LANES, LANE_ROWS = 64, 200_000
 WEIGHTS, MOST = (5, 2, 1), 3
 _WORDS = r"[^\x20\x09-\x0D]+"
+_WORD = re.compile(_WORDS.encode())
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -131,19 +134,29 @@ def mix_sources(docs: DataFrame, carry: bool = False, weights: tuple = WEIGHTS,
     return out.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "takes", *["row"] * carry)
 
 
+def _runs_of(texts: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.Series:
+    """The words of some runs of each text, joined by one space, in time linear in the text."""
+    out = []
+    for text, first, n in zip(texts, firsts, counts, strict=True):
+        words = [] if text is None else _WORD.findall(text)
+        out.append(None if text is None else b" ".join(w for a, k in zip(first.tolist(), n.tolist(), strict=True) for w in words[a : a + k]))
+    return pd.Series(out, dtype=object)
+
+
 def mixed(docs: DataFrame, text_column: str = "text", **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each document and epoch of it.
 
     A row's text is the whole text where the epoch takes all its words, otherwise the words
     taken, joined by one space. Documents of which nothing is taken have no row.
     """
+    prepare(docs.sparkSession)
     out = mix_sources(docs, carry=True, text_column=text_column, **how)
     epochs = out.select("row", "size", "takes", F.explode(F.array_distinct(F.col("takes.epoch"))).alias("epoch"))
     own = epochs.select("row", "size", F.expr("filter(takes, x -> x.epoch = epoch)").alias("own"))
-    words = F.regexp_extract_all(F.col(f"row.`{text_column}`"), F.lit(_WORDS), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("own", lambda x: F.slice(words, (x.first + 1).cast("int"), x.n.cast("int")))), " ")
     whole = F.expr("aggregate(own, cast(0 as bigint), (s, x) -> s + x.n) = size")
-    text = F.when(whole, F.col(f"row.`{text_column}`")).otherwise(part)
+    known = F.col(f"row.`{text_column}`")
+    some = F.pandas_udf(_runs_of, "binary")(F.when(~whole, known.cast("binary")), F.col("own.first"), F.col("own.n"))
+    text = F.when(whole, known).otherwise(some.cast("string"))
     return own.select(*[text.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -14,9 +14,11 @@ BATCH_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, but only if all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         where = tempfile.mkdtemp(prefix="loregrid-")
         spark.sparkContext.setCheckpointDir(where)
     return where
