@@ -7,6 +7,8 @@ again for the next. SQL cannot express the classifier, so there is no SQL for th
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ from loregrid.llm.substring_dedup import remove_repeats
 from loregrid.llm.toxicity import REJECT, held_out, score, train
 
 
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _same_columns(stage):
+    """A stage that returns the columns that it is given, whatever further ones are called."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[c if c in DOCUMENTS else f"extra_{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """``docs`` with n_chars of the text it has now; of a null text it stays."""
     if "n_chars" not in docs.columns:
@@ -25,6 +41,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
+@_same_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity is below the threshold; null and empty texts stay.
 
@@ -34,6 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, keep_text=True).where(F.col("score") < REJECT).select("row.*")
 
 
+@_same_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates the document of the smallest doc_id.
 
@@ -43,6 +61,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_same_columns
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that a repeated window of 20 words covers.
 
@@ -50,9 +69,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     space, and may be none.
     """
     out = remove_repeats(docs, keep_whole=True)
-    return _measured(out.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
+    return _measured(out.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(f"row.{c}") for c in docs.columns]))
 
 
+@_same_columns
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each document and epoch of which something is taken."""
     return _measured(mixed(docs))
