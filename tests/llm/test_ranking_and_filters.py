@@ -147,7 +147,7 @@ def test_listed_hosts_and_paths(spark):
 def planted(rng, n):
     """Pages of which those of one host under one path, and those with one query pair, are bad."""
     for i in range(n):
-        host, kind, tail = rng.choice(["news", "casino", "shop", "wiki"]), rng.choice(["win", "info", "about", "jobs", "faq"]), rng.choice(["", "?ref=spam", "?ref=ok", "#top"])
+        host, kind, tail = rng.choice(["news", "casino", "shop", "wiki"]), rng.choice(["win", "info", "about", "jobs", "faq"]), rng.choice(["", "?ref=spam", "?ref=ok", "?ref=ok", "?ref=news", "#top"])
         yield i, f"https://{host}.site.com/{kind}/{i}{tail}", (host == "casino" and kind == "win") or tail == "?ref=spam"
 
 
