@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -315,10 +316,14 @@ class Engine:
         self._sync_records(rows)
 
     def list_records(self, record_type: str | None = None, project: str | None = None, status: str | None = "active", limit: int = 50) -> DataFrame:
+        """Records by id; without a type, at most ``limit`` of each type that is searched."""
         rows = self.store.read("records")
         for column, value in (("record_type", record_type), ("project", project), ("status", status)):
             rows = rows if value is None else rows.where(F.col(column) == value)
-        return rows.orderBy("record_id").limit(limit)
+        if record_type is not None:
+            return rows.orderBy("record_id").limit(limit)
+        each = [rows.where(F.col("record_type") == kind).orderBy("record_id").limit(limit) for kind in RECORD_COLLECTIONS]
+        return functools.reduce(DataFrame.unionByName, each)
 
     def supersede_records(self, pairs: dict[str, str], as_of: str) -> None:
         asked = self.spark.createDataFrame(list(pairs.items()), "record_id string, superseded_by string")
@@ -368,6 +373,21 @@ class Engine:
     def record_audit(self) -> DataFrame:
         return audits.counts_by_sets(self.store.read("records"), "status", "record_type", "project")
 
+    def semantic_audit(self) -> DataFrame:
+        """One row about the life cycle of records and notes."""
+        return audits.semantic_audit(self.store.read("records"), self.store.read("notes"), self.coverage_gaps())
+
+    def enriched_share(self, seconds: float | None = None) -> DataFrame:
+        """How many chunks of conversations have a category."""
+        return audits.enriched_share(self.store.read("chunks").where("collection = 'conversations'"), "category", seconds)
+
+    def import_summary(self, root: str) -> DataFrame:
+        """What ``ingest_sessions`` of a folder would add, by agent and by project; nothing is written."""
+        messages = files.session_logs(self.spark, root)
+        about = messages.groupBy("session_id").agg(F.min("path").alias("path"), F.min_by("agent", "path").alias("agent"), F.min_by("project", "path").alias("project"))
+        found = conversations.exchanges(messages).join(about, "session_id").select("path", "agent", "project", F.lit(1).alias("chunks"))
+        return audits.import_summary(files.log_paths(self.spark, root), found)
+
     def coverage_gaps(self) -> DataFrame:
         """Indexed projects without an active record."""
         indexed = self.store.read("chunks").where("collection = 'codebase'").select(F.col("project_name").alias("project"))

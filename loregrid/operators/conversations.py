@@ -53,6 +53,16 @@ def sessions(found: DataFrame) -> DataFrame:
     return found.where("coalesce(session_id, '') <> ''").groupBy("session_id").agg(F.count("*").alias("exchange_count"), F.min(F.expr("nullif(timestamp, '')")).alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"), first("project"), first("category"), first("summary"), tools)
 
 
+def latest_sessions(found: DataFrame, limit: int) -> DataFrame:
+    """The sessions of ``sessions`` with the latest last times, one at least, and in ``total`` how many there are.
+
+    Ties go to the smaller session_id; sessions without a time come last.
+    """
+    known = sessions(found)
+    total = known.agg(F.count("*").alias("total"))  # one row
+    return known.orderBy(F.desc_nulls_last("last_timestamp"), "session_id").limit(max(limit, 1)).crossJoin(F.broadcast(total))
+
+
 def packed(blocks: DataFrame, most: int) -> DataFrame:
     """The blocks of each session, in order, that fit into ``most`` characters.
 
@@ -66,7 +76,11 @@ def packed(blocks: DataFrame, most: int) -> DataFrame:
     return kept.withColumn("block", F.when(F.col("overs") == 0, F.col("block")).otherwise(F.expr("substring(block, 1, left)"))).drop("total", "left", "overs")
 
 
-def transcript(messages: DataFrame) -> DataFrame:
-    """(session_id, text): a session as markdown, a heading for each message."""
+def transcript(messages: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(session_id, text): a session as markdown, a heading for each message; of a range of lines, ends included."""
+    if start is not None:
+        messages = messages.where(F.col("line") >= start)
+    if end is not None:
+        messages = messages.where(F.col("line") <= end)
     line = F.concat(F.lit("### "), F.initcap("role"), F.lit("\n\n"), F.coalesce("content", F.lit("")))
     return messages.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries, relational, windows
+from . import auditing, queries, relational, windows
 
-QUERIES = queries.QUERIES | relational.QUERIES | windows.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | relational.ORACLE_SQL | windows.ORACLE_SQL
+QUERIES = queries.QUERIES | auditing.QUERIES | relational.QUERIES | windows.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | auditing.ORACLE_SQL | relational.ORACLE_SQL | windows.ORACLE_SQL

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..plans.session import ship
+from .lines import MOST_BLOCKS, blocks_at_most, numbered_lines
 
 BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:string,thinking:string>>"
 
@@ -65,23 +66,41 @@ def _said(content: Column) -> Column:
     return F.when(F.startswith(F.ltrim(content), F.lit("[")) & blocks.isNotNull(), joined).otherwise(content)
 
 
+def of_main_agent(path: Column) -> Column:
+    """Whether a log is a main agent's own: not below ``subagents/``, not of an ``agent-*`` file."""
+    return ~path.contains("/subagents/") & ~F.element_at(F.split(path, "/"), -1).startswith("agent-")
+
+
+def log_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The paths of the main agents' logs below ``root``, as ``session_logs`` names them; reads none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+    return found.select(F.col("_metadata.file_path").alias("path")).where(of_main_agent(F.col("path")))
+
+
+def newest_files(listed: DataFrame, limit: int) -> DataFrame:
+    """The files of a listing that changed last, newest first, ties by path."""
+    return listed.orderBy(F.desc("modified"), "path").limit(limit)
+
+
+def prompt_files(listed: DataFrame) -> DataFrame:
+    """Main agents' logs of a listing in the order of their lower-case paths."""
+    return listed.where(of_main_agent(F.col("path"))).orderBy(F.lower("path"), "path")
+
+
 def session_logs(spark: SparkSession, root: str, agents_too: bool = False) -> DataFrame:
     """Lines of JSON session logs as messages, with their line numbers; malformed lines are skipped.
 
     Columns: path, session_id, line, role, content, tools, tool_errors, thinking, timestamp,
     agent, project. Logs under ``subagents/`` and of ``agent-*`` files are left out unless
     ``agents_too``. The session is the first one that a file names, else the file's stem.
+    A file of any size is read in splits.
     """
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    files = read.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    if not agents_too:
-        files = files.where(~F.col("path").contains("/subagents/") & ~F.element_at(F.split("path", "/"), -1).startswith("agent-"))
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where("trim(raw) <> ''")
+    lines = numbered_lines(spark, root, "*.jsonl", None if agents_too else of_main_agent(F.col("path"))).withColumnRenamed("value", "raw").where("trim(raw) <> ''")
     get = lambda p: F.get_json_object("raw", p)
     kind = F.coalesce(get("$.type"), F.lit(""))
     role = F.when(kind == "message", F.coalesce(get("$.role"), F.lit(""))).otherwise(kind)
     content = F.coalesce(get("$.message.content"), get("$.content"), get("$.summary"))
-    valid = lines.where(F.try_parse_json("raw").isNotNull()).select("path", (F.col("pos") + 1).alias("line"), role.alias("role"), content.alias("body"), get("$.timestamp").alias("timestamp"), get("$.sessionId").alias("named"), F.coalesce(get("$.is_error").cast("boolean"), F.lit(False)).alias("is_error"))
+    valid = lines.where(F.try_parse_json("raw").isNotNull()).select("path", "line", role.alias("role"), content.alias("body"), get("$.timestamp").alias("timestamp"), get("$.sessionId").alias("named"), F.coalesce(get("$.is_error").cast("boolean"), F.lit(False)).alias("is_error"))
     blocks = F.from_json("body", BLOCKS)
     tools = F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: b["name"])
     rows = valid.select(
@@ -89,6 +108,8 @@ def session_logs(spark: SparkSession, root: str, agents_too: bool = False) -> Da
         F.coalesce(F.exists(blocks, lambda b: b["type"] == "thinking"), F.lit(False)).alias("thinking"), ((F.col("role") == "tool_result") & F.col("is_error")).cast("int").alias("tool_errors"),
     )
     first = rows.groupBy("path").agg(F.min_by("named", F.when(F.coalesce("named", F.lit("")) != "", F.col("line"))).alias("named"))
+    if blocks_at_most(spark, root, "*.jsonl") <= MOST_BLOCKS:
+        first = F.broadcast(first)  # a row a file
     stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     named = rows.drop("named").join(first, "path").withColumn("session_id", F.coalesce("named", stem)).drop("named")
     return named.withColumn("agent", _agent(F.col("path"))).withColumn("project", text.project_of(F.col("path")))
