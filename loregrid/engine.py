@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import embed, fixed, text
-from .operators import audits, cards, chunking, conversations, lifecycle, retrieval
+from .operators import audits, cards, chunking, conversations, lifecycle, near, retrieval
 from .sources import files
 from .sources.keyword_index import MOST_WRITES, KeywordIndex
 from .sources.store import Store
@@ -22,7 +22,7 @@ FILES = "file_path string, content_hash string, collection string"
 LINES = "file_path string, no int, line string"
 #: The collection of each record type.
 RECORD_COLLECTIONS = {"fact": "facts", "runbook": "runbooks", "project_overview": "project_overviews"}
-MERGE_DISTANCE, QUERY_BLOCK = 0.1, 1000
+MERGE_DISTANCE = 0.1
 
 
 class Engine:
@@ -223,11 +223,11 @@ class Engine:
         call = uuid.uuid4().hex
         notes = self.store.read("notes")
         fresh = self.store.held(fresh.select(*notes.columns), call)
-        stored = self.store.held(self.near_notes(fresh, notes), call)
-        own = self.store.held(self._close(fresh, fresh, MERGE_DISTANCE).where("near_id < note_id"), call)
+        stored = self.store.held(self.near_notes(fresh, notes, call=call), call)
+        own = self.store.held(self._close(fresh, fresh, MERGE_DISTANCE, call).where("near_id < note_id"), call)
         kept = self.store.held(self._kept(fresh.select("note_id").distinct().join(stored, "note_id", "left_anti"), own, call), call)
-        near = stored.unionByName(own.join(kept.select(F.col("note_id").alias("near_id")), "near_id", "left_semi"))
-        pairs = self.store.held(near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance")), call)
+        met = stored.unionByName(own.join(kept.select(F.col("note_id").alias("near_id")), "near_id", "left_semi"))
+        pairs = self.store.held(met.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance")), call)
         first, others = fresh.join(kept, "note_id", "left_semi").select(*notes.columns), fresh.join(kept, "note_id", "left_anti").select(*notes.columns)
         changed = self.store.held(kept.unionByName(pairs.select(F.col("near_id").alias("note_id"))).distinct(), call)
         self.store.rewrite("notes", changed, lambda old: lifecycle.merge_near_notes(old.unionByName(first), others, pairs))
@@ -250,25 +250,15 @@ class Engine:
             left = self.store.held(left.join(new.unionByName(gone), "note_id", "left_anti"), call)
         return kept
 
-    def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE) -> DataFrame:
+    def near_notes(self, fresh: DataFrame, notes: DataFrame, most: float = MERGE_DISTANCE, call: str | None = None) -> DataFrame:
         """(note_id, near_id, distance): each fresh note's nearest stored one closer than ``most``."""
-        near = self._close(fresh, notes, most)
-        return near.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
+        close = self._close(fresh, notes, most, call)
+        return close.groupBy("note_id").agg(F.min_by("near_id", F.struct("distance", "near_id")).alias("near_id"), F.min("distance").alias("distance"))
 
-    def _close(self, fresh: DataFrame, notes: DataFrame, most: float) -> DataFrame:
-        """(note_id, near_id, distance): the pairs of a fresh note and another closer than ``most``.
-
-        The fresh notes are the query set, compared with all notes in blocks of ``QUERY_BLOCK``,
-        each of which is broadcast. Blocks are by hash, so ids may repeat.
-        """
-        blocks = -(-fresh.count() // QUERY_BLOCK)
-        found = self.spark.createDataFrame([], "note_id string, near_id string, distance double")
-        for block in range(blocks):
-            query = fresh.where(F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == block).select("note_id", F.col("embedding").alias("q"))
-            pairs = notes.select(F.col("note_id").alias("near_id"), "embedding").join(F.broadcast(query), F.lit(True))
-            near = pairs.withColumn("distance", 1 - retrieval.cosine(F.col("q"), F.col("embedding"))).where(F.col("distance") < most)
-            found = found.unionByName(near.select("note_id", "near_id", "distance"))
-        return found
+    def _close(self, fresh: DataFrame, notes: DataFrame, most: float, call: str | None = None) -> DataFrame:
+        """(note_id, near_id, distance): the pairs of a fresh note and another closer than ``most``."""
+        hold = (lambda rows: self.store.held(rows, call)) if call else (lambda rows: rows)
+        return near.near_pairs(fresh.select("note_id", "embedding"), notes.select(F.col("note_id").alias("near_id"), "embedding"), most, hold)
 
     def list_notes(self, project: str | None = None, category: str | None = None, confirmed: bool | None = None, limit: int = 50) -> DataFrame:
         rows = self.store.read("notes")

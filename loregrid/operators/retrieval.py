@@ -9,10 +9,10 @@ from ..functions import fixed, text
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two vectors in double precision, within -1 and 1; null if either is zero."""
+    """Cosine similarity of two vectors in double precision, within -1 and 1; null if either is zero or not finite."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
+    return F.when((norm > 0) & (norm < float("inf")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
 
 
 def vector(values: list[float]) -> Column:
