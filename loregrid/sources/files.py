@@ -72,7 +72,7 @@ def of_main_agent(path: Column) -> Column:
 
 
 def log_paths(spark: SparkSession, root: str) -> DataFrame:
-    """The paths of the main agents' logs below ``root``, as ``session_logs`` names them; reads none."""
+    """The paths of the main agents' logs below ``root``, as ``session_logs`` names them; reads none, lists no empty file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
     return found.select(F.col("_metadata.file_path").alias("path")).where(of_main_agent(F.col("path")))
 
