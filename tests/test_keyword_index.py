@@ -103,3 +103,27 @@ def test_bootstrap_fills_only_what_is_empty(spark, index):
     assert index.bootstrap(spark.createDataFrame(rows, SCHEMA)) == ["c1", "c2"]
     assert index.bootstrap(spark.createDataFrame(rows, SCHEMA)) == []
     assert index.docs().count() == 30
+
+
+def test_words_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Posting rows are made and written where the numbered documents are, in pieces of bounded size, with the same results."""
+    monkeypatch.setattr(keyword_index, "WORDS", 64)  # here, not on executors
+    rows = made(120)
+    index = KeywordIndex(Store(spark, str(tmp_path / "s"), buckets=8), block=8)
+    cut = index._numbered(spark.createDataFrame(rows, SCHEMA), "op")
+    plan = keyword_index._posted(cut)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Generate" not in plan
+    index.put(spark.createDataFrame(rows, SCHEMA))
+    batches = [b for b in cut.select("block", "slot", "len", "words").toArrow().to_batches(max_chunksize=3)]
+    cut_rows = [r for b in keyword_index._cut(iter(batches)) for r in b.to_pylist()]
+    seen = sorted((r["term"], r["block"], s, at) for r in cut_rows for s, at in unpacked(r["n"], r["packed"]))
+    words = [(w, r.block, r.slot, i) for r in cut.collect() for i, w in enumerate(r.words)]
+    assert sorted((t, b, s, i) for t, b, s, at in seen for i in at) == sorted(words)
+    stored = index._read("postings", index._writes()).collect()
+    assert sorted((r.term, r.block, s, tuple(at)) for r in stored for s, at in zip(r.slots, r.positions)) == [(t, b, s, tuple(at)) for t, b, s, at in seen]
+    assert all(r.max_tf == max(map(len, r.positions)) and r.tfs == [len(p) for p in r.positions] and r.min_len == min(r.lens) and r.n == len(r.slots) for r in stored)
+
+
+def unpacked(n, packed):
+    slots, _, tfs, ends = (packed[i * n : (i + 1) * n] for i in range(4))
+    return [(s, packed[4 * n + e - f : 4 * n + e]) for s, f, e in zip(slots, tfs, ends)]
