@@ -243,3 +243,26 @@ def test_project_context(spark, tmp_path):
     note = spark.createDataFrame([("n1", "alpha needs care", "", "p", "bug", "low")], "note_id string, content string, context string, project string, category string, severity string")
     found.store_notes(note, "t0")
     assert {r.kind for r in found.project_context("p", "alpha needle").collect()} == {"code", "note"}
+
+
+def test_embeds_shuffle_texts_once_a_step(spark, tmp_path):
+    """Bodies are dealt by name alone, and the contents of notes do not meet their resolved texts."""
+    rows = spark.createDataFrame([("a/n.md", "see ![[m]]"), ("b/m.md", "first"), ("c/m.md", "second"), ("d/x.txt", None)], "file_path string, content string")
+    plans = []
+
+    def held(t):
+        plans.append(t._jdf.queryExecution().executedPlan().toString())
+        path = str(tmp_path / str(len(plans)))
+        t.write.parquet(path)
+        return spark.read.schema(t.schema).parquet(path)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = links.resolve_embeds(rows, held)
+        last = out._jdf.queryExecution().executedPlan().toString()
+        assert {r.file_path: r.content for r in out.collect()} == {"a/n.md": "see first", "b/m.md": "first", "c/m.md": "second", "d/x.txt": None}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = lambda plan: sum("Exchange hashpartitioning(" in line for line in plan.splitlines())
+    assert shuffled(plans[1]) == 3  # pieces by file and key, pieces by name, bodies by name
+    assert "_some" in last
