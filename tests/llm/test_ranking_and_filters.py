@@ -1,6 +1,7 @@
 """Lexical search, the filter audit and URL filters against brute force, and on odd rows."""
 
 import math
+import itertools
 import random
 import re
 from collections import Counter
@@ -187,3 +188,38 @@ def test_pages_take_the_labels_of_their_document(spark):
     labels = spark.createDataFrame([(12, 1, 1), (13, 0, 0), (13, 1, 0), (14, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     found = {(r.url[:20], r.blocked) for r in url_rules.labelled_pages(pages, labels).collect()}
     assert found == {("http://x.com/en/12.h", True), ("http://x.com/13/", True), ("http://x.com/14#9", False)}
+
+
+def test_rules_of_any_number_of_tokens_are_all_found(spark):
+    """Against all combinations by hand, of URLs of 14 tokens."""
+    rng = random.Random(11)
+    urls = {}
+    for i in range(700):
+        held = sorted(rng.sample(range(14), 8))
+        urls[f"http://h.x/{i}?" + "&".join(f"k={'abcdefghijklmn'[j]}" for j in held)] = set(held) >= {3, 9} or set(held) >= {1, 5, 12} or rng.random() < 0.02
+    known = spark.createDataFrame(list(urls.items()), "url string, blocked boolean")
+    rules = url_rules.mine(known)
+    rows = [({"pair:k=" + x for x in u.partition("?")[2].replace("k=", "").split("&")}, b) for u, b in urls.items()]
+    names = sorted(set().union(*(t for t, _ in rows)))
+    sure = {}
+    for size in range(1, 6):
+        for c in itertools.combinations(names, size):
+            labels = [b for t, b in rows if t >= set(c)]
+            if sum(labels) >= url_rules.LEAST:
+                sure[frozenset(c)] = sum(labels) / len(labels)
+    below = lambda c: max((v for p, v in sure.items() if p < c), default=0.0)
+    wanted = {c: v for c, v in sure.items() if v >= url_rules.CONFIDENCE and v > below(c)}
+    assert {c: v for c, v in rules.found if len(c) < 6} == pytest.approx(wanted) and len(wanted) > 2
+
+
+def test_more_than_a_thousand_rules(spark):
+    known = spark.range(1100 * 20).selectExpr("concat('http://', lpad(translate(cast(id div 20 as string), '0123456789', 'abcdefghij'), 4, 'z'), '.s.org/', id) AS url", "true AS blocked").unionByName(spark.range(30000).selectExpr("concat('http://s.org/', id) AS url", "false AS blocked"))
+    rules = None
+    try:
+        old, url_rules.SUPPORT = url_rules.SUPPORT, 0.0001
+        rules = url_rules.mine(known)
+    finally:
+        url_rules.SUPPORT = old
+    assert sum(any(t.startswith("host:") and t.endswith(".s.org") for t in c) for c, _ in rules.found) == 1100
+    judged = url_rules.judged(spark.createDataFrame([(1, "http://zaaj.s.net"), (2, "http://www.bjj.s.org/")], "page_id long, url string"), rules)
+    assert judged.count() == 2
