@@ -6,10 +6,12 @@ prune more pairs where vectors lie in clusters, and replicate more where they do
 triangle inequality bounds how much farther than from its own pivot a vector can be from
 its partner's: 2 t. A vector is therefore replicated to every cell of a smaller number
 within that bound, and the pair is found in the smaller of its two home cells, once. Cells
-are joined independently, each in units of a block of ``BLOCK`` home vectors against which
-the rest of the cell is streamed, so that neither a large cell nor a hot vector is gathered.
-Copies of one vector are one vector with a multiplicity. Units return counts of links and a
-spanning forest of them, never pairs.
+are joined independently, each in units of a block of home vectors against which half of the
+cell's other blocks and all replicas are streamed, so that neither a large cell nor a hot vector is
+gathered. Up to ``LARGE`` vectors a block grows with the table, which then has ``UNITS`` of them, and
+what is shuffled with it. Replicas are cell numbers until they are shuffled. Copies of one vector are
+one vector with a multiplicity. Units return counts of links and a spanning forest of them as
+they find them, never pairs.
 """
 
 from __future__ import annotations
@@ -18,17 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .scratch import drop, prepare, saved
-from .vectors import lists, matrix, scaled, unit, usable
+from .vectors import matrix, scaled, unit, usable
 
 COSINE = 0.9
-PIVOTS, SAMPLE, BLOCK, STRIP = 1024, 1 << 18, 4096, 512
-#: A shuffled vector costs as much as so many inner products.
-SHUFFLED = 200
+PIVOTS, SAMPLE, STRIP = 1024, 1 << 18, 512
+#: Vectors of a block: ``BLOCK`` in small tables, ``LARGE`` or ``VALUES`` numbers at most; blocks of a table between.
+BLOCK, LARGE, VALUES, UNITS = 4096, 16384, 1 << 22, 64
+#: Angles to pivots, and pairs of a block and a strip, that are held at once.
+ANGLES, PAIRS = 1 << 20, 1 << 20
+#: A shuffled vector costs as much as so many inner products (measured: 16 us and 7 to 11 ns).
+SHUFFLED = 2000
+
+
+def block_size(rows: int, length: int) -> int:
+    """Vectors of a block in a table of ``rows`` vectors."""
+    return max(1, min(LARGE, VALUES // length, max(BLOCK, rows // UNITS)))
 
 
 def pivots(sample: np.ndarray) -> np.ndarray:
@@ -53,11 +65,11 @@ def chosen_pivots(sample: np.ndarray, cosine: float, rows: int) -> np.ndarray:
     """As many of the farthest-first pivots as make the least work for ``rows`` vectors like the sample's."""
     points = pivots(sample)
     angle = np.arccos(np.clip(sample @ points.T, -1, 1))
-    best, count = np.inf, 1
+    best, count, block = np.inf, 1, block_size(rows, sample.shape[1])
     for n in sorted({min(len(points), 1 << k) for k in range(11)}):
         home, _, cell = _cells(angle[:, :n], 2 * np.arccos(cosine) + 1e-6)
         own, more = (rows / len(sample) * np.bincount(x, minlength=n) for x in (home, cell))
-        blocks = np.ceil(own / BLOCK)
+        blocks = np.ceil(own / block)
         work = float((own * (own / 2 + more)).sum() + SHUFFLED * (own * (blocks + 1) / 2 + more * blocks).sum())
         if work < best:
             best, count = work, n
@@ -65,19 +77,18 @@ def chosen_pivots(sample: np.ndarray, cosine: float, rows: int) -> np.ndarray:
 
 
 def _assign(points: np.ndarray, cosine: float):
-    bound = 2 * np.arccos(cosine) + 1e-6
+    """Adds to each row its home cell, and the cells to which it is replicated too."""
+    bound, step = 2 * np.arccos(cosine) + 1e-6, max(1, ANGLES // len(points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column(2))
-            angle = np.arccos(np.clip(unit(v) @ points.T, -1, 1))
-            home, again, smaller = _cells(angle, bound)
-            row, cell = np.append(np.arange(len(v)), again), np.append(home, smaller)
-            kind = (np.arange(len(row)) >= len(v)).astype(np.int32)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), lists(v[row])], ["cell", "kind", "id", "copies", "v"])
+            for low in range(0, batch.num_rows, step):
+                rows = batch.slice(low, step)
+                angle = np.arccos(np.clip(unit(matrix(rows.column(2))) @ points.T, -1, 1))
+                home, row, cell = _cells(angle, bound)
+                ends = pa.array(np.searchsorted(row, np.arange(len(home) + 1)), pa.int32())
+                again = pa.ListArray.from_arrays(ends, pa.array(cell, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), again, *rows.columns], ["cell", "again", "id", "copies", "v"])
 
     return run
 
@@ -91,61 +102,67 @@ def _join(cosine: float):
             self.n = np.sqrt((self.v * self.v).sum(1))
             self.fast = unit(v).astype(np.float32)
             self.label, self.count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-            self.a: list[int] = []
-            self.b: list[int] = []
 
-        def links(self, v: np.ndarray, after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-            """(home, other) of the links with ``v``; with ``after``, those of later home vectors."""
+        def links(self, v: np.ndarray, after: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(home, other) of the links with ``v``; with ``after``, those of later home vectors. All links of one of ``v`` come at once."""
             v = scaled(v)
             # a sum of d products in single precision is off by less than d times 1.2e-7
             close = self.fast @ unit(v).astype(np.float32).T >= cosine - max(1e-4, 1.3e-7 * v.shape[1])
             if after is not None:
                 close &= np.arange(len(self.ids))[:, None] < np.arange(after, after + len(v))[None, :]
-            i, j = np.nonzero(close)
+            found = np.count_nonzero(close)
             n = np.sqrt((v * v).sum(1))
-            keep = np.zeros(len(i), bool)
-            for x in range(0, len(i), 100_000):
-                p, q = i[x : x + 100_000], j[x : x + 100_000]
-                keep[x : x + 100_000] = np.einsum("ij,ij->i", self.v[p], v[q]) / (self.n[p] * n[q]) >= cosine
-            return i[keep], j[keep]
+            step, some = max(1, PAIRS // len(self.ids)) if found > PAIRS else len(v), max(1, VALUES // v.shape[1])
+            for low in range(0, len(v) if found else 0, step):
+                i, j = np.nonzero(close[:, low : low + step])
+                j += low
+                keep = np.zeros(len(i), bool)
+                for x in range(0, len(i), some):
+                    p, q = i[x : x + some], j[x : x + some]
+                    keep[x : x + some] = np.einsum("ij,ij->i", self.v[p], v[q]) / (self.n[p] * n[q]) >= cosine
+                if keep.any():
+                    yield i[keep], j[keep]
 
         def add(self, ids, copies, v, after: int | None = None) -> Iterator[tuple]:
             for low in range(0, len(ids), STRIP):
-                i, j = self.links(v[low : low + STRIP], None if after is None else after + low)
-                if not len(i):
-                    continue
-                self.count += np.bincount(i, weights=copies[low + j], minlength=len(self.ids)).astype(np.int64)
-                other = np.bincount(j, weights=self.copies[i], minlength=min(STRIP, len(ids) - low)).astype(np.int64)
-                order = np.argsort(j, kind="stable")
-                cut = np.flatnonzero(np.diff(j[order])) + 1
-                for at in np.split(order, cut):
-                    k = low + int(j[at[0]])
-                    mine = self.label[i[at]] if after is None else np.append(self.label[i[at]], self.label[after + k])
-                    roots = np.unique(mine)
-                    self.a += [int(self.ids[roots[0]])] * (len(roots) - 1)
-                    self.b += self.ids[roots[1:]].tolist()
-                    if len(roots) > 1:
-                        self.label[np.isin(self.label, roots[1:])] = roots[0]
+                for i, j in self.links(v[low : low + STRIP], None if after is None else after + low):
+                    self.count += np.bincount(i, weights=copies[low + j], minlength=len(self.ids)).astype(np.int64)
+                    other = np.bincount(j, weights=self.copies[i], minlength=min(STRIP, len(ids) - low)).astype(np.int64)
+                    order = np.argsort(j, kind="stable")
+                    cut = np.flatnonzero(np.diff(j[order])) + 1
+                    a, b = [], []
+                    for at in np.split(order, cut):
+                        k = low + int(j[at[0]])
+                        mine = self.label[i[at]] if after is None else np.append(self.label[i[at]], self.label[after + k])
+                        roots = np.unique(mine)
+                        a += [int(self.ids[roots[0]])] * (len(roots) - 1)
+                        b += self.ids[roots[1:]].tolist()
+                        if len(roots) > 1:
+                            self.label[np.isin(self.label, roots[1:])] = roots[0]
+                        if after is None:
+                            a.append(int(self.ids[roots[0]]))
+                            b.append(int(ids[k]))
                     if after is None:
-                        self.a.append(int(self.ids[roots[0]]))
-                        self.b.append(int(ids[k]))
-                if after is None:
-                    yield ids[low : low + STRIP][other > 0], other[other > 0]
-                else:
-                    self.count[after + low : after + low + len(other)] += other
+                        yield ids[low : low + STRIP][other > 0], other[other > 0], a, b
+                    else:
+                        self.count[after + low : after + low + len(other)] += other
+                        yield ids[:0], other[:0], a, b
 
         def done(self) -> tuple:
             some = self.count > 0
-            return self.ids[some], self.count[some], self.a, self.b
+            return self.ids[some], self.count[some], [], []
 
-    def out(ids, counts, a=(), b=()) -> pa.RecordBatch:
+    def out(ids, counts, a, b) -> pa.RecordBatch:
         n, m = len(ids), len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array([*np.asarray(ids).tolist(), *a], pa.int64()), pa.array([*[None] * n, *b], pa.int64()), pa.array([*np.asarray(counts).tolist(), *[0] * m], pa.int64())],
+            [pa.concat_arrays([pa.array(x, pa.int64()), y]) for x, y in ((ids, pa.array(a, pa.int64())), ([None] * n, pa.array(b, pa.int64())), (counts, pa.array([0] * m, pa.int64())))],
             ["a", "b", "n"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (out(*x) for x in units(batches) if len(x[0]) or x[2])
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, home, block = None, [], None
         for batch in batches:
             if not batch.num_rows:
@@ -157,34 +174,56 @@ def _join(cosine: float):
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 key = (int(cell[x]), int(part[x]))
                 if key != now:
-                    yield from (out(*r) for r in finish(home, block))
+                    yield from finish(home, block)
                     now, home, block = key, [], None
                 if kind[x] == 0:
                     home.append((ids[x:y], copies[x:y], v[x:y]))
                     continue
                 if block is None:
-                    block = start(home)
+                    block = yield from start(home)
                 if block is not None:
-                    yield from (out(*r) for r in block.add(ids[x:y], copies[x:y], v[x:y]))
-        yield from (out(*r) for r in finish(home, block))
+                    yield from block.add(ids[x:y], copies[x:y], v[x:y])
+        yield from finish(home, block)
 
     def start(home: list):
         if not home:
             return None
         block = Unit(*(np.concatenate([h[k] for h in home]) for k in range(3)))
-        for _ in block.add(block.ids, block.copies, block.v, after=0):
-            pass
+        home.clear()
+        yield from block.add(block.ids, block.copies, block.v, after=0)
         return block
 
     def finish(home: list, block) -> Iterator[tuple]:
         if block is None:
-            block = start(home)
+            block = yield from start(home)
         if block is not None:
             yield block.done()
 
     return run
 
 
+def _sent(cells: DataFrame, blocks: list[int]) -> DataFrame:
+    """(cell, part, kind, id, copies, v): every vector in each unit, (cell, part), that it takes part in.
+
+    ``blocks`` is the number of blocks of each cell. A vector is a home vector, of kind 0, of its own block. It is streamed
+    by the blocks up to half a round before that, so each two blocks meet once, and by all blocks of the cells in ``again``.
+    """
+    known = F.array(*[F.lit(n) for n in blocks])
+
+    def number(cell: Column) -> Column:
+        return F.element_at(known, cell + 1)
+
+    def to(cell: Column, part: Column, kind: Column) -> Column:
+        return F.struct(cell.alias("cell"), part.cast("int").alias("part"), kind.cast("int").alias("kind"))
+
+    n, own = F.col("blocks"), F.col("own")
+    dealt = cells.withColumn("blocks", number(F.col("cell"))).withColumn("own", F.pmod(F.xxhash64("id", F.lit(41)), "blocks").cast("int"))
+    last = F.floor((n - 1) / 2).cast("int") + F.when((n % 2 == 0) & (own >= n / 2), 1).otherwise(0)
+    here = F.transform(F.sequence(F.lit(0), last), lambda x: to(F.col("cell"), F.pmod(own - x, n), x > 0))
+    more = F.transform("again", lambda c: F.transform(F.sequence(F.lit(0), number(c) - 1), lambda p: to(c, p, F.lit(1))))
+    return dealt.select(F.explode(F.concat(here, F.flatten(more))).alias("to"), "id", "copies", "v").select("to.*", "id", "copies", "v")
+
+
 def near_vectors(table: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``table``.
 
@@ -199,20 +238,19 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_column: str = "vec
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     known = rows.select("id", "ok", "h1", "h2").join(classes.withColumn("ok", F.lit(True)), ["ok", "h1", "h2"], "left").select("id", "rep", "copies")
     known = saved(known)
-    first = rows.where("ok").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "copies", "v")
+    kind = table.schema[vector_column].dataType.elementType
+    numbers = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"
+    first = rows.where("ok").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "copies", F.col("v").cast(numbers).alias("v"))
     distinct = saved(first)
     facts = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     links = counts = None
     if facts.n:
         sample = distinct.orderBy(F.xxhash64("id"), "id").limit(max(64, SAMPLE // facts.d)).select("v").collect()
         points = chosen_pivots(unit(np.array([r.v for r in sample], np.float64)), cosine, facts.n)
-        cells = saved(distinct.mapInArrow(_assign(points, cosine), "cell int, kind int, id long, copies long, v array<double>"))
-        sizes = {r.cell: r["count"] for r in cells.where("kind = 0").groupBy("cell").count().collect()}  # at most PIVOTS rows
-        blocks = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 1) // BLOCK)) for c in range(len(points))]), F.col("cell") + 1)
-        own = F.pmod(F.xxhash64("id", F.lit(41)), blocks).cast("int")
-        last = F.when(F.col("kind") == 0, own).otherwise(blocks - 1)
-        sent = cells.withColumn("last", last.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), "last")))
-        sent = sent.select("cell", "part", F.when((F.col("kind") == 0) & (F.col("part") == F.col("last")), 0).otherwise(1).alias("kind"), "id", "copies", "v")
+        cells = saved(distinct.mapInArrow(_assign(points, cosine), f"cell int, again array<int>, id long, copies long, v {numbers}"))
+        sizes = {r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}  # at most PIVOTS rows
+        block = block_size(facts.n, facts.d)
+        sent = _sent(cells, [-(-sizes.get(c, 1) // block) for c in range(len(points))])
         together = sent.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
         found = saved(together.mapInArrow(_join(cosine), "a long, b long, n long"))
         drop(cells)

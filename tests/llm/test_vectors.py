@@ -1,9 +1,11 @@
 """The operators on vectors against brute force, and on odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loregrid.llm import vector_dedup, vector_search
+from loregrid.llm.vectors import lists, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, v string, cell int, copies int, kind int"
 
@@ -50,6 +52,46 @@ def test_near_vectors(table, vectors, block, monkeypatch):
         assert (r.n_links, r.component_id, r.kept) == (n, c, r.vec_id == c or r.vec_id is None)
 
 
+@pytest.mark.parametrize("block, shuffled", [(4096, 0), (64, 10**9), (70, 10**9), (16, 0)])
+def test_every_pair_meets_once(table, vectors, block, shuffled, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "SHUFFLED", shuffled)
+    monkeypatch.setattr(vector_dedup, "PAIRS", 500)
+    ids, x = good(vectors)
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    want = dict(zip(ids.tolist(), ((u @ u.T >= 0.9).sum(1) - 1).tolist(), strict=True))
+    assert {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table).collect() if r.vec_id in want} == want
+
+
+def test_dealing_to_cells_repeats_no_vector():
+    x = np.random.default_rng(7).normal(size=(4000, 64))
+    points = vector_dedup.pivots(unit(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(np.ones(4000, np.int64)), lists(x)], ["id", "copies", "v"])
+    out = list(vector_dedup._assign(points, 0.9)([batch]))
+    assert len(points) == vector_dedup.PIVOTS and sum(b.num_rows for b in out) == 4000
+    assert max(b.nbytes for b in out) <= 2 * batch.nbytes and sum(b.nbytes for b in out) <= 6 * batch.nbytes
+
+
+@pytest.mark.parametrize("rows", [10**5, 615_384])
+def test_pivots_that_prune_little_are_not_worth_their_replicas(rows):
+    sample = unit(np.random.default_rng(8).normal(size=(4096, 64)))
+    points = vector_dedup.chosen_pivots(sample, 0.9, rows)
+    _, replicas, _ = vector_dedup._cells(np.arccos(np.clip(sample @ points.T, -1, 1)), 2 * np.arccos(0.9) + 1e-6)
+    assert len(replicas) <= 32 * len(sample)
+
+
+def test_units_hand_on_links_as_they_find_them():
+    def batch(kind, low, n):
+        v = lists(1.0 + 0.01 * np.random.default_rng(low).normal(size=(n, 64)))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k, np.int32)) for k in (0, 0, kind)), pa.array(np.arange(low, low + n)), pa.array(np.ones(n, np.int64)), v], ["cell", "part", "kind", "id", "copies", "v"])
+
+    out = list(vector_dedup._join(0.9)(batch(int(k > 0), 1000 * k, 1000) for k in range(12)))
+    assert max(b.num_rows for b in out) <= 2 * vector_dedup.STRIP
+    rows = [r for b in out for r in b.to_pylist()]
+    assert sum(r["b"] is not None for r in rows) == 11_999  # a spanning tree
+    assert sum(r["n"] for r in rows) == 2 * (1000 * 999 // 2 + 1000 * 11_000)
+
+
 def test_nearest(table, vectors):
     ids, x = good(vectors)
     out = {}
