@@ -238,7 +238,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_column: str = "vec
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     known = rows.select("id", "ok", "h1", "h2").join(classes.withColumn("ok", F.lit(True)), ["ok", "h1", "h2"], "left").select("id", "rep", "copies")
     known = saved(known)
-    kind = table.schema[vector_column].dataType.elementType
+    kind = table.select(f"`{vector_column}`").schema[0].dataType.elementType
     numbers = "array<float>" if isinstance(kind, T.FloatType) else "array<double>"
     first = rows.where("ok").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "copies", F.col("v").cast(numbers).alias("v"))
     distinct = saved(first)

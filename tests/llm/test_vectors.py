@@ -63,6 +63,13 @@ def test_every_pair_meets_once(table, vectors, block, shuffled, monkeypatch):
     assert {r.vec_id: r.n_links for r in vector_dedup.near_vectors(table).collect() if r.vec_id in want} == want
 
 
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_vectors_of_any_numbers_and_columns_in_any_case(spark, kind):
+    rows = [(0, [3.0, 4.0]), (1, [4.0, 3.0]), (2, [-4.0, 3.0])]
+    found = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", f"CAST(embedding AS array<{kind}>) AS embedding")
+    assert sorted(tuple(r) for r in vector_dedup.near_vectors(found, 0.9, "VEC_ID", "Embedding").collect()) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
+
+
 def test_dealing_to_cells_repeats_no_vector():
     x = np.random.default_rng(7).normal(size=(4000, 64))
     points = vector_dedup.pivots(unit(x))
